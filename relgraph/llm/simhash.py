@@ -60,34 +60,39 @@ def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
     return docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def distance(fp: Column, reference: int) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(reference)))
-
-
-def pivot_table(fps: DataFrame) -> DataFrame:
-    """(fp, keys, coordinates): the relative distances of each three blocks, packed, and the distances to the scattered references, a byte each."""
-    fp, zero = F.col("fp"), distance(F.col("fp"), 0)
-    blocks = []
-    for first, width in BLOCKS:
-        packed = F.lit(0).cast("long")
-        for i in range(width):
-            reference = 1 << (first + i)
-            reference -= (1 << 64) if reference >> 63 else 0
-            # d(x, 0) - d(x, one bit) is 1 or -1.
-            packed = packed.bitwiseOR(F.shiftleft(((zero - distance(fp, reference) + 1) / 2).cast("long"), i))
-        blocks.append(packed)
-    wide = fps.select("fp", *[b.alias(f"b{i}") for i, b in enumerate(blocks)])
+def distances(fps: np.ndarray, references: list[int]) -> np.ndarray:
+    """Hamming distance of every fingerprint (rows) to every reference."""
+    return np.bitwise_count(fps.view("<u8")[:, None] ^ np.array([x & (2**64 - 1) for x in references], "<u8")).astype(np.int64)
+
+
+def pivot_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the keys, which pack the relative distances to three blocks' references, and the
+    distances to the scattered references, a byte each."""
+    zero = distances(fps, [0])
+    # d(x, 0) - d(x, one bit) is 1 or -1.
+    relative = (zero - distances(fps, [1 << i for i in range(64)]) + 1) // 2
+    blocks = [relative[:, first : first + width] @ (1 << np.arange(width)) for first, width in BLOCKS]
     keys = []
     for n, chosen in enumerate(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)):
-        key, at = F.lit(n).cast("long"), 5
+        key, at = np.full(len(fps), n), 5
         for i in chosen:
-            key = key.bitwiseOR(F.shiftleft(F.col(f"b{i}"), at))
-            at += BLOCKS[i][1]
+            key, at = key | blocks[i] << at, at + BLOCKS[i][1]
         keys.append(key)
-    coordinates = F.lit(0).cast("long")
-    for i, reference in enumerate(SCATTERED):
-        coordinates = coordinates.bitwiseOR(F.shiftleft(distance(fp, reference).cast("long"), 8 * i))
-    return wide.select("fp", F.array(*keys).alias("keys"), coordinates.alias("coordinates"))
+    coordinates = np.ascontiguousarray(distances(fps, SCATTERED).astype(np.uint8)).view("<i8")[:, 0]
+    return np.stack(keys, 1), coordinates
+
+
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp, coordinates, key): a row for each key of each fingerprint."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            keys, coordinates = pivot_rows(own)
+            n = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.repeat(coordinates, n)), pa.array(keys.ravel())], ["fp", "coordinates", "key"])
+
+    return fps.select("fp").mapInArrow(each, "fp long, coordinates long, key long")
 
 
 def near_coordinates(a: Column, b: Column, radius: int) -> Column:
@@ -129,7 +134,7 @@ def simhash_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the key tables find up to {RADIUS} differing bits")
     pivots = pivot_table(fps.select("fp").distinct())
-    keyed = materialise(pivots.select("fp", "coordinates", F.explode("keys").alias("key")), "pivot-keys")
+    keyed = materialise(pivots, "pivot-keys")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialise(keyed.join(sizes, "key"), "shared-keys")
     few = shared.filter(F.col("n") <= PAIRS_UPTO)
