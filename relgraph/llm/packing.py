@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +180,27 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def packer(turn: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
+    """What packs one partition in one round and states its number of bins and its bound on each row."""
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__u")
+        lengths = t.column("length").to_numpy()
+        bins, places, made = best_fit_decreasing(lengths, capacity)
+        part = t.column("__part").to_numpy().astype(np.int64)
+        more = {
+            "sequence_id": (turn << 56) + (part << 28) + bins,
+            "offset": places,
+            "__bins": np.full(len(part), made),
+            "__bound": np.full(len(part), lower_bound(lengths, capacity)),
+        }
+        for k, v in more.items():
+            t = t.append_column(k, pa.array(v, pa.int64()))
+        return t
+
+    return fit
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """pieces (with ``length`` from 1 to capacity) with sequence_id, offset.
 
@@ -198,24 +219,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
     for turn in range(rounds):
         parts = max(1, math.ceil(left / part_rows))
 
-        def fit(t: pa.Table, turn: int = turn) -> pa.Table:
-            t = t.sort_by("__u")
-            lengths = t.column("length").to_numpy()
-            bins, places, made = best_fit_decreasing(lengths, capacity)
-            part = t.column("__part").to_numpy().astype(np.int64)
-            more = {
-                "sequence_id": (turn << 56) + (part << 28) + bins,
-                "offset": places,
-                "__bins": np.full(len(part), made),
-                "__bound": np.full(len(part), lower_bound(lengths, capacity)),
-            }
-            for k, v in more.items():
-                t = t.append_column(k, pa.array(v, pa.int64()))
-            return t
-
         dealt = rest.withColumn("__part", F.pmod(F.xxhash64(F.lit(turn), "__u"), F.lit(parts)).cast("int"))
         schema = T.StructType([*dealt.schema.fields, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "__bins", "__bound")]])
-        placed = materialise(dealt.groupBy("__part").applyInArrow(fit, schema), "packed")
+        placed = materialise(dealt.groupBy("__part").applyInArrow(packer(turn, capacity), schema), "packed")
         each = placed.groupBy("__part").agg(F.first("__bins").alias("b"), F.first("__bound").alias("l"), F.count(F.lit(1)).alias("n"))
         gap = F.col("b") > F.col("l")
         total, open_parts, open_bins, left = each.agg(
