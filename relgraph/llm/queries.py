@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quotes, sharding, simhash, url_filter
+from . import minhash, packing, quality, quotes, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_url_language_model": url_filter.op1_url_language_model,
     "op2_simhash": simhash.op2_simhash,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_minhash": minhash.op6_minhash,
+    "op9_attention_quality": quality.op9_attention_quality,
     "op8_quotation_linking": quotes.op8_quotation_linking,
     "op10_two_pass_shuffle": sharding.op10_two_pass_shuffle,
 }

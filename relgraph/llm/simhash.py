@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import minhash
 from .common import materialise, table, text_or_empty
 from .components import connected_components
 
@@ -175,6 +176,42 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def near_duplicate_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between near-duplicate texts of (id, text), verified on their word shingles.
+
+    Candidates are the fingerprints within the radius and, as a similarity of 0.8 leaves ten differing bits
+    of 64 at the mean, which no key table reaches, the texts that share a band of MinHash signatures."""
+    fps = materialise(
+        fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), width).filter("fp != 0").select(F.col("doc_id").alias("id"), "fp").distinct(), "text-fps"
+    )
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    same = fps.join(least, "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    links = simhash_links(fps.select("fp").distinct(), radius)
+    links = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(
+        least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b"
+    )
+    candidates = same.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return minhash.verified_links(texts, width, similarity, candidates)
+
+
+def drop_near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document with the smallest doc_id of each group that equal texts and near-duplicate links connect.
+
+    Columns stay as they are. Null, empty and wordless texts group with texts of the same spelling only (null
+    as empty); rows with a null doc_id come last in their group; of rows with one doc_id and text one stays;
+    an empty table gives no rows."""
+    texts = documents.select("doc_id", text_or_empty("text").alias("text")).withColumn("id", minhash.text_id(F.col("text")))
+    roots = connected_components(near_duplicate_links(texts.select("id", "text"), width, similarity))
+    # The row that stays: least (null last, doc_id, text id) of its component.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    best = texts.select("doc_id", "id").groupBy("id").agg(F.min(order).alias("best"))
+    best = best.join(roots, best["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.doc_id").alias("__d"), F.col("best.id").alias("__i"))
+    named = documents.withColumn("__t", minhash.text_id(text_or_empty("text")))
+    kept = named.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__i")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__t"]).drop("__t")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
