@@ -12,11 +12,15 @@ fewer sequences.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import materialise, table, text_or_empty
@@ -27,18 +31,26 @@ PART_ROWS = 50_000
 #: Packings with an exchange before each but the first.
 ROUNDS = 3
 #: Distinct chunks that a worker remembers, and bytes of text that it cuts at a time.
-CACHE, SLICE_BYTES = 200_000, 4 << 20
-SEPARATOR = "<|endoftext|>"
+CACHE, SLICE_BYTES = 1_000_000, 4 << 20
+#: Chunks encoded in one call; only chunks whose letters fold one to one and compose no further, and no special token.
+PART_CHUNKS = 64
+LETTER_MARK = re.compile(rb"([a-z])([.,])(?=[ \n])")
+PLAIN = re.compile("(?!.*<[|])[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017e]+")
+#: The tokenizer's pre-tokens (a fixed value of its vocabulary file).
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class ChunkTokenizer:
     """Ids of texts by way of their chunks: runs without ASCII white space, which the tokenizer drops and never crosses."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -46,21 +58,30 @@ class ChunkTokenizer:
         self.known: dict[bytes | None, int] = {None: 0}
         self.flat, self.starts, self.lengths = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
+    def _encode_parts(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and number of ids of many plain chunks at once: each pre-token ends in one id of a word's end."""
+        parts = [" ".join(plain[i : i + PART_CHUNKS]) for i in range(0, len(plain), PART_CHUNKS)]
+        ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.word_end[ids])
+        tokens = np.cumsum([1 if c.isalpha() else len(PRE_TOKEN.findall(c.lower())) for c in plain])
+        if tokens[-1] != len(ends) or ends[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(ends[tokens - 1], prepend=-1)
+
     def _learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if b"<|" not in c]
-        other = [c for c in chunks if b"<|" in c]
-        ids = np.asarray(self.tokenizer.encode(SEPARATOR.join(c.decode() for c in plain), add_special_tokens=False).ids, np.uint32)
-        parts = [ids[ids != self.separator]] if plain else []
-        cuts = np.flatnonzero(ids == self.separator)
-        bounds = np.concatenate([[-1], cuts, [len(ids)]])
-        lengths = [np.diff(bounds) - 1] if plain else []
-        for c in other:  # these may hold special tokens themselves
-            own = np.asarray(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, np.uint32)
+        texts = [c.decode() for c in chunks]
+        plain = [i for i, c in enumerate(texts) if PLAIN.fullmatch(c)]
+        found = self._encode_parts([texts[i] for i in plain]) if plain else None
+        parts, lengths = ([found[0]], [found[1]]) if found else ([], [])
+        alone = sorted(set(range(len(texts))).difference(plain)) if found else list(range(len(texts)))
+        for i in alone:
+            own = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
             parts.append(own)
             lengths.append(np.array([len(own)]))
+        ordered = [chunks[i] for i in (plain if found else []) + alone]
         new = np.concatenate(lengths).astype(np.int64)
         base = len(self.flat)
-        self.known.update(zip(plain + other, range(len(self.lengths), len(self.lengths) + len(new))))
+        self.known.update(zip(ordered, range(len(self.lengths), len(self.lengths) + len(new))))
         self.starts = np.concatenate([self.starts, base + np.cumsum(new) - new])
         self.lengths = np.concatenate([self.lengths, new])
         self.flat = np.concatenate([self.flat, *parts])
@@ -72,12 +93,14 @@ class ChunkTokenizer:
         words: list[bytes | None] = []
         ends = []
         for t in texts:
-            words += t.split()
+            # The tokenizer folds case and cuts between letter and mark; where a special token may stand, its spelling counts.
+            words += (t if b"<|" in t else LETTER_MARK.sub(rb"\1 \2", t.lower())).split()
             words.append(None)
             ends.append(len(words))
-        if new := list(set(words) - self.known.keys()):
-            self._learn(new)
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(codes < 0).tolist()):
+            self._learn(list({words[i] for i in missing}))
+            codes[missing] = [self.known[words[i]] for i in missing]
         lengths = self.lengths[codes]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(self.starts[codes] - upto[:-1], lengths) + np.arange(upto[-1])
@@ -242,12 +265,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
     return out
 
 
-def op5_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of all documents, packed; the ids themselves are digested before they move."""
+def packed_documents(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of documents.
+
+    The ids themselves are digested before they move; write ``tokenised_pieces`` to keep them."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    pieces = tokenised_pieces(table(spark, sf_dir, "documents"), tokenizer)
-    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    digests = tokenised_pieces(documents, tokenizer).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
