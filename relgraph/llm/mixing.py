@@ -23,7 +23,9 @@ from .quality import FEATURES, PassageFeatures, labelled_sample
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.90, "toxic": 0.02, "junk": 0.08}
 #: Bounds of the fit: labelled documents, hashed words, words that the model reads.
-SAMPLE_ROWS, BUCKETS, CHOSEN = 6000, 1 << 16, 512
+SAMPLE_ROWS, BUCKETS, CHOSEN = 12_000, 1 << 16, 512
+#: Characters of a word's beginning that are a feature of their own.
+STEM = 4
 SLICE_BYTES = 2 << 20
 STEPS, TOLERANCE = 30, 1e-4
 
@@ -33,7 +35,7 @@ class DocumentFeatures(PassageFeatures):
 
     def forget(self) -> None:
         super().forget()
-        self.buckets = np.zeros(0, np.int64)
+        self.buckets = np.zeros((0, 2), np.int64)
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Dense rows, (document, bucket) occurrences without repeats, and the number of words of each."""
@@ -42,14 +44,15 @@ class DocumentFeatures(PassageFeatures):
         x, bounds = self.of(texts)
         if len(self.buckets) != len(self.known):
             new = list(self.known)[len(self.buckets) :]
-            hashed = [xxhash.xxh32_intdigest(w.lower().strip(".,;:!?\"'()").encode()) % BUCKETS for w in new]
+            plain = [w.lower().strip(".,;:!?\"'()") for w in new]
+            hashed = [[xxhash.xxh32_intdigest(x.encode()) % BUCKETS for x in (w, f"{w[:STEM]}*")] for w in plain]
             self.buckets = np.concatenate([self.buckets, np.array(hashed, np.int64)])
         starts, sizes = bounds[:-1], np.diff(bounds)[:, None]
         dense = np.concatenate([np.add.reduceat(x, starts) / sizes, np.maximum.reduceat(x, starts)], 1)
         each = [t.split() for t in texts]
         counts = np.array([len(w) for w in each], np.int64)
         codes = np.fromiter((self.known[w] for own in each for w in own), np.int64, int(counts.sum()))
-        pairs = np.unique(np.repeat(np.arange(len(texts)), counts) * BUCKETS + self.buckets[codes])
+        pairs = np.unique(np.repeat(np.arange(len(texts)), counts)[:, None] * BUCKETS + self.buckets[codes])
         return dense, pairs // BUCKETS, pairs % BUCKETS, counts
 
 
@@ -66,7 +69,7 @@ class DomainModel:
         present = np.zeros((len(dense), n), np.float32)
         at = self.place[bucket]
         present[doc[at >= 0], at[at >= 0]] = 1
-        return np.concatenate([np.ones((len(dense), 1), np.float32), (dense - self.mean) / self.scale, present], 1)
+        return np.concatenate([np.ones((len(dense), 1), np.float32), ((dense - self.mean) / self.scale).astype(np.float32), present], 1)
 
     def posteriors(self, dense: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         e = self.design(dense, doc, bucket) @ self.weights
