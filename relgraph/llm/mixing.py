@@ -162,34 +162,31 @@ def posterior_matrix(column: pa.Array, k: int) -> np.ndarray:
 def fit_rates(posteriors: DataFrame, targets: np.ndarray, most: float, steps: int = STEPS) -> list[np.ndarray]:
     """The gradient steps, one number a domain each, from (tokens, posterior).
 
-    Least squares in the norm of M = sum tokens x p p', which makes a full step neither too long nor too
-    short; a document's own step is scaled by its tokens, so that its length does not decide its rate."""
+    Each domain's squared residual is divided by the tokens that it has, so that a full step is never too long
+    (the tokens are the row sums of the normal matrix) and a target out of reach in a small domain does not
+    turn the others; a document's own step is scaled by its tokens, so that its length does not decide its rate."""
     k, taken = len(targets), []
 
-    def totals(with_m: bool):
+    def totals() -> np.ndarray:
         done = list(taken)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k + k * k)
+            sums = np.zeros(k)
             for b in batches:
                 t, p = b.column(0).to_numpy().astype(float), posterior_matrix(b.column(1), k)
-                sums[:k] += (t * replayed(p, done, most)) @ p
-                if with_m:
-                    sums[k:] += ((p * t[:, None]).T @ p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{i}" for i in range(k + k * k)])
+                sums += (t * replayed(p, done, most)) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{i}" for i in range(k)])
 
-        parts = posteriors.select("tokens", "posterior").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k + k * k)))
-        return np.array([x or 0.0 for x in parts.agg(*[F.sum(f"s{i}") for i in range(k + k * k)]).first()])
+        parts = posteriors.select("tokens", "posterior").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
+        return np.array([x or 0.0 for x in parts.agg(*[F.sum(f"s{i}") for i in range(k)]).first()])
 
-    first = totals(True)
-    now, m = first[:k], first[k:].reshape(k, k)
-    inverse = np.linalg.pinv(m + 1e-9 * np.trace(m) * np.eye(k)) if np.trace(m) else np.zeros((k, k))
+    now = have = totals()
     for _ in range(steps):
-        step = inverse @ (now - targets)
-        if np.abs(step).max() < TOLERANCE:
+        step = np.divide(now - targets, have, out=np.zeros(k), where=have > 0)
+        if np.abs(step).max() < TOLERANCE or (len(taken) > 2 and max(np.abs(step - taken[-1]).max(), np.abs(step - taken[-2]).max()) < TOLERANCE):
             break
         taken.append(step)
-        now = totals(False)[:k]
+        now = totals()
     return taken
 
 
@@ -220,8 +217,8 @@ def mix(
     """documents with tokens, posterior (array by DOMAINS), rate and copies.
 
     Targets are shares of ``budget`` expected tokens (default: as many as there are). With anchor =
-    (domain, x) the budget is instead that which gives the domain x times its tokens. Rates lie in
-    [0, most]. Null texts are empty and have no tokens; rows with null or repeated doc_id are fitted and
+    (domain, x) the budget is instead that which gives the domain x times its tokens, and no target lies
+    below x times what the documents of that domain hold of the others. Rates lie in [0, most]. Null texts are empty and have no tokens; rows with null or repeated doc_id are fitted and
     drawn like any other (one row's copies differ from its repetition's only by their text); an empty
     table gives no rows. Columns of documents with those four names are replaced."""
     documents = documents.drop("tokens", "posterior", "rate", "copies")
@@ -230,11 +227,12 @@ def mix(
     found = materialise(domain_posteriors(rows, model), "posteriors")
     shares = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
     have = domain_totals(found, len(DOMAINS))
-    total = have.sum() if budget is None else budget
+    goal = shares * (have.sum() if budget is None else budget)
     if anchor:
         i = DOMAINS.index(anchor[0])
-        total = anchor[1] * have[i] / shares[i]
-    steps = fit_rates(found, shares * total, most)
+        own = found.filter(F.array_max("posterior") == F.col("posterior")[i])
+        goal = np.maximum(shares * anchor[1] * have[i] / shares[i], anchor[1] * domain_totals(own, len(DOMAINS)))
+    steps = fit_rates(found, goal, most)
     rated = with_rates(found, steps, most)
     copies = F.floor(F.col("rate") + uniform(seed, "row.doc_id", "row.text")).cast("int")
     return rated.select("row.*", "tokens", "posterior", "rate", copies.alias("copies"))
