@@ -9,6 +9,7 @@ gradient descent in numpy on a bounded sample; every passage of every document i
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +25,33 @@ THRESHOLD = 0.7
 HIDDEN = 12
 SLICE_BYTES = 2 << 20
 WORD_FEATURES, FEATURES = 10, 15
-
-
-def word_shape(word: str) -> tuple[float, ...]:
-    n = len(word)
-    letters = sum(c.isalpha() for c in word)
-    upper = sum(c.isupper() for c in word)
-    digits = sum(c.isdigit() for c in word)
-    plain = sum(c in ".,;:?'\"()-" for c in word)
-    odd = n - letters - digits - plain
-    return (min(n, 40), letters / n, digits / n, odd / n, float(odd > 0), float(letters > 1 and upper == letters), float(upper > 0), float(letters == 0), float(plain > 0), float(n > 20))
+#: Distinct words that a worker remembers.
+KNOWN_WORDS = 600_000
+
+
+#: Class of a code point: other, upper-case letter, other letter, digit, plain mark.
+OTHER, UPPER, LETTER, DIGIT, PLAIN = range(5)
+CLASSES = np.array([UPPER if chr(c).isupper() else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else PLAIN if chr(c) in ".,;:?'\"()-" else OTHER for c in range(0x2000)], np.uint8)
+
+
+def word_shapes(words: list[str]) -> np.ndarray:
+    """A row for each word, from the classes of its characters; all words at once."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = np.full(len(points), LETTER, np.uint8)
+    low = points < len(CLASSES)
+    kinds[low] = CLASSES[points[low]]
+    owner = np.repeat(np.arange(len(words)), n)
+    counts = np.bincount(owner * 5 + kinds, minlength=5 * len(words)).reshape(-1, 5).astype(np.float32)
+    letters = counts[:, UPPER] + counts[:, LETTER]
+    size = n.astype(np.float32)
+    return np.stack(
+        [
+            np.minimum(size, 40), letters / size, counts[:, DIGIT] / size, counts[:, OTHER] / size, counts[:, OTHER] > 0, (letters > 1) & (counts[:, UPPER] == letters),
+            counts[:, UPPER] > 0, letters == 0, counts[:, PLAIN] > 0, size > 20,
+        ],
+        1,
+    ).astype(np.float32)
 
 
 class PassageFeatures:
@@ -46,29 +64,39 @@ class PassageFeatures:
         self.known: dict[str, int] = {}
         self.shapes = np.zeros((0, WORD_FEATURES), np.float32)
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of all passages and where each text's begin and the last end; a wordless text has one row of zeros."""
-        if len(self.known) > 300_000:
+    def learn(self, new: list[str]) -> None:
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.shapes = np.concatenate([self.shapes, word_shapes(new)])
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words and how many each text has."""
+        if len(self.known) > KNOWN_WORDS:
             self.forget()
         words, counts = [], []
         for t in texts:
             own = t.split()
             counts.append(len(own))
             words += own
-        if new := list(set(words) - self.known.keys()):
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.shapes = np.concatenate([self.shapes, np.array([word_shape(w) for w in new], np.float32)])
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        counts = np.array(counts, np.int64)
+        codes = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(codes < 0).tolist()):
+            self.learn(list({words[i] for i in missing}))
+            codes[missing] = [self.known[words[i]] for i in missing]
+        return codes, np.array(counts, np.int64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all passages and where each text's begin and the last end; a wordless text has one row of zeros."""
+        return self.passages(*self.coded(texts))
+
+    def passages(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bags = np.maximum(1, -(-counts // PASSAGE_WORDS))
         bounds = np.concatenate([[0], np.cumsum(bags)])
         out = np.zeros((bounds[-1], FEATURES), np.float32)
-        if len(words):
-            place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+        if len(codes):
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
             passage = np.repeat(bounds[:-1], counts) + place // PASSAGE_WORDS
             starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
             rows = passage[starts]
-            n = np.diff(np.concatenate([starts, [len(words)]])).astype(np.float32)
+            n = np.diff(np.concatenate([starts, [len(codes)]])).astype(np.float32)
             out[rows, :WORD_FEATURES] = np.add.reduceat(self.shapes[codes], starts) / n[:, None]
             again = np.concatenate([[False], (codes[1:] == codes[:-1]) & (passage[1:] == passage[:-1])])
             out[rows, WORD_FEATURES] = np.add.reduceat(again.astype(np.float32), starts) / n
@@ -148,6 +176,16 @@ class AttentionModel:
         return self
 
 
+def text_slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of texts of about SLICE_BYTES characters."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            yield first, i + 1
+            first, size = i + 1, 0
+
+
 def held_out(fold: int = 2, folds: int = 4):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
@@ -167,14 +205,14 @@ def training_bags(sample: DataFrame, columns: list[str]) -> tuple[np.ndarray, np
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = PassageFeatures()
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, _ = maker.of([batch.column(1)[i].as_py()])
-                if len(x) > SAMPLE_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), *[batch.column(2 + k).slice(i, 1) for k in range(len(columns))]],
-                    ["doc_id", "x", *columns],
-                )
+            for first, last in text_slices(batch.column(1).to_pylist()):
+                rows, bounds = maker.of(batch.column(1).slice(first, last - first).to_pylist())
+                packed = []
+                for a, b in zip(bounds, bounds[1:]):
+                    chosen = np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int)
+                    packed.append(rows[chosen].tobytes())
+                own = [batch.column(i).slice(first, last - first) for i in (0, *range(2, 2 + len(columns)))]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(packed, pa.binary()), *own[1:]], ["doc_id", "x", *columns])
 
     kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in columns)
     rows = sample.mapInArrow(bags, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, x binary, {kinds}").collect()
@@ -200,12 +238,7 @@ def score_quality(documents: DataFrame, model: AttentionModel) -> DataFrame:
         maker = PassageFeatures()
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
-            first, size, out = 0, 0, []
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= SLICE_BYTES or i == len(texts) - 1:
-                    out.append(model.scores(*maker.of(texts[first : i + 1])))
-                    first, size = i + 1, 0
+            out = [model.scores(*maker.of(texts[first:last])) for first, last in text_slices(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "score"])
 
     from pyspark.sql import types as T
