@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import materialise, table, text_or_empty
-from .quality import FEATURES, PassageFeatures, labelled_sample
+from .quality import FEATURES, PassageFeatures, labelled_sample, text_slices
 
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.90, "toxic": 0.02, "junk": 0.08}
@@ -26,7 +26,6 @@ TARGETS = {"clean": 0.90, "toxic": 0.02, "junk": 0.08}
 SAMPLE_ROWS, BUCKETS, CHOSEN = 12_000, 1 << 16, 512
 #: Characters of a word's beginning that are a feature of their own.
 STEM = 4
-SLICE_BYTES = 2 << 20
 STEPS, TOLERANCE = 30, 1e-4
 
 
@@ -37,22 +36,26 @@ class DocumentFeatures(PassageFeatures):
         super().forget()
         self.buckets = np.zeros((0, 2), np.int64)
 
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Dense rows, (document, bucket) occurrences without repeats, and the number of words of each."""
+    def learn(self, new: list[str]) -> None:
         import xxhash
 
-        x, bounds = self.of(texts)
-        if len(self.buckets) != len(self.known):
-            new = list(self.known)[len(self.buckets) :]
-            plain = [w.lower().strip(".,;:!?\"'()") for w in new]
-            hashed = [[xxhash.xxh32_intdigest(x.encode()) % BUCKETS for x in (w, f"{w[:STEM]}*")] for w in plain]
-            self.buckets = np.concatenate([self.buckets, np.array(hashed, np.int64)])
+        super().learn(new)
+        plain = [w.lower().strip(".,;:!?\"'()") for w in new]
+        hashed = [xxhash.xxh32_intdigest(x) % BUCKETS for w in plain for x in (w, f"{w[:STEM]}*")]
+        self.buckets = np.concatenate([self.buckets, np.array(hashed, np.int64).reshape(-1, 2)])
+
+    def rows(self, texts: list[str], read: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Dense rows, (document, bucket) occurrences without repeats, and the number of words of each text;
+        only of the buckets where ``read`` holds, if it is given."""
+        codes, counts = self.coded(texts)
+        x, bounds = self.passages(codes, counts)
         starts, sizes = bounds[:-1], np.diff(bounds)[:, None]
         dense = np.concatenate([np.add.reduceat(x, starts) / sizes, np.maximum.reduceat(x, starts)], 1)
-        each = [t.split() for t in texts]
-        counts = np.array([len(w) for w in each], np.int64)
-        codes = np.fromiter((self.known[w] for own in each for w in own), np.int64, int(counts.sum()))
-        pairs = np.unique(np.repeat(np.arange(len(texts)), counts)[:, None] * BUCKETS + self.buckets[codes])
+        doc = np.repeat(np.arange(len(texts)), counts)
+        if read is not None:
+            some = read[self.buckets].any(1)[codes]
+            codes, doc = codes[some], doc[some]
+        pairs = np.unique(doc[:, None] * BUCKETS + self.buckets[codes])
         return dense, pairs // BUCKETS, pairs % BUCKETS, counts
 
 
@@ -90,14 +93,14 @@ class DomainModel:
         chosen = chosen[np.argsort(-chi[chosen], kind="stable")][:CHOSEN]
         self.place[chosen] = np.arange(len(chosen))
         self.mean, self.scale = dense.mean(0), dense.std(0) + 1e-2
-        self.weights = np.zeros((2 * FEATURES + 1 + len(chosen), k))
-        x, wanted = self.design(dense, doc, bucket), np.eye(k)[y]
+        self.weights = np.zeros((2 * FEATURES + 1 + len(chosen), k), np.float32)
+        x, wanted = self.design(dense, doc, bucket), np.eye(k, dtype=np.float32)[y]
         m, v = np.zeros_like(self.weights), np.zeros_like(self.weights)
         for step in range(1, steps + 1):
             e = x @ self.weights
             e = np.exp(e - e.max(1, keepdims=True))
-            d = x.T @ (e / e.sum(1, keepdims=True) - wanted) / len(y) + 1e-4 * self.weights
-            m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d
+            d = x.T @ ((e / e.sum(1, keepdims=True) - wanted) / np.float32(len(y))) + np.float32(1e-4) * self.weights
+            m, v = (0.9 * m + 0.1 * d).astype(np.float32), (0.99 * v + 0.01 * d * d).astype(np.float32)
             self.weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return self
 
@@ -109,11 +112,14 @@ def fit_domains(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = DocumentFeatures()
         for b in batches:
-            out = [maker.rows([t]) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0].astype("<f4").tobytes() for x in out], pa.binary()), pa.array([x[2].astype("<u2").tobytes() for x in out], pa.binary()), b.column(2), b.column(3)],
-                ["doc_id", "x", "w", "quality", "toxic"],
-            )
+            for first, last in text_slices(b.column(1).to_pylist()):
+                n = last - first
+                dense, doc, bucket, _ = maker.rows(b.column(1).slice(first, n).to_pylist())
+                cuts = np.searchsorted(doc, np.arange(n + 1))
+                words = [bucket[p:q].astype("<u2").tobytes() for p, q in zip(cuts, cuts[1:])]
+                own = [b.column(i).slice(first, n) for i in (0, 2, 3)]
+                packed = [r.tobytes() for r in dense.astype("<f4")]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(packed, pa.binary()), pa.array(words, pa.binary()), *own[1:]], ["doc_id", "x", "w", "quality", "toxic"])
 
     kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("quality", "toxic"))
     found = sample.mapInArrow(features, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, x binary, w binary, {kinds}").collect()
@@ -133,15 +139,12 @@ def domain_posteriors(rows: DataFrame, model: DomainModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = DocumentFeatures()
         for b in batches:
-            texts, first, size = [t or "" for t in b.column(at).to_pylist()], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= SLICE_BYTES or i == len(texts) - 1:
-                    dense, doc, bucket, counts = maker.rows(texts[first : i + 1])
-                    p = model.posteriors(dense, doc, bucket)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-                    yield pa.RecordBatch.from_arrays([*[b.column(c).slice(first, len(p)) for c in names], pa.array(counts), lists], [*names, "tokens", "posterior"])
-                    first, size = i + 1, 0
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            for first, last in text_slices(texts):
+                dense, doc, bucket, counts = maker.rows(texts[first:last], model.place >= 0)
+                p = model.posteriors(dense, doc, bucket)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.astype(np.float64).ravel()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(first, len(p)) for c in names], pa.array(counts), lists], [*names, "tokens", "posterior"])
 
     kept = [rows.schema[c] for c in names]
     return rows.mapInArrow(predict, T.StructType([*kept, T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
