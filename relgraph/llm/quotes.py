@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import ascii_lower, table, text_or_empty
 
 MARK = r"[ ]{0,3}>[^\n]*"
-#: Contiguous quoted lines, with an attribution line that may precede them.
-BLOCK = rf"(?:^|\n)(?:On [^\n]{{1,200}} wrote:[ ]*\n)?({MARK}(?:\n{MARK})*)"
+#: Contiguous quoted lines, with an attribution line that may precede them. Possessive: no backtracking, so no deep stack on long quotes.
+BLOCK = rf"(?:^|\n)(?:On [^\n]{{1,200}} wrote:[ ]*\n)?({MARK}(?:\n{MARK})*+)"
 #: Turns in a rank bucket: even a conversation of a third of all rows is ranked by many tasks.
 BUCKET = 1024
 
 
 def own_text(text: Column) -> Column:
     """A message without its quoted blocks, trimmed."""
-    return F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.btrim(F.regexp_replace(text, BLOCK, "\n"), F.lit(" \t\r\n"))
 
 
 def normalised(text: Column) -> Column:
@@ -40,9 +40,9 @@ def passages(messages: DataFrame) -> DataFrame:
         messages.filter(F.col("text").rlike(BLOCK))
         .select("__m", "conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(1))).alias("b", "block"))
         .select("__m", "conv_id", "turn", "b", F.posexplode(F.split("block", "\n")).alias("l", "line"))
-        .withColumn("marks", F.regexp_extract("line", r"^[ ]{0,3}((?:>[ ]?)+)", 1))
+        .withColumn("marks", F.regexp_extract("line", r"^[ ]{0,3}((?:>[ ]?)++)", 1))
         .withColumn("level", F.length(F.regexp_replace("marks", "[^>]", "")))
-        .withColumn("said", F.regexp_replace("line", r"^[ ]{0,3}(?:>[ ]?)+", ""))
+        .withColumn("said", F.regexp_replace("line", r"^[ ]{0,3}(?:>[ ]?)++", ""))
     )
     block = Window.partitionBy("__m", "b").orderBy("l")
     new = (F.coalesce(F.lag("level").over(block), F.lit(0)) != F.col("level")).cast("int")
