@@ -20,8 +20,8 @@ from .common import materialise, table, text_or_empty
 
 PERMUTATIONS, BANDS = 120, 20  # six rows a band: a pair of similarity 0.8 is missed once in 400, one of 0.5 is found once in four
 WIDTH, SIMILARITY = 5, 0.8
-#: Up to so many texts of one band value are joined as pairs; beyond that, blocks of BLOCK_ROWS are searched for spanning links.
-PAIRS_UPTO, BLOCK_ROWS = 32, 2048
+#: Up to so many texts of one band value are joined as pairs; beyond that, blocks of about BLOCK_SHINGLES are searched for spanning links.
+PAIRS_UPTO, BLOCK_SHINGLES = 32, 1 << 19
 _random = np.random.default_rng(20240601)
 A = _random.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 B = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -270,9 +270,9 @@ def verified_links(documents: DataFrame, width: int = WIDTH, similarity: float =
     Candidates share a band of their signatures, or are rows of ``more`` (a, b). documents has (id, text); texts
     without words link to nothing here, as there is one such class by spelling. Bands that many texts share
     are searched block against block, never listed as pairs."""
-    banded = shingle_table(documents, width).filter("shingles > 0").groupBy("id").agg(F.first("bands").alias("bands"))
-    keyed = materialise(banded.select("id", F.explode("bands").alias("key")), "bands")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    banded = shingle_table(documents, width).filter("shingles > 0").groupBy("id").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    keyed = materialise(banded.select("id", "shingles", F.explode("bands").alias("key")), "bands")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight")).filter("n > 1")
     shared = materialise(keyed.join(sizes, "key"), "shared-bands")
     few = shared.filter(F.col("n") <= PAIRS_UPTO)
     x, y = few.alias("x"), few.alias("y")
@@ -280,7 +280,7 @@ def verified_links(documents: DataFrame, width: int = WIDTH, similarity: float =
     if more is not None:
         pairs = pairs.unionByName(more.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs = materialise(pairs.distinct(), "candidates")
-    many = shared.filter(F.col("n") > PAIRS_UPTO).select("id", "key", "n")
+    many = shared.filter(F.col("n") > PAIRS_UPTO).select("id", "key", "weight")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(many.select("id")).distinct()
     rows = documents.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sets = materialise(shingle_sets(rows, width), "shingle-sets")
@@ -288,7 +288,7 @@ def verified_links(documents: DataFrame, width: int = WIDTH, similarity: float =
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = with_b.filter(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
-    many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
+    many = many.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")).withColumn("own", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("id", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "id")
 
