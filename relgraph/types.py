@@ -44,7 +44,7 @@ def spark_type(sql: str) -> T.DataType:
     """The Spark type of a declared SQL type; time without a date is microseconds of the day."""
     name = re.sub(r"\(.*?\)", "", sql.strip().lower()).strip()
     for known in sorted(SQL_TYPES, key=len, reverse=True):
-        if name.startswith(known):
+        if re.match(rf"{known}(?![a-z])", name):
             return SQL_TYPES[known]
     raise TypeError(f"unsupported type {sql!r}")
 
