@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_language_model": url_filter.OP1_SQL,
     "op8_quotation_linking": quotes.OP8_SQL,
 }

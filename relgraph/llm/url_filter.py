@@ -134,3 +134,47 @@ def calibrated(held: DataFrame) -> float:
 def op1_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+def _oracle(rules: dict[tuple[str, str], str] = RULES, order: int = ORDER) -> str:
+    """DuckDB's form of op1_url_language_model."""
+    fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
+    longest = sorted(rules.items(), key=lambda x: -len("".join(x[0])))
+    rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for (h, p), _ in longest)
+    verdict = " ".join(f"when {fits(h, p)} then '{v}'" for (h, p), v in longest)
+    out = f"""
+with cut as (
+  select page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+crc(i, c) as materialized (
+  select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) from (select unnest(range(256))::bigint as i)),
+ruled as (
+  select *, row_number() over () as id, case {rule} end as rule, case {verdict} end as given,
+         '{"^" * order}' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0./_~%-]', '*', 'g') || '$' as t from cut),
+table_of as materialized (select list(c order by i) as tab from crc),
+rows as materialized (
+  select r.*, xor(list_reduce(list_concat([4294967295::bigint], coalesce(list_transform(range(strlen(coalesce(url, ''))), lambda k: ('0x' || substr(hex(encode(coalesce(url, ''))), 2 * k + 1, 2))::bigint), [])),
+           lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 as held from ruled r, table_of),
+parts as materialized (select id, given, held, substr(t, k, {order + 1}) as g from (select *, unnest(range(1, length(t) - {order} + 1)) as k from rows)),
+level{order} as (select g, count(*) filter (given = 'allow' and not held)::double as a, count(*) filter (given = 'block' and not held)::double as r from parts group by g)"""
+    for k in range(order - 1, -1, -1):
+        out += f",\nlevel{k} as (select substr(g, 2) as g, sum(a) as a, sum(r) as r from level{k + 1} group by 1)"
+    for k in range(order + 1):
+        qa, qr, joined = (f"1.0::double / {SYMBOLS}", f"1.0::double / {SYMBOLS}", "") if k == 0 else ("q.pa", "q.pr", f"join prob{k - 1} q on q.g = substr(l.g, 2)")
+        out += f""",
+prob{k} as materialized (select l.g, case when na > 0 then (l.a + ta * {qa}) / (na + ta) else {qa} end as pa, case when nr > 0 then (l.r + tr * {qr}) / (nr + tr) else {qr} end as pr
+  from level{k} l join (select substr(g, 1, {k}) as ctx, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ta, count(*) filter (r > 0) as tr from level{k} group by 1) c on c.ctx = substr(l.g, 1, {k}) {joined})"""
+    return (
+        out
+        + f""",
+scores as materialized (select id, sum(ln(pa) - ln(pr)) / count(*) as score from parts join prob{order} using (g) group by id),
+bins as (select floor(score / {BIN}) as b, count(*) filter (given = 'allow') as a, count(*) filter (given = 'block') as r from rows join scores using (id) where held and given is not null group by 1),
+totals as (select sum(a) as na, sum(r) as nr from bins),
+ranked as (select b, sum(a) over (order by b rows between current row and unbounded following) as above, coalesce(sum(r) over (order by b rows between unbounded preceding and 1 preceding), 0) as below from bins),
+best as (select b * {BIN} as threshold from ranked, totals where na > 0 and nr > 0 order by above / na + below / nr desc, abs(b), b limit 1)
+select page_id, host, path, rule, coalesce(given, case when score >= coalesce((select threshold from best), 0) then 'allow' else 'block' end) as verdict, round(score, 6) as score
+from rows join scores using (id)"""
+    )
+
+
+OP1_SQL = _oracle()
