@@ -67,6 +67,8 @@ def edited(own: str, following: str) -> str:
 
 #: Bytes of text in a run of neighbouring documents that one task fingerprints.
 RUN_BYTES = 16 << 20
+#: Up to so many runs (12 bytes each) the rows that they lend are found by a broadcast; beyond that, by a shuffle.
+BROADCAST_RUNS = 100_000
 
 
 def neighbour_runs(documents: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -78,7 +80,7 @@ def neighbour_runs(documents: DataFrame, run_bytes: int = RUN_BYTES) -> DataFram
     docs = documents.select("doc_id", text_or_empty("text").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // run_bytes) + 1
-    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], min(100 * n, 1_000_000))).first()[0] if n > 1 else None
     bounds = np.unique(np.array(found or [], np.int64))
     last = len(bounds) + 1
 
@@ -93,20 +95,17 @@ def neighbour_runs(documents: DataFrame, run_bytes: int = RUN_BYTES) -> DataFram
     firsts = ids.groupBy("run").agg(F.max("doc_id").alias("first"))
     # A row for each run: bounded by bytes of input over run_bytes.
     runs = sorted((r.run, r.first) for r in firsts.collect())
-    before = {first: runs[i - 1][0] for i, (_, first) in enumerate(runs)}
+    spark = documents.sparkSession
+    before = [(first, runs[i - 1][0]) for i, (_, first) in enumerate(runs)]
+    lent_to = spark.createDataFrame(before, "first long, run int")
+    lent_to = F.broadcast(lent_to) if len(before) <= BROADCAST_RUNS else lent_to
     own = docs.withColumn("run", run_of("doc_id")).withColumn("borrowed", F.lit(False))
-    lent_to = F.lit(None).cast("int")
-    keys = sorted(k for k in before if k is not None)
-    if keys:
-        lent = docs.filter(F.col("doc_id").isin(keys))
-        places = F.create_map(*[x for k in keys for x in (F.lit(k).cast("long"), F.lit(before[k]))])
-        lent_to = F.element_at(places, F.col("doc_id").cast("long"))
-        lent = lent.select("doc_id", "text", lent_to.alias("run"), F.lit(True).alias("borrowed"))
-        own = own.select("doc_id", "text", "run", "borrowed").unionByName(lent)
-    if None in before:
-        own = own.select("doc_id", "text", "run", "borrowed").unionByName(
-            docs.filter("doc_id is null").select("doc_id", "text", F.lit(before[None]).alias("run"), F.lit(True).alias("borrowed"))
-        )
+    lent = docs.join(lent_to, docs["doc_id"].cast("long") == lent_to["first"]).select("doc_id", "text", "run", F.lit(True).alias("borrowed"))
+    own = own.select("doc_id", "text", "run", "borrowed").unionByName(lent)
+    nameless = [to for first, to in before if first is None]
+    if nameless:
+        lent = docs.filter("doc_id is null").select("doc_id", "text", F.lit(nameless[0]).alias("run"), F.lit(True).alias("borrowed"))
+        own = own.unionByName(lent)
     return own.select("run", "doc_id", "text", "borrowed")
 
 
