@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .bloom import maybe_in
 from .common import materialise, table, text_or_empty
 
 PERMUTATIONS, BANDS = 120, 20  # six rows a band: a pair of similarity 0.8 is missed once in 400, one of 0.5 is found once in four
@@ -281,7 +282,10 @@ def verified_links(documents: DataFrame, width: int = WIDTH, similarity: float =
     pairs = materialise(pairs.distinct(), "candidates")
     many = shared.filter(F.col("n") > PAIRS_UPTO).select("id", "key", "weight")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(many.select("id")).distinct()
-    rows = documents.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    # Thinned where the texts are read, so that few texts move; the join decides.
+    wanted = materialise(wanted, "wanted")
+    thin = documents.filter(maybe_in(wanted)(F.col("id")))
+    rows = thin.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sets = materialise(shingle_sets(rows, width), "shingle-sets")
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
