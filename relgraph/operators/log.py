@@ -103,3 +103,20 @@ def compacted(log: DataFrame, epoch: int, ends: dict[str, tuple[str, str]]) -> D
     v = vertex_asof(log, epoch).select(F.lit(ADD_VERTEX).alias("op"), "label", F.lit(epoch).cast("long").alias("epoch"), "seq", "oid", "props")
     e = edge_asof(log, epoch, ends).select(F.lit(ADD_EDGE).alias("op"), "label", F.lit(epoch).cast("long").alias("epoch"), "seq", "src", "dst", "props")
     return log.filter(F.col("epoch") > epoch).unionByName(v, allowMissingColumns=True).unionByName(e, allowMissingColumns=True)
+
+
+def vertex_validity(log: DataFrame) -> DataFrame:
+    """(label, oid, props, from_epoch, until_epoch): each state of a vertex and the epochs [from, until) in which it
+    is read; until is null for what still stands. States that their own epoch overwrites are left out."""
+    ops = log.filter(F.col("op").isin(ADD_VERTEX, UPDATE_VERTEX, DELETE_VERTEX))
+    last = ops.groupBy("label", "oid", "epoch").agg(F.max_by(F.struct("op", "props"), "seq").alias("x"))
+    order = Window.partitionBy("label", "oid").orderBy("epoch")
+    out = last.withColumn("until_epoch", F.lead("epoch").over(order)).filter(F.col("x.op") != DELETE_VERTEX)
+    return out.select("label", "oid", "x.props", F.col("epoch").alias("from_epoch"), "until_epoch")
+
+
+def valid_at(validity: DataFrame, times: DataFrame, epoch: str = "epoch") -> DataFrame:
+    """Interval join: times (with label, oid, epoch) with the state of their vertex in that epoch."""
+    v = validity.withColumnsRenamed({"label": "__l", "oid": "__o"})
+    on = (F.col("label") == F.col("__l")) & (F.col("oid") == F.col("__o")) & (F.col(epoch) >= F.col("from_epoch")) & (F.col("until_epoch").isNull() | (F.col(epoch) < F.col("until_epoch")))
+    return times.join(v, on).select(*times.columns, "props", "from_epoch", "until_epoch")

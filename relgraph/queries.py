@@ -765,3 +765,105 @@ def selector_labeled(spark, sf_dir):
 def json_output(spark, sf_dir):
     d = A.bfs(links(spark, sf_dir), 0).select(F.lit(0).alias("label_id"), F.col("id").alias("oid"), F.col("depth").alias("distance"))
     return tables.json_rows(d, "label_id", "oid", "distance")
+
+
+# More of the same.
+
+
+VALIDITY_SQL = """v as (select *, lead(epoch) over (partition by label, oid order by epoch) as until_epoch from (
+  select * from (select *, row_number() over (partition by label, oid, epoch order by seq desc) as r from log where op in ('add_vertex', 'update_vertex', 'del_vertex')) where r = 1))"""
+
+
+@query(f"with {LOG_SQL}, {VALIDITY_SQL} select label, oid, props, epoch as from_epoch, until_epoch from v where op <> 'del_vertex'")
+def vertex_validity(spark, sf_dir):
+    return L.vertex_validity(event_log(spark, sf_dir))
+
+
+@query(
+    f"""with {LOG_SQL}, {VALIDITY_SQL} select s.seq, s.src as oid, v.props from log s join v on v.op <> 'del_vertex' and v.oid = s.src and s.epoch >= v.epoch and (v.until_epoch is null or s.epoch < v.until_epoch)
+    where s.op = 'add_edge'"""
+)
+def interval_join(spark, sf_dir):
+    """Each added edge with the state of its source in its epoch."""
+    log = event_log(spark, sf_dir)
+    times = log.filter(F.col("op") == L.ADD_EDGE).select("seq", F.lit("user").alias("label"), F.col("src").alias("oid"), "epoch")
+    return L.valid_at(L.vertex_validity(log), times).select("seq", "oid", "props")
+
+
+@query(f"with {LINKS_SQL}, {steps('select src, dst from both_ways', KCORE_STEP.replace('>= 3', '>= 2'), 25).replace(' as (', ' as materialized (')} select distinct src as id from s25")
+def core_two(spark, sf_dir):
+    return A.kcore(links(spark, sf_dir), 2)
+
+
+@query(f"{BFS_SQL}, b as (select id, min(depth) as depth from r group by id) select min(p.id) as src, b.id as dst from b join edges e on e.dst = b.id join b p on p.id = e.src and p.depth = b.depth - 1 group by b.id")
+def shortest_path_tree(spark, sf_dir):
+    return A.path_edges(links(spark, sf_dir), 0)
+
+
+@query(f"with recursive {LINKS_SQL}, r(s, id, depth) as (select id, id, 0 from nodes union select r.s, e.dst, r.depth + 1 from r join edges e on e.src = r.id where r.depth < 3) select s as source, id, min(depth)::bigint as distance from r group by all")
+def distances_within_three(spark, sf_dir):
+    return A.all_distances(links(spark, sf_dir), 4)
+
+
+@query(f"with {LINKS_SQL}, i as (select dst as id, count(*) as n from edges group by 1), f as (select dst as id, src % 3 as l, count(*) as n from edges where src < 300 group by all) select f.id, f.l as label, round(f.n / i.n, 9) as share from f join i using (id) where f.id >= 300")
+def label_propagation(spark, sf_dir):
+    g = links(spark, sf_dir)
+    out = A.propagate_labels(g, g.vertices.filter("id < 300").select("id", (F.col("id") % 3).alias("label")), 1).filter("id >= 300")
+    return out.select("id", F.explode("labels").alias("label", "share")).select("id", "label", rounded("share"))
+
+
+@query("select 'customer' as label, c_custkey::varchar as oid, coalesce(c_mktsegment, 'none') as segment from customer union all select 'supplier', s_suppkey::varchar, 'none' from supplier")
+def nx_nodes_data(spark, sf_dir):
+    from relgraph.nxview import DiGraphView
+
+    g = tpch_graph(spark, sf_dir).project({"customer": ["segment"], "supplier": []}, {})
+    return DiGraphView(g).nodes("segment", "none")
+
+
+@query("select 'customer' as src_label, o_custkey::varchar as src, 'orders' as dst_label, o_orderkey::varchar as dst, cast(o_totalprice as bigint)::varchar as total from orders where o_custkey between 1 and 20")
+def nx_out_edges(spark, sf_dir):
+    from relgraph.nxview import DiGraphView
+
+    g = tpch_graph(spark, sf_dir)
+    g = PropertyGraph(g.vertices, {"placed": g.edges["placed"].withColumn("total", F.round("total").cast("long"))}, {"placed": g.types["placed"]})
+    some = spark.range(1, 21).select(F.lit("customer").alias("label"), F.col("id").cast("string").alias("oid"))
+    return DiGraphView(g).out_edges(some, "total")
+
+
+@query(f"with {LINKS_SQL}, e as (select src as id, weight from edges union all select dst, weight from edges) select 'node' as label, n.id::varchar as oid, coalesce(sum(weight), 0)::double as degree from nodes n left join e using (id) group by n.id")
+def nx_weighted_degree(spark, sf_dir):
+    from relgraph.nxview import DiGraphView
+
+    return DiGraphView.of_simple(links(spark, sf_dir)).degree("both", "weight")
+
+
+UNDIRECTED_SQL = f"""with recursive {LINKS_SQL}, u as (select src, dst from edges union all select dst, src from edges),
+walk(id, path, depth) as (select 4::bigint, [4::bigint], 0 union all select u.dst, list_append(path, u.dst), depth + 1 from walk join u on u.src = walk.id where depth < 4 and not list_contains(path, u.dst))"""
+
+
+@query(f"{UNDIRECTED_SQL} select id as oid, depth as hops, count(*) as n from walk where depth >= 1 group by all")
+def undirected_paths(spark, sf_dir):
+    """Simple paths of one to four undirected hops from one vertex, by end and length."""
+    t = Traversal.of(link_property_graph(spark, sf_dir)).where(F.col("oid") == "4").simple_paths().both("link", times=(1, 5))
+    return t.df.groupBy(F.col("oid").cast("long").alias("oid"), (F.size("path") - 1).alias("hops")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 'region' as label, r_regionkey::bigint << 0 as oid, r_regionkey::bigint as id from region union all select 'nation', n_nationkey, n_nationkey + (1::bigint << 56) from nation union all select 'supplier', s_suppkey, s_suppkey + (3::bigint << 56) from supplier")
+def global_ids(spark, sf_dir):
+    return tpch_graph(spark, sf_dir).flatten(["region", "nation", "supplier"], ["in_region"]).vertices.select("label", "oid", "id")
+
+
+@query(f"with recursive {LINKS_SQL}, r(id, d) as (select 0::bigint, 0 union select e.dst, r.d + 1 from r join edges e on e.src = r.id where r.d < 40) select id, min(d)::bigint as d from r group by id")
+def pie_distances(spark, sf_dir):
+    from relgraph.functions.pie import messages, run_pie
+
+    far = 1 << 40
+
+    def first(g):
+        return g.vertices.select("id", F.when(F.col("id") == 0, 0).otherwise(far).cast("long").alias("d"), (F.col("id") == 0).alias("changed"))
+
+    def next_(g, state, changed):
+        inbox = messages(g, changed, "d", F.col("d") + 1, F.min)
+        return state.drop("changed").join(inbox, "id", "left").select("id", F.least("d", "msg").alias("d"), F.coalesce(F.col("msg") < F.col("d"), F.lit(False)).alias("changed"))
+
+    return run_pie(links(spark, sf_dir), first, next_).filter(F.col("d") < far)

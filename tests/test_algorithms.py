@@ -167,3 +167,17 @@ def test_dynamic_graph(spark):
     assert back.nodes.filter("id = 'a'").first().attrs == {"n": "5"} and back.nodes.filter("id = 'b'").first().attrs == {}
     g = g.remove_nodes(spark.createDataFrame([("b",)], "id string"))
     assert g.edges.count() == 0 and g.nodes.count() == 2 and g.clear().nodes.count() == 0
+
+
+def test_vectorised_program(spark, diamond):
+    import pandas as pd
+
+    from relgraph.functions.pie import run_pie, vectorised
+
+    def double(frame: pd.DataFrame) -> pd.DataFrame:
+        frame["x"] = frame["x"] * 2
+        return frame.assign(changed=frame["x"] < 8)
+
+    step = vectorised(double, "id long, x long, changed boolean")
+    out = run_pie(diamond, lambda g: g.vertices.selectExpr("id", "1L as x", "true as changed"), lambda g, s, c: step(s.drop("changed")))
+    assert set(found(out, "x").values()) == {8}
