@@ -183,9 +183,10 @@ def average_clustering(g: SimpleGraph) -> DataFrame:
 
 def transitivity(g: SimpleGraph) -> DataFrame:
     """Three times the triangles over the wedges."""
-    wedges = g.both().groupBy("src").agg(F.count(F.lit(1)).alias("d")).agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("w"))
-    t = triangle_list(g).agg((3 * F.count(F.lit(1))).alias("t"))
-    return t.select(F.col("t").alias("closed")).join(F.broadcast(wedges)).select(F.when(F.col("w") > 0, F.col("closed") / F.col("w")).otherwise(0.0).alias("value"))
+    wedges = g.both().groupBy("src").agg(F.count(F.lit(1)).alias("d")).select((F.col("d") * (F.col("d") - 1) / 2).alias("w"), F.lit(0).alias("t"))
+    closed = triangle_list(g).select(F.lit(0.0).alias("w"), F.lit(3).alias("t"))
+    sums = wedges.unionByName(closed).agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
+    return sums.select(F.when(F.col("w") > 0, F.col("t") / F.col("w")).otherwise(0.0).alias("value"))
 
 
 def kcore(g: SimpleGraph, k: int = 3) -> DataFrame:

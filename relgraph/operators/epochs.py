@@ -8,16 +8,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKET = 1 << 16
 
 
-def numbered(df: DataFrame, seq: str = "seq", name: str = "k") -> DataFrame:
-    """df with its 0-based rank by seq (unique numbers), counted by many tasks: rank within a bucket of seq plus
-    the rows of the buckets before."""
-    bucket = F.floor(F.col(seq) / BUCKET).alias("__b")
-    df = df.withColumn("__b", bucket)
-    counts = df.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+def summed_before(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """df with the sum of ``value`` over the rows before each, by ``order`` (whole numbers; rows of one number in any order).
+
+    Many tasks do it: the running sum within a bucket of ``order``, plus the sums of the buckets before, of which there
+    is one row for BUCKET numbers."""
+    df = df.withColumns({"__b": F.floor(F.col(order) / BUCKET), "__v": value})
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inner = Window.partitionBy("__b").orderBy(seq)
-    return df.join(counts, "__b").withColumn(name, F.row_number().over(inner) - 1 + F.col("__o")).drop("__b", "__o")
+    sums = df.groupBy("__b").agg(F.sum("__v").alias("__s"))
+    sums = sums.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
+    inner = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(sums, F.col("__b").eqNullSafe(F.col("__c")))
+    return out.withColumn(name, F.coalesce(F.sum("__v").over(inner), F.lit(0)) + F.col("__o")).drop("__b", "__v", "__c", "__o")
+
+
+def numbered(df: DataFrame, seq: str = "seq", name: str = "k") -> DataFrame:
+    """df with its 0-based rank by seq."""
+    return summed_before(df, seq, F.lit(1), name)
 
 
 def by_count(events: DataFrame, per_epoch: int = 10_000, seq: str = "seq", first: int = 0) -> DataFrame:
@@ -34,10 +41,9 @@ def by_time(events: DataFrame, seconds: int = 60, ts: str = "ts") -> DataFrame:
 def by_transaction(events: DataFrame, per_epoch: int = 10_000, tx: str = "tx", first: int = 0) -> DataFrame:
     """Transactions in order of their id, never split: an epoch ends with the transaction that reaches per_epoch events
     counted from the start of the log."""
-    sizes = events.groupBy(tx).agg(F.count(F.lit(1)).alias("__n"))
-    # A row for each transaction, not for each event.
-    before = F.sum("__n").over(Window.orderBy(tx).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col(tx).alias("__t"), (F.floor(F.coalesce(before, F.lit(0)) / per_epoch) + first).cast("long").alias("epoch"))
+    sizes = events.groupBy(F.col(tx).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = summed_before(sizes, "__t", F.col("__n"), "__k")
+    starts = starts.select("__t", (F.floor(F.col("__k") / per_epoch) + first).cast("long").alias("epoch"))
     return events.join(starts, F.col(tx).eqNullSafe(F.col("__t"))).drop("__t")
 
 

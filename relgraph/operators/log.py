@@ -84,12 +84,19 @@ def version_at(versions_: DataFrame, ts) -> DataFrame:
 
 
 def versions_at(versions_: DataFrame, times: DataFrame, ts: str = "ts") -> DataFrame:
-    """As-of join: times with the epoch of the newest version that ended by each, null if there is none."""
-    both = times.select(F.col(ts), F.lit(1).alias("__q"), F.lit(None).cast("long").alias("__e")).unionByName(
-        versions_.select(F.col("end_ts").alias(ts), F.lit(0).alias("__q"), F.col("epoch").alias("__e"))
+    """As-of join: times with the epoch of the newest version that ended by each, null if there is none.
+
+    Within a day by a window; what the days before leave over comes from a row for each day."""
+    both = times.select(F.col(ts).alias("__ts"), F.lit(1).alias("__q"), F.lit(None).cast("long").alias("__e")).unionByName(
+        versions_.select(F.col("end_ts").alias("__ts"), F.lit(0).alias("__q"), F.col("epoch").alias("__e"))
     )
-    order = Window.orderBy(ts, "__q").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("epoch", F.last("__e", ignorenulls=True).over(order)).filter("__q = 1").select(ts, "epoch")
+    both = both.withColumn("__day", F.date_trunc("day", "__ts"))
+    days = both.groupBy("__day").agg(F.max("__e").alias("__m"))
+    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("__day").alias("__d"), F.max("__m").over(before).alias("__left"))
+    order = Window.partitionBy("__day").orderBy("__ts", "__q").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.join(days, F.col("__day").eqNullSafe(F.col("__d"))).withColumn("epoch", F.coalesce(F.max("__e").over(order), "__left"))
+    return out.filter("__q = 1").select(F.col("__ts").alias(ts), "epoch")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
