@@ -49,11 +49,15 @@ def materialise(df: DataFrame, what: str, by: list[str] | None = None) -> DataFr
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans no longer referenced."""
+    """Let Spark's cleaner delete the shuffle files of plans no longer referenced: once for what Python
+    holds, once more for what only that held."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_or_empty(c: str | Column) -> Column:

@@ -29,7 +29,7 @@ from .common import free_shuffles, materialise, table, text_or_empty
 CUT = 5
 ABOVE = 1e-3
 #: Tokens in a partition and in a group of documents, at the mean.
-PART_TOKENS, GROUP_TOKENS = 3_000_000, 2_000_000
+PART_TOKENS, GROUP_TOKENS = 2_000_000, 1_000_000
 #: Words above this share of a sample are hot: 250 at most. The sample only chooses them; their counts are exact.
 HOT_SHARE, HOT_SAMPLE = 0.004, 500
 END, START = b"\n</s>", b"\n<s>"  # no word holds a line feed
@@ -102,32 +102,40 @@ def corpus_counts(documents: DataFrame, hot: list[bytes]) -> tuple[int, int, int
     return get(len(hot)), get(len(hot) + 1), get(len(hot) + 2), {w: get(i) for i, w in enumerate(hot)}
 
 
+class Places(dict):
+    """Numbers words as they come; START is 0."""
+
+    def __init__(self) -> None:
+        super().__init__({START: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def deal(documents: DataFrame, hot: list[bytes], parts: int) -> DataFrame:
     """(part, grp, blob): the pairs of each group of documents for each partition, and at a part below 0 the group's documents."""
     hot_hashes = np.sort(word_hashes(hot))
 
-    def emit(grp: int, docs: list, words: list[bytes], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-        place = {START: 0}
-        for w in words:
-            if w not in place:
-                place[w] = len(place)
+    def emit(grp: int, docs: list, place: Places, codes: list[np.ndarray], sizes: list[int]) -> Iterator[pa.RecordBatch]:
         known = word_hashes(list(place))
         order = np.argsort(known, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         known = known[order]
-        second = rank[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+        second = rank[np.concatenate(codes)]
         size = np.array(sizes, np.int64)
         starts = np.cumsum(size) - size
         first = np.concatenate([[0], second[:-1]])
         first[starts] = rank[0]
-        doc = np.repeat(np.arange(len(size)), size)
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         held = np.array([d[1] for d in docs], bool)
         is_hot = np.isin(known, hot_hashes)
         part = (known % np.uint64(parts)).astype(np.int64)[second]
         spread = ((known >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)[first]
         part = np.where(is_hot[second], (part + spread) % parts, part)
         key = second << 32 | first
+        del second, first, spread
         order = np.argsort(key, kind="stable")
         order = order[np.argsort(part[order].astype(np.uint16 if parts < 65536 else np.int64), kind="stable")]
         key, doc, part = key[order], doc[order], part[order]
@@ -152,18 +160,19 @@ def deal(documents: DataFrame, hot: list[bytes], parts: int) -> DataFrame:
         from pyspark import TaskContext
 
         grp = TaskContext.get().partitionId() << 24
-        docs, words, sizes = [], [], []
+        docs, place, codes, sizes, total = [], Places(), [], [], 0
         for b in batches:
             for name, text, held in zip(*(c.to_pylist() for c in b.columns)):
                 own = tokens(text)
                 docs.append((name, held))
-                words += own
+                codes.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
                 sizes.append(len(own))
-                if len(words) >= GROUP_TOKENS:
-                    yield from emit(grp, docs, words, sizes)
-                    grp, docs, words, sizes = grp + 1, [], [], []
+                total += len(own)
+                if total >= GROUP_TOKENS:
+                    yield from emit(grp, docs, place, codes, sizes)
+                    grp, docs, place, codes, sizes, total = grp + 1, [], Places(), [], [], 0
         if docs:
-            yield from emit(grp, docs, words, sizes)
+            yield from emit(grp, docs, place, codes, sizes)
 
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty("text").cast("binary").alias("text"), "held_out")
     return rows.mapInArrow(run, "part int, grp long, blob binary")
@@ -199,16 +208,19 @@ def count_partition(t: pa.Table, hot: dict[int, int]) -> pa.Table:
         sizes.append(n)
     lengths = [len(x) for x in seconds]
     second, first, train = np.concatenate(seconds), np.concatenate(firsts), np.concatenate(trains)
+    del seconds, firsts, trains
     order = np.lexsort((first, second))
     s2, s1 = second[order], first[order]
+    del second, first
     new2 = np.concatenate([[True], s2[1:] != s2[:-1]])
     new = np.flatnonzero(new2 | np.concatenate([[True], s1[1:] != s1[:-1]]))
     pair_count = np.add.reduceat(train[order], new)
-    pair_of = np.empty(len(order), np.int64)
+    pair_of = np.empty(len(order), np.int32)
     pair_of[order] = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [len(order)]])))
     starts2 = np.flatnonzero(new2)
     word_count = np.add.reduceat(train[order], starts2)
     words = s2[starts2]
+    del s2, train, order
     names = np.array(sorted(hot), np.uint64)
     at = np.searchsorted(names, words)
     is_hot = names[np.minimum(at, len(names) - 1)] == words
