@@ -1,6 +1,6 @@
 """A fluent traversal over a property graph: each step is a join, a filter or a projection.
 
-The state is a bag of traversers (label, oid, tagged positions, path). A vertex table is only joined where a
+The state is a bag of traversers (label, oid, tagged positions). A vertex table is only joined where a
 property is asked for.
 """
 
@@ -13,18 +13,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relgraph.operators.graph import PropertyGraph, union
 
 
+def oid_of(graph: PropertyGraph, column: str) -> Column:
+    """An id column as traversers carry it: as it is if all labels have ids of one type (numbers join faster), else as text."""
+    kinds = {v.schema["oid"].dataType.simpleString() for v in graph.vertices.values()}
+    return F.col(column) if len(kinds) == 1 else F.col(column).cast("string")
+
+
 @dataclass(frozen=True)
 class Traversal:
     graph: PropertyGraph
-    df: DataFrame  # label, oid, path (array of oid), tag columns ``t_x`` (struct label, oid)
+    df: DataFrame  # label, oid, tag columns ``t_x`` (struct label, oid), and the path once it is asked for
     tags: tuple[str, ...] = ()
     simple: bool = False
 
     @staticmethod
     def of(graph: PropertyGraph, *labels: str) -> Traversal:
         """All vertices, of the labels if any are named."""
-        v = union([graph.vertices[k].select(F.lit(k).alias("label"), F.col("oid").cast("string").alias("oid")) for k in labels or graph.vertices])
-        return Traversal(graph, v.withColumn("path", F.array(F.concat_ws(":", "label", "oid"))))
+        v = union([graph.vertices[k].select(F.lit(k).alias("label"), oid_of(graph, "oid").alias("oid")) for k in labels or graph.vertices])
+        return Traversal(graph, v)
 
     def _with(self, df: DataFrame) -> Traversal:
         return replace(self, df=df)
@@ -36,20 +42,23 @@ class Traversal:
         """Traversers at vertices of a label with a property equal to a value (or satisfying a function of its column)."""
         v = self.graph.vertices[label]
         condition = value(F.col(prop)) if callable(value) else F.col(prop) == value
-        keys = v.filter(condition).select(F.lit(label).alias("label"), F.col("oid").cast("string").alias("oid"))
+        keys = v.filter(condition).select(F.lit(label).alias("label"), oid_of(self.graph, "oid").alias("oid"))
         return self._with(self.df.join(keys, ["label", "oid"], "left_semi").select(self.df.columns))
 
     def simple_paths(self) -> Traversal:
-        """From here on, no vertex twice on a path."""
-        return replace(self, simple=True)
+        """From here on, no vertex twice on a path; only now are paths carried along."""
+        df = self.df if "path" in self.df.columns else self.df.withColumn("path", F.array(F.concat_ws(":", "label", "oid")))
+        return replace(self, df=df, simple=True)
 
     def _step(self, direction: str, labels: tuple[str, ...]) -> DataFrame:
-        adj = self.graph.adjacency(direction, list(labels) or None).select("label", F.col("oid").cast("string").alias("oid"), "nbr_label", F.col("nbr").cast("string").alias("nbr"))
+        adj = self.graph.adjacency(direction, list(labels) or None)
+        adj = adj.select("label", oid_of(self.graph, "oid").alias("oid"), "nbr_label", oid_of(self.graph, "nbr").alias("nbr"))
         rest = [c for c in self.df.columns if c not in ("label", "oid", "path")]
         node = F.concat_ws(":", "nbr_label", "nbr")
         moved = self.df.join(adj, ["label", "oid"])
-        if self.simple:
-            moved = moved.filter(~F.array_contains("path", node))
+        if not self.simple:
+            return moved.select(F.col("nbr_label").alias("label"), F.col("nbr").alias("oid"), *rest)
+        moved = moved.filter(~F.array_contains("path", node))
         return moved.select(F.col("nbr_label").alias("label"), F.col("nbr").alias("oid"), F.array_append("path", node).alias("path"), *rest)
 
     def hop(self, direction: str, *labels: str, times: tuple[int, int] = (1, 2)) -> Traversal:
@@ -88,7 +97,7 @@ class Traversal:
         return self._with(self.df.dropDuplicates(["label", "oid"] if tag is None else [f"t_{tag}"]))
 
     def limit(self, n: int) -> Traversal:
-        return self._with(self.df.orderBy("label", F.col("oid").try_cast("long"), "oid").limit(n))
+        return self._with(self.df.orderBy("label", "oid").limit(n))
 
     def counted(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("n"))
@@ -101,6 +110,6 @@ class Traversal:
 
     def values(self, label: str, *props: str, keep: tuple[str, ...] = ()) -> DataFrame:
         """Properties at the current positions of one label, with tagged oids as columns named by their tags."""
-        v = self.graph.vertices[label].select(F.col("oid").cast("string").alias("oid"), *props)
+        v = self.graph.vertices[label].select(oid_of(self.graph, "oid").alias("oid"), *props)
         tagged = [F.col(f"t_{t}.oid").cast("long").alias(t) for t in keep]
         return self.df.filter(F.col("label") == label).select("oid", *tagged).join(v, "oid").select(F.col("oid").cast("long").alias("oid"), *keep, *props)

@@ -148,12 +148,12 @@ def test_selectors(people):
 
 def test_traversal_steps(people):
     t = Traversal.of(people, "person").has("person", "name", "ann").as_("a").out("knows").out("knows", "lives")
-    assert sorted((r.label, r.oid) for r in t.df.collect()) == [("city", "1"), ("city", "1"), ("person", "3"), ("person", "3")]
+    assert sorted((r.label, r.oid) for r in t.df.collect()) == [("city", 1), ("city", 1), ("person", 3), ("person", 3)]
     assert t.dedup().df.count() == 2 and t.at("a").same_as("a").df.count() == 4 and t.counted().first().n == 4
     u = Traversal.of(people, "person").union(lambda x: x.out("lives"), lambda x: x.in_("knows"))
     assert u.df.count() == 6 and u.limit(2).df.count() == 2
     assert sorted(r.name for r in Traversal.of(people, "city").in_("lives").values("person", "name").collect()) == ["ann", "bob"]
-    assert Traversal.of(people, "person").simple_paths().both("knows", times=(0, 3)).df.filter("oid = '1' and size(path) = 3").count() == 2
+    assert Traversal.of(people, "person").simple_paths().both("knows", times=(0, 3)).df.filter("oid = 1 and size(path) = 3").count() == 2
 
 
 def test_dynamic_graph(spark):
