@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from relgraph.operators.graph import SimpleGraph, swapped
-from relgraph.runtime import cut
+from relgraph.runtime import cut, held
 
 
 def pagerank(g: SimpleGraph, delta: float = 0.85, rounds: int = 5, dangling: str = "exact") -> DataFrame:
@@ -20,22 +20,24 @@ def pagerank(g: SimpleGraph, delta: float = 0.85, rounds: int = 5, dangling: str
     v = cut(g.vertices.select("id"))
     e = g.directed().select("src", "dst")
     degrees = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    e = cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(degrees, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share")))
+    degrees = cut(degrees)
+    e = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(degrees, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share"))
     n = v.count()
     if not n:
         return v.withColumn("rank", F.lit(0.0))
     sinks = v.join(degrees, v["id"] == degrees["src"], "left_anti")
     n_sinks = sinks.count()
     rank = v.withColumn("rank", F.lit(1.0 / n))
-    held = n_sinks / n
-    for k in range(rounds):
-        base = (1 - delta) / n + delta * held / n
-        flow = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        rank = cut(v.join(flow, "id", "left").select("id", (F.lit(base) + delta * F.coalesce("flow", F.lit(0.0))).alias("rank")))
-        if dangling == "uniform":
-            held = base * n_sinks
-        elif k < rounds - 1:
-            held = rank.join(degrees, rank["id"] == degrees["src"], "left_anti").agg(F.sum("rank")).first()[0] or 0.0
+    lost = n_sinks / n
+    with held(e, "src") as e:
+        for k in range(rounds):
+            base = (1 - delta) / n + delta * lost / n
+            flow = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+            rank = cut(v.join(flow, "id", "left").select("id", (F.lit(base) + delta * F.coalesce("flow", F.lit(0.0))).alias("rank")))
+            if dangling == "uniform":
+                lost = base * n_sinks
+            elif k < rounds - 1:
+                lost = rank.join(degrees, rank["id"] == degrees["src"], "left_anti").agg(F.sum("rank")).first()[0] or 0.0
     return rank
 
 
@@ -45,24 +47,26 @@ def sssp(g: SimpleGraph, source, weight: str | None = None, max_rounds: int = 10
     Only vertices whose distance fell in a round send in the next. Weights must not be negative; pred is the smallest
     predecessor on a shortest path (null for the source)."""
     cost = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(null_weight))
-    e = cut(g.directed().select("src", "dst", cost.alias("cost")))
-    if weight is not None and not e.filter("cost < 0").isEmpty():
-        raise ValueError("negative weight")
+    edges = g.directed().select("src", "dst", cost.alias("cost"))
     kind = g.vertices.schema["id"].dataType
-    best = cut(g.vertices.filter(F.col("id") == F.lit(source)).select("id").distinct().select("id", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("pred")))
-    front = best
-    for _ in range(max_rounds):
-        if front.isEmpty():
-            break
-        reached = front.select(F.col("id").alias("src"), "distance").join(e, "src").select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("d"), F.col("src").alias("p"))
-        reached = reached.groupBy("id").agg(F.min(F.struct("d", "p")).alias("new"))
-        both = best.join(reached, "id", "full")
-        won = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance")) | ((F.col("new.d") == F.col("distance")) & F.col("pred").isNotNull() & (F.col("new.p") < F.col("pred"))))
-        moved = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance")))
-        best = cut(
-            both.select("id", F.when(won, F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(won, F.col("new.p")).otherwise(F.col("pred")).alias("pred"), F.coalesce(moved, F.lit(False)).alias("moved"))
-        )
-        front = best.filter("moved")
+    best = cut(g.vertices.filter(F.col("id") == F.lit(source)).select("id").distinct().select("id", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("pred"), F.lit(True).alias("moved")))
+    with held(edges, "src") as e:
+        if weight is not None and not e.filter("cost < 0").isEmpty():
+            raise ValueError("negative weight")
+        for _ in range(max_rounds):
+            front = best.filter("moved")
+            if front.isEmpty():
+                break
+            reached = front.select(F.col("id").alias("src"), "distance").join(e, "src").select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("d"), F.col("src").alias("p"))
+            reached = reached.groupBy("id").agg(F.min(F.struct("d", "p")).alias("new"))
+            nearer = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance")))
+            # As near by a smaller predecessor: the vertex need not send again.
+            tied = F.col("new").isNotNull() & (F.col("new.d") == F.col("distance")) & F.col("pred").isNotNull() & (F.col("new.p") < F.col("pred"))
+            best = cut(
+                best.drop("moved").join(reached, "id", "full").select(
+                    "id", F.when(nearer, F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(nearer | tied, F.col("new.p")).otherwise(F.col("pred")).alias("pred"), F.coalesce(nearer, F.lit(False)).alias("moved")
+                )
+            )
     return best.select("id", "distance", "pred")
 
 
@@ -124,12 +128,12 @@ def cdlp(g: SimpleGraph, rounds: int = 10) -> DataFrame:
 
     A directed graph's edges count once for each direction that exists."""
     e = g.edges.filter("src != dst").select("src", "dst")
-    e = cut(e.unionByName(swapped(e)) if not g.undirected else e.unionByName(swapped(e)))
     labels = cut(g.vertices.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
-        votes = e.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
-        chosen = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("best")).select("id", F.col("best.label").alias("new"))
-        labels = cut(labels.join(chosen, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+    with held(e.unionByName(swapped(e)), "dst") as e:
+        for _ in range(rounds):
+            votes = e.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
+            chosen = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("best")).select("id", F.col("best.label").alias("new"))
+            labels = cut(labels.join(chosen, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
     return labels
 
 
@@ -234,19 +238,19 @@ def hits(g: SimpleGraph, tolerance: float = 0.001, max_rounds: int = 100, normal
 
 
 def power(g: SimpleGraph, alpha: float, beta: float, keep: bool, tolerance: float, max_rounds: int, normalize_each: bool) -> DataFrame:
-    e = cut(g.directed().select("src", "dst"))
     v = cut(g.vertices.select("id"))
     n = v.count()
     x = v.withColumn("x", F.lit(1.0 / max(n, 1) if normalize_each else 0.0))
-    for _ in range(max_rounds if n else 0):
-        flow = e.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("f"))
-        own = F.col("x") if keep else F.lit(0.0)
-        y = cut(x.join(flow, "id", "left").select("id", F.col("x").alias("old"), (own + alpha * F.coalesce("f", F.lit(0.0)) + beta).alias("y")))
-        norm = (y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0) if normalize_each else 1.0
-        moved = y.agg(F.sum(F.abs(F.col("y") / norm - F.col("old")))).first()[0]
-        x = cut(y.select("id", (F.col("y") / norm).alias("x")))
-        if moved < n * tolerance:
-            break
+    with held(g.directed().select("src", "dst"), "src") as e:
+        for _ in range(max_rounds if n else 0):
+            flow = e.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("f"))
+            own = F.col("x") if keep else F.lit(0.0)
+            y = cut(x.join(flow, "id", "left").select("id", F.col("x").alias("old"), (own + alpha * F.coalesce("f", F.lit(0.0)) + beta).alias("y")))
+            norm = (y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0) if normalize_each else 1.0
+            moved = y.agg(F.sum(F.abs(F.col("y") / norm - F.col("old")))).first()[0]
+            x = y.select("id", (F.col("y") / norm).alias("x"))
+            if moved < n * tolerance:
+                break
     return x
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relgraph.operators.graph import SimpleGraph
-from relgraph.runtime import cut
+from relgraph.runtime import cut, held
 
 #: Global aggregators by name; each takes a Column.
 AGGREGATORS: dict[str, Callable[[Column], Column]] = {
@@ -41,7 +41,6 @@ class Pregel:
     compute: Callable[[Pregel], dict[str, Column]]
     halt: Callable[[Pregel], Column] | None = None
     aggregators: dict[str, tuple[str, Column]] = field(default_factory=dict)
-    cut_every: int = 1
     step: int = 0
     values: dict[str, object] = field(default_factory=dict)
 
@@ -50,26 +49,27 @@ class Pregel:
 
     def run(self, max_steps: int = 100) -> DataFrame:
         """(id, state columns) when all vertices have halted and no message is left, or after max_steps."""
-        edges = cut(self.graph.directed())
         names = list(self.init)
         state = cut(self.graph.vertices.select("id", *[e.alias(c) for c, e in self.init.items()], F.lit(True).alias("active")))
         self._aggregate(state)
-        for self.step in range(1, max_steps + 1):
-            senders = state.filter("active").withColumnRenamed("id", "src").drop("active")
-            messages = senders.join(edges, "src").select(F.col("dst").alias("id"), self.send(self).alias("msg")).filter("msg is not null")
-            inbox = messages.groupBy("id").agg(self.combine(F.col("msg")).alias("msg"))
-            both = state.join(inbox, "id", "left")
-            awake = F.col("active") | F.col("msg").isNotNull()
-            new = {c: F.when(awake, e).otherwise(F.col(c)) for c, e in self.compute(self).items()}
-            next_ = both.select("id", *[new.get(c, F.col(c)).alias(c) for c in names], awake.alias("awake"), *[F.col(c).alias(f"old_{c}") for c in names])
-            active = F.col("awake") & ~self.halt(self) if self.halt else F.col("awake")
-            next_ = next_.withColumn("active", F.coalesce(active, F.lit(False))).select("id", *names, "active")
-            state = cut(next_) if self.step % self.cut_every == 0 else next_
-            self._aggregate(state)
-            if self.halt and state.filter("active").isEmpty():
-                break
+        with held(self.graph.directed(), "src") as edges:
+            for self.step in range(1, max_steps + 1):
+                state = cut(self._superstep(state, edges, names))
+                self._aggregate(state)
+                if self.halt and state.filter("active").isEmpty():
+                    break
         return state.select("id", *names)
 
+    def _superstep(self, state: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
+        senders = state.filter("active").withColumnRenamed("id", "src").drop("active")
+        messages = senders.join(edges, "src").select(F.col("dst").alias("id"), self.send(self).alias("msg")).filter("msg is not null")
+        inbox = messages.groupBy("id").agg(self.combine(F.col("msg")).alias("msg"))
+        awake = F.col("active") | F.col("msg").isNotNull()
+        new = {c: F.when(awake, e).otherwise(F.col(c)) for c, e in self.compute(self).items()}
+        both = state.join(inbox, "id", "left").select("id", *[new.get(c, F.col(c)).alias(c) for c in names], awake.alias("awake"), *[F.col(c).alias(f"old_{c}") for c in names])
+        active = F.col("awake") & ~self.halt(self) if self.halt else F.col("awake")
+        return both.withColumn("active", F.coalesce(active, F.lit(False))).select("id", *names, "active")
+
     def _aggregate(self, state: DataFrame) -> None:
         if self.aggregators:
             row = state.agg(*[AGGREGATORS[kind](e).alias(k) for k, (kind, e) in self.aggregators.items()]).first()

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def held(df: DataFrame, key: str):
+    """df, kept by executors and dealt by a column while a loop joins on it: a round then only shuffles what it computes.
+
+    What a lost executor held is read again from the written table below it."""
+    out = cut(df).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield out
+    finally:
+        out.unpersist()
