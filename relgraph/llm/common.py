@@ -60,5 +60,18 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def trim_memory() -> None:
+    """Give a worker's freed memory back to the system: a worker lives through many tasks, and two share an executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

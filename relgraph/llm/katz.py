@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_shuffles, materialise, table, text_or_empty
+from .common import free_shuffles, materialise, table, text_or_empty, trim_memory
 
 CUT = 5
 ABOVE = 1e-3
@@ -162,8 +162,8 @@ def deal(documents: DataFrame, hot: list[bytes], parts: int) -> DataFrame:
         grp = TaskContext.get().partitionId() << 24
         docs, place, codes, sizes, total = [], Places(), [], [], 0
         for b in batches:
-            for name, text, held in zip(*(c.to_pylist() for c in b.columns)):
-                own = tokens(text)
+            for name, text, held in zip(*b.columns):
+                name, own, held = name.as_py(), tokens(text.as_py()), held.as_py()
                 docs.append((name, held))
                 codes.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
                 sizes.append(len(own))
@@ -171,8 +171,10 @@ def deal(documents: DataFrame, hot: list[bytes], parts: int) -> DataFrame:
                 if total >= GROUP_TOKENS:
                     yield from emit(grp, docs, place, codes, sizes)
                     grp, docs, place, codes, sizes, total = grp + 1, [], Places(), [], [], 0
+                    trim_memory()
         if docs:
             yield from emit(grp, docs, place, codes, sizes)
+        trim_memory()
 
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty("text").cast("binary").alias("text"), "held_out")
     return rows.mapInArrow(run, "part int, grp long, blob binary")
@@ -293,7 +295,10 @@ def katz_scores(documents: DataFrame, held_out) -> DataFrame:
     dealt = deal(docs, hot, parts)
 
     def count(t: pa.Table) -> pa.Table:
-        return count_partition(t, by_hash)
+        try:
+            return count_partition(t, by_hash)
+        finally:
+            trim_memory()
 
     counted = materialise(dealt.groupBy("part").applyInArrow(count, COUNTED), "katz", by=["kind"])
     free_shuffles(spark)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .bloom import maybe_in
-from .common import materialise, table, text_or_empty
+from .common import materialise, table, text_or_empty, trim_memory
 
 PERMUTATIONS, BANDS = 120, 20  # six rows a band: a pair of similarity 0.8 is missed once in 400, one of 0.5 is found once in four
 WIDTH, SIMILARITY = 5, 0.8
@@ -216,6 +216,7 @@ def shingle_table(texts: DataFrame, width: int = WIDTH, bands: bool = True) -> D
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["id", "shingles", "bands"])
+        trim_memory()
 
     return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(each, "id long, shingles long, bands array<long>")
 
@@ -229,6 +230,7 @@ def shingle_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "s"])
+        trim_memory()
 
     return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(each, "id long, s array<long>")
 
@@ -299,6 +301,7 @@ def verified_links(documents: DataFrame, width: int = WIDTH, similarity: float =
         column = t.column("s").combine_chunks()
         flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
         a, b = spanning_jaccard(t.column("id").to_pylist(), [flat[p:q] for p, q in zip(ends, ends[1:])], similarity)
+        trim_memory()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return links.unionByName(many.groupBy("key", "i", "j").applyInArrow(span, "a long, b long"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialise, table, text_or_empty
+from .common import materialise, table, text_or_empty, trim_memory
 from .quality import FEATURES, PassageFeatures, labelled_sample, text_slices
 
 DOMAINS = ("clean", "toxic", "junk")
@@ -120,6 +120,8 @@ def fit_domains(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
                 own = [b.column(i).slice(first, n) for i in (0, 2, 3)]
                 packed = [r.tobytes() for r in dense.astype("<f4")]
                 yield pa.RecordBatch.from_arrays([own[0], pa.array(packed, pa.binary()), pa.array(words, pa.binary()), *own[1:]], ["doc_id", "x", "w", "quality", "toxic"])
+        del maker
+        trim_memory()
 
     kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("quality", "toxic"))
     found = sample.mapInArrow(features, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, x binary, w binary, {kinds}").collect()
@@ -145,6 +147,8 @@ def domain_posteriors(rows: DataFrame, model: DomainModel) -> DataFrame:
                 p = model.posteriors(dense, doc, bucket)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.astype(np.float64).ravel()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(first, len(p)) for c in names], pa.array(counts), lists], [*names, "tokens", "posterior"])
+        del maker
+        trim_memory()
 
     kept = [rows.schema[c] for c in names]
     return rows.mapInArrow(predict, T.StructType([*kept, T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))

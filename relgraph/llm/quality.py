@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, trim_memory
 
 PASSAGE_WORDS = 64
 #: Labelled documents to learn from, chosen by hash, and passages of one of them (evenly spaced): the bounds of the fit.
@@ -213,6 +213,8 @@ def training_bags(sample: DataFrame, columns: list[str]) -> tuple[np.ndarray, np
                     packed.append(rows[chosen].tobytes())
                 own = [batch.column(i).slice(first, last - first) for i in (0, *range(2, 2 + len(columns)))]
                 yield pa.RecordBatch.from_arrays([own[0], pa.array(packed, pa.binary()), *own[1:]], ["doc_id", "x", *columns])
+        del maker
+        trim_memory()
 
     kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in columns)
     rows = sample.mapInArrow(bags, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, x binary, {kinds}").collect()
@@ -240,6 +242,8 @@ def score_quality(documents: DataFrame, model: AttentionModel) -> DataFrame:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             out = [model.scores(*maker.of(texts[first:last])) for first, last in text_slices(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "score"])
+        del maker
+        trim_memory()
 
     from pyspark.sql import types as T
 
