@@ -18,10 +18,10 @@ def pagerank(g: SimpleGraph, delta: float = 0.85, rounds: int = 5, dangling: str
     ``dangling``: ``exact`` spreads what vertices without out-edges hold; ``uniform`` takes them to hold the base rank of the
     round, which is exact only where they have no in-edges."""
     v = cut(g.vertices.select("id"))
-    e = g.directed().select("src", "dst")
-    degrees = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    e = cut(g.directed().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")))
+    degrees = e.groupBy("src").agg(F.sum("k").alias("deg"))
     degrees = cut(degrees)
-    e = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(degrees, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share"))
+    e = e.join(degrees, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share"))
     n = v.count()
     if not n:
         return v.withColumn("rank", F.lit(0.0))
