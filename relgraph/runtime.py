@@ -24,9 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that this process wrote to the shared folder.
+WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete those tables, once the results that read them are written elsewhere; how many there were."""
+    n = len(WRITTEN)
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written and read back: later plans start here, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

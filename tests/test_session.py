@@ -114,3 +114,12 @@ def test_entry_runs(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sweep(spark):
+    from relgraph import runtime
+
+    runtime.sweep(spark)
+    df = runtime.cut(spark.range(3))
+    path = runtime.WRITTEN[-1]
+    assert df.count() == 3 and os.path.isdir(path) and runtime.sweep(spark) == 1 and not os.path.exists(path)
