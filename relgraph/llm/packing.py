@@ -31,7 +31,7 @@ PART_ROWS = 50_000
 #: Packings with an exchange before each but the first.
 ROUNDS = 3
 #: Distinct chunks that a worker remembers, and bytes of text that it cuts at a time.
-CACHE, SLICE_BYTES = 1_000_000, 4 << 20
+CACHE, SLICE_BYTES = 600_000, 4 << 20
 #: Chunks encoded in one call; only chunks whose letters fold one to one and compose no further, and no special token.
 PART_CHUNKS = 64
 LETTER_MARK = re.compile(rb"([a-z])([.,])(?=[ \n])")
