@@ -29,13 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     found = tempfile.mkdtemp(prefix="relgraph-")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Tables that this process wrote to the shared folder.
+WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete those tables, once the results that read them are written elsewhere; how many there were."""
+    n = len(WRITTEN)
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -43,6 +56,7 @@ def materialise(df: DataFrame, what: str, by: list[str] | None = None) -> DataFr
     optimiser exact sizes, and lets several later plans read one result."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

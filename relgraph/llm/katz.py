@@ -30,8 +30,9 @@ CUT = 5
 ABOVE = 1e-3
 #: Tokens in a partition and in a group of documents, at the mean.
 PART_TOKENS, GROUP_TOKENS = 2_000_000, 1_000_000
-#: Words above this share of a sample are hot: 250 at most. The sample only chooses them; their counts are exact.
-HOT_SHARE, HOT_SAMPLE = 0.004, 500
+#: Words above a share of a sample are hot: HOT_SHARE or, as the corpus grows, what fills half a partition, but never below
+#: LEAST_SHARE, so there are at most half a million. The sample, of bounded size, only chooses them; their counts are exact.
+HOT_SHARE, LEAST_SHARE, HOT_SAMPLE, MOST_SAMPLE = 0.004, 2e-6, 500, 20_000
 END, START = b"\n</s>", b"\n<s>"  # no word holds a line feed
 
 
@@ -62,20 +63,37 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def hot_words(documents: DataFrame) -> list[bytes]:
-    """The words of END and above HOT_SHARE of a bounded sample."""
-    rows = documents.select(text_or_empty("text").cast("binary").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(8)) == 0).limit(HOT_SAMPLE)
+def sample_counts(documents: DataFrame, rows: int) -> Counter:
+    """Token counts of up to ``rows`` documents, chosen by a hash of their texts."""
+    some = documents.select(text_or_empty("text").cast("binary").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(8)) == 0).limit(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(tokens(t))
-        least = HOT_SHARE * sum(c.values())
-        hot = [w for w, n in c.items() if n > least]
-        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.binary())], ["w"])
+            for t in b.column(0):
+                c.update(tokens(t.as_py()))
+        # A word seen once says nothing about its share.
+        kept = [(w, n) for w, n in c.items() if n > 1 or w == END]
+        rest = sum(c.values()) - sum(n for _, n in kept)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [None], pa.binary()), pa.array([n for _, n in kept] + [rest], pa.int64())], ["w", "n"])
+
+    return Counter({r.w if r.w is None else bytes(r.w): r.n for r in some.mapInArrow(count, "w binary, n long").collect()})
 
-    return sorted({END} | {bytes(r.w) for r in rows.mapInArrow(count, "w binary").collect()})
+
+def hot_words(documents: DataFrame) -> list[bytes]:
+    """END and the words that fill half a partition or more by their share of a bounded sample (at least those above
+    HOT_SHARE, never those below LEAST_SHARE)."""
+    found = sample_counts(documents, HOT_SAMPLE)
+    total, docs = sum(found.values()), found[END]
+    if not docs:
+        return [END]
+    everything = documents.count() * total / docs
+    share = max(LEAST_SHARE, min(HOT_SHARE, PART_TOKENS / 2 / everything))
+    rows = min(MOST_SAMPLE, int(20 / share * docs / total))
+    if rows > HOT_SAMPLE:
+        found = sample_counts(documents, rows)
+    least = share * sum(found.values())
+    return sorted({END} | {w for w, n in found.items() if w is not None and n > least})
 
 
 def corpus_counts(documents: DataFrame, hot: list[bytes]) -> tuple[int, int, int, dict[bytes, int]]:
