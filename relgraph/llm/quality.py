@@ -26,7 +26,7 @@ HIDDEN = 12
 SLICE_BYTES = 2 << 20
 WORD_FEATURES, FEATURES = 10, 15
 #: Distinct words that a worker remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 450_000
 
 
 #: Class of a code point: other, upper-case letter, other letter, digit, plain mark.
