@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -341,24 +342,30 @@ def links(spark: SparkSession, sf_dir: str) -> SimpleGraph:
     """A sparse directed graph on 1009 vertices, some of them alone, with whole-number weights."""
     li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
     e = li.groupBy((F.col("l_partkey") % NODES).alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % NODES).alias("dst")).agg(F.min("l_linenumber").alias("weight"))
-    return SimpleGraph(spark.range(NODES), e)
+    return SimpleGraph(spark.range(NODES), e, extra={"source": 0})
 
 
-@query(f"with {LINKS_SQL} select 'link' as elabel, count(*) as n from edges where src = dst")
-def self_loops(spark, sf_dir):
-    g = links(spark, sf_dir)
-    from relgraph.operators.graph import EdgeType
+def whole_graph(spark: SparkSession, sf_dir: str) -> SimpleGraph:
+    """Every row of the tables as a vertex or an edge, by ids over all labels; quantities are the weights of what orders contain.
 
-    return PropertyGraph({"node": g.vertices.withColumnRenamed("id", "oid")}, {"link": g.edges}, {"link": EdgeType("link", "node", "node")}).self_loops()
+    Paths start at the smallest customer."""
+    g = tpch_graph(spark, sf_dir).flatten(weight="quantity")
+    return SimpleGraph(g.vertices, g.edges, extra={"source": g.vertices.filter("label = 'customer'").agg(F.min("id")).first()[0]})
+
+
+@query(f"with {LINKS_SQL} select 'link' as elabel, count(*) as n from edges where src = dst")
+def self_loops(spark, sf_dir, graph=links):
+    g = graph(spark, sf_dir)
+    return link_property_graph(g).self_loops()
 
 
 @query(f"with {LINKS_SQL} select src, array_to_string(list(dst || ':' || weight order by dst), ',') as nbrs from edges group by src")
-def adj_map(spark, sf_dir):
+def adj_map(spark, sf_dir, graph=links):
     from relgraph.nxview import DiGraphView
 
-    g = links(spark, sf_dir)
-    adj = DiGraphView.of_simple(g).adjacency()
-    entries = F.array_sort(F.map_entries("adj"), lambda x, y: x["key"]["oid"].cast("int") - y["key"]["oid"].cast("int"))
+    g = graph(spark, sf_dir)
+    adj = DiGraphView(link_property_graph(g)).adjacency()
+    entries = F.array_sort(F.map_entries("adj"), lambda x, y: F.signum(x["key"]["oid"].cast("long") - y["key"]["oid"].cast("long")).cast("int"))
     return adj.select(F.col("oid").alias("src"), F.array_join(F.transform(entries, lambda x: F.concat_ws(":", x["key"]["oid"], F.get_json_object(x["value"], "$.weight"))), ",").alias("nbrs"))
 
 
@@ -377,13 +384,13 @@ def reverse_graph(spark, sf_dir):
 
 
 @query(f"with {LINKS_SQL} select least(src, dst) as src, greatest(src, dst) as dst, count(*) as n, max(weight) as weight from edges group by 1, 2")
-def to_undirected(spark, sf_dir):
-    return links(spark, sf_dir).to_undirected()
+def to_undirected(spark, sf_dir, graph=links):
+    return graph(spark, sf_dir).to_undirected()
 
 
 @query(f"with {LINKS_SQL} select src, dst, weight from edges union all select dst, src, weight from edges")
-def to_directed(spark, sf_dir):
-    g = links(spark, sf_dir)
+def to_directed(spark, sf_dir, graph=links):
+    g = graph(spark, sf_dir)
     return SimpleGraph(g.vertices, g.edges, undirected=True).directed()
 
 
@@ -463,16 +470,16 @@ BFS_SQL = f"with recursive {LINKS_SQL}, r(id, depth) as (select 0::bigint, 0 uni
 
 
 @query(f"{BFS_SQL} select id, min(depth)::double as distance from r group by id")
-def sssp_unweighted(spark, sf_dir):
-    return A.sssp(links(spark, sf_dir), 0).select("id", "distance")
+def sssp_unweighted(spark, sf_dir, graph=links):
+    return A.sssp(g := graph(spark, sf_dir), g.extra["source"]).select("id", "distance")
 
 
 @query(
     f"""with recursive {LINKS_SQL}, r(id, d) as (select 0::bigint, 0::bigint union select e.dst, r.d + e.weight from r join edges e on e.src = r.id where r.d < 80)
     select id, min(d)::double as distance from r group by id"""
 )
-def sssp_weighted(spark, sf_dir):
-    return A.sssp(links(spark, sf_dir), 0, "weight").select("id", "distance")
+def sssp_weighted(spark, sf_dir, graph=links):
+    return A.sssp(g := graph(spark, sf_dir), g.extra["source"], "weight").select("id", "distance")
 
 
 @query(f"{BFS_SQL} select id as target, id in (select id from r) as reached from nodes where id % 100 = 7")
@@ -486,13 +493,13 @@ def sssp_has_path(spark, sf_dir):
     f"""{BFS_SQL}, b as (select id, min(depth) as depth from r group by id)
     select b.id, b.depth::bigint as depth, min(p.id) as pred from b left join edges e on e.dst = b.id left join b p on p.id = e.src and p.depth = b.depth - 1 group by all"""
 )
-def bfs_levels(spark, sf_dir):
-    return A.bfs(links(spark, sf_dir), 0)
+def bfs_levels(spark, sf_dir, graph=links):
+    return A.bfs(g := graph(spark, sf_dir), g.extra["source"])
 
 
 @query(f"with recursive {LINKS_SQL}, r(id, root) as (select id, id from nodes union select b.dst, r.root from r join both_ways b on b.src = r.id) select id, min(root) as component from r group by id")
-def wcc(spark, sf_dir):
-    return A.wcc(links(spark, sf_dir))
+def wcc(spark, sf_dir, graph=links):
+    return A.wcc(graph(spark, sf_dir))
 
 
 @query(
@@ -503,8 +510,8 @@ def wcc(spark, sf_dir):
                 select e.src as id, p.label, count(*) as n from e join {p} p on p.id = e.dst group by all)) where r = 1) b on b.id = n.id''', 4)}
     select id, label from s4"""
 )
-def cdlp(spark, sf_dir):
-    return A.cdlp(links(spark, sf_dir), 4)
+def cdlp(spark, sf_dir, graph=links):
+    return A.cdlp(graph(spark, sf_dir), 4)
 
 
 TRIANGLES_SQL = f"""with {LINKS_SQL}, u as (select src as a, dst as b from both_ways where src < dst),
@@ -514,13 +521,13 @@ deg as (select src as id, count(*) as d from both_ways group by 1)"""
 
 
 @query(f"{TRIANGLES_SQL} select n.id, coalesce(t, 0) as triangles from nodes n left join per using (id)")
-def triangles(spark, sf_dir):
-    return A.triangles(links(spark, sf_dir))
+def triangles(spark, sf_dir, graph=links):
+    return A.triangles(graph(spark, sf_dir))
 
 
 @query(f"{TRIANGLES_SQL} select n.id, round(case when d > 1 then 2 * coalesce(t, 0) / (d * (d - 1)) else 0 end, 9) as coefficient from nodes n left join per using (id) left join deg using (id)")
-def clustering(spark, sf_dir):
-    return A.clustering(links(spark, sf_dir)).select("id", rounded("coefficient"))
+def clustering(spark, sf_dir, graph=links):
+    return A.clustering(graph(spark, sf_dir)).select("id", rounded("coefficient"))
 
 
 @query(
@@ -528,26 +535,26 @@ def clustering(spark, sf_dir):
     c as (select x.src as id, count(*) as n from both_ways x join both_ways y on y.src = x.src join de on de.src = x.dst and de.dst = y.dst group by 1)
     select n.id, round(case when d > 1 then coalesce(c.n, 0) / (d * (d - 1)) else 0 end, 9) as coefficient from nodes n left join deg using (id) left join c using (id)"""
 )
-def lcc(spark, sf_dir):
-    return A.lcc(links(spark, sf_dir)).select("id", rounded("coefficient"))
+def lcc(spark, sf_dir, graph=links):
+    return A.lcc(graph(spark, sf_dir)).select("id", rounded("coefficient"))
 
 
 @query(f"{TRIANGLES_SQL} select round(avg(case when d > 1 then 2 * coalesce(t, 0) / (d * (d - 1)) else 0 end), 9) as value from nodes n left join per using (id) left join deg using (id)")
-def avg_clustering(spark, sf_dir):
-    return A.average_clustering(links(spark, sf_dir)).select(rounded("value"))
+def avg_clustering(spark, sf_dir, graph=links):
+    return A.average_clustering(graph(spark, sf_dir)).select(rounded("value"))
 
 
 @query(f"{TRIANGLES_SQL} select round(3 * (select count(*) from tri) / (select sum(d * (d - 1) / 2) from deg), 9) as value")
-def transitivity(spark, sf_dir):
-    return A.transitivity(links(spark, sf_dir)).select(rounded("value"))
+def transitivity(spark, sf_dir, graph=links):
+    return A.transitivity(graph(spark, sf_dir)).select(rounded("value"))
 
 
 KCORE_STEP = "select src, dst from {p} where src in (select src from {p} group by src having count(*) >= 3) and dst in (select src from {p} group by src having count(*) >= 3)"
 
 
 @query(f"with {LINKS_SQL}, {steps('select src, dst from both_ways', KCORE_STEP, 12).replace(' as (', ' as materialized (')} select distinct src as id from s12")
-def kcore(spark, sf_dir):
-    return A.kcore(links(spark, sf_dir), 3)
+def kcore(spark, sf_dir, graph=links):
+    return A.kcore(graph(spark, sf_dir), 3)
 
 
 HITS_STEP = """select n.id, coalesce(h.h, 0) / mh as hub, coalesce(x.a, 0) / ma as authority from nodes n
@@ -558,13 +565,13 @@ HITS_STEP = """select n.id, coalesce(h.h, 0) / mh as hub, coalesce(x.a, 0) / ma
 
 
 @query(f"with {LINKS_SQL}, {steps(f'select id, 1.0::double / {NODES} as hub, 0.0::double as authority from nodes', HITS_STEP, 4).replace(' as (', ' as materialized (')} select id, round(hub / (select sum(hub) from s4), 9) as hub, round(authority / (select sum(authority) from s4), 9) as authority from s4")
-def hits(spark, sf_dir):
-    return A.hits(links(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("hub"), rounded("authority"))
+def hits(spark, sf_dir, graph=links):
+    return A.hits(graph(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("hub"), rounded("authority"))
 
 
 @query(f"with {LINKS_SQL}, d as (select id, count(*) as d from (select src as id from edges union all select dst from edges) group by 1) select n.id, round(coalesce(d, 0) / {NODES - 1}.0::double, 12) as centrality from nodes n left join d using (id)")
-def degree_centrality(spark, sf_dir):
-    return A.degree_centrality(links(spark, sf_dir)).select("id", rounded("centrality", 12))
+def degree_centrality(spark, sf_dir, graph=links):
+    return A.degree_centrality(graph(spark, sf_dir)).select("id", rounded("centrality", 12))
 
 
 def power_sql(alpha: str, beta: str, keep: str, start: str, norm: bool) -> str:
@@ -576,18 +583,18 @@ def power_sql(alpha: str, beta: str, keep: str, start: str, norm: bool) -> str:
 
 
 @query(f"{power_sql('0.1', '1.0', '0', '0', False)} select id, round(x / (select sqrt(sum(x * x)) from s4), 9) as centrality from s4")
-def katz(spark, sf_dir):
-    return A.katz(links(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("centrality"))
+def katz(spark, sf_dir, graph=links):
+    return A.katz(graph(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("centrality"))
 
 
 @query(f"{power_sql('1.0', '0.0', 'p.x', f'1.0 / {NODES}', True)} select id, round(x, 9) as centrality from s4")
-def eigenvector(spark, sf_dir):
-    return A.eigenvector(links(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("centrality"))
+def eigenvector(spark, sf_dir, graph=links):
+    return A.eigenvector(graph(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("centrality"))
 
 
 @query()
 def voterank(spark, sf_dir):
-    return A.voterank(links(spark, sf_dir), 5)
+    return A.voterank(whole_graph(spark, sf_dir), 5)
 
 
 @query()
@@ -599,10 +606,10 @@ def sampling_path(spark, sf_dir):
 @query(
     f"""with recursive {LINKS_SQL}, r(id, top) as (select id, id from nodes union select e.dst, r.top from r join edges e on e.src = r.id) select id, max(top) as value from r group by id"""
 )
-def pregel_max_value(spark, sf_dir):
+def pregel_max_value(spark, sf_dir, graph=links):
     """The largest id from which a vertex can be reached, itself included."""
     program = Pregel(
-        links(spark, sf_dir),
+        graph(spark, sf_dir),
         init={"value": F.col("id")},
         send=lambda p: F.col("value"),
         combine=F.max,
@@ -613,11 +620,11 @@ def pregel_max_value(spark, sf_dir):
 
 
 @query(f"with {LINKS_SQL}, i as (select dst as id, sum(src) as s from edges group by 1) select n.id, coalesce(s, 0)::bigint as value, ({NODES} * ({NODES} - 1) // 2)::bigint as total from nodes n left join i using (id)")
-def pregel_aggregator_sum(spark, sf_dir):
+def pregel_aggregator_sum(spark, sf_dir, graph=links, value="id"):
     """Each vertex's sum of in-neighbour ids, and the global sum of all ids from the superstep before."""
     program = Pregel(
-        links(spark, sf_dir),
-        init={"value": F.col("id"), "total": F.lit(0).cast("long")},
+        graph(spark, sf_dir),
+        init={"value": F.col(value), "total": F.lit(0).cast("long")},
         send=lambda p: F.col("value"),
         combine=F.sum,
         compute=lambda p: {"value": F.coalesce("msg", F.lit(0)), "total": p.agg("all").cast("long")},
@@ -637,15 +644,14 @@ def two_hop(spark, sf_dir):
 
 @query(f"with {LINKS_SQL}, h1 as (select src, dst from edges), h2 as (select a.src, b.dst from h1 a join edges b on b.src = a.dst), h3 as (select a.src, b.dst from h2 a join edges b on b.src = a.dst) select dst as oid, count(*) as n from (select * from h2 union all select * from h3) where src % 20 = 0 group by 1")
 def khop_range(spark, sf_dir):
-    t = Traversal.of(link_property_graph(spark, sf_dir)).where(F.col("oid").cast("long") % 20 == 0).out("link", times=(2, 4))
+    t = Traversal.of(link_property_graph(links(spark, sf_dir))).where(F.col("oid").cast("long") % 20 == 0).out("link", times=(2, 4))
     return t.group_count().select(F.col("oid").cast("long").alias("oid"), "n")
 
 
-def link_property_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+def link_property_graph(g: SimpleGraph) -> PropertyGraph:
     from relgraph.operators.graph import EdgeType
 
-    g = links(spark, sf_dir)
-    return PropertyGraph({"node": g.vertices.withColumnRenamed("id", "oid")}, {"link": g.edges}, {"link": EdgeType("link", "node", "node")})
+    return PropertyGraph({"node": g.vertices.select(F.col("id").alias("oid"))}, {"link": g.edges}, {"link": EdgeType("link", "node", "node")})
 
 
 @query(
@@ -653,7 +659,7 @@ def link_property_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     select v0, v3, count(*) as n from p where v0 <> v1 and v0 <> v2 and v0 <> v3 and v1 <> v2 and v1 <> v3 and v2 <> v3 group by all"""
 )
 def simple_path(spark, sf_dir):
-    t = Traversal.of(link_property_graph(spark, sf_dir)).where(F.col("oid").cast("long") % 20 == 0).as_("a").simple_paths().out("link", times=(3, 4))
+    t = Traversal.of(link_property_graph(links(spark, sf_dir))).where(F.col("oid").cast("long") % 20 == 0).as_("a").simple_paths().out("link", times=(3, 4))
     return t.df.groupBy(F.col("t_a.oid").cast("long").alias("v0"), F.col("oid").cast("long").alias("v3")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -663,11 +669,13 @@ select id, min(depth) as depth, count(*) as n from walk group by id"""
 
 
 @query("with recursive " + LINKS_SQL + ", " + RECURSIVE_SQL.format(r="", start="[0::bigint]", append="list_append(path, e.dst)", has="list_contains(path, e.dst)"))
-def recursive_path(spark, sf_dir):
+def recursive_path(spark, sf_dir, graph=links):
     """Paths without a repeated vertex, up to four hops, by a recursive query of this engine."""
-    links(spark, sf_dir).edges.createOrReplaceTempView("relgraph_links")
-    sql = RECURSIVE_SQL.format(r="with recursive edges as (select * from relgraph_links),", start="array(cast(0 as bigint))", append="array_append(path, e.dst)", has="array_contains(path, e.dst)")
-    return spark.sql(sql)
+    g = graph(spark, sf_dir)
+    g.edges.createOrReplaceTempView("relgraph_links")
+    source = g.extra["source"]
+    sql = RECURSIVE_SQL.format(r="with recursive edges as (select * from relgraph_links),", start=f"array(cast({source} as bigint))", append="array_append(path, e.dst)", has="array_contains(path, e.dst)")
+    return spark.sql(sql.replace("walk(id, path, depth) as (select cast(0 as bigint)", f"walk(id, path, depth) as (select cast({source} as bigint)"))
 
 
 @query("select o_custkey as oid, count(distinct l_partkey) as n from orders join lineitem on o_orderkey = l_orderkey group by 1")
@@ -738,9 +746,9 @@ def bi14_like(spark, sf_dir):
 
 
 @query(f"with {LINKS_SQL} select a.src as v0, a.dst as v1, b.dst as v2 from edges a join edges b on b.src = a.dst join edges c on c.src = b.dst and c.dst = a.src where a.src < a.dst and a.src < b.dst and a.dst <> b.dst")
-def cycle_detect(spark, sf_dir):
+def cycle_detect(spark, sf_dir, graph=links):
     """Directed cycles of three, each from its smallest vertex."""
-    g = links(spark, sf_dir)
+    g = graph(spark, sf_dir)
     e = g.edges.select("src", "dst").filter("src != dst")
     a, b, c = (e.toDF(f"{x}s", f"{x}d") for x in "abc")
     three = a.filter("as < ad").join(b, F.col("ad") == F.col("bs")).filter("as < bd").join(c, (F.col("bd") == F.col("cs")) & (F.col("cd") == F.col("as")))
@@ -762,8 +770,8 @@ def selector_labeled(spark, sf_dir):
 
 
 @query(f"{BFS_SQL} select '{{\"label_id\":0,\"oid\":' || id || ',\"distance\":' || min(depth) || '}}' as json from r group by id")
-def json_output(spark, sf_dir):
-    d = A.bfs(links(spark, sf_dir), 0).select(F.lit(0).alias("label_id"), F.col("id").alias("oid"), F.col("depth").alias("distance"))
+def json_output(spark, sf_dir, graph=links):
+    d = A.bfs(g := graph(spark, sf_dir), g.extra["source"]).select(F.lit(0).alias("label_id"), F.col("id").alias("oid"), F.col("depth").alias("distance"))
     return tables.json_rows(d, "label_id", "oid", "distance")
 
 
@@ -791,18 +799,18 @@ def interval_join(spark, sf_dir):
 
 
 @query(f"with {LINKS_SQL}, {steps('select src, dst from both_ways', KCORE_STEP.replace('>= 3', '>= 2'), 25).replace(' as (', ' as materialized (')} select distinct src as id from s25")
-def core_two(spark, sf_dir):
-    return A.kcore(links(spark, sf_dir), 2)
+def core_two(spark, sf_dir, graph=links):
+    return A.kcore(graph(spark, sf_dir), 2)
 
 
 @query(f"{BFS_SQL}, b as (select id, min(depth) as depth from r group by id) select min(p.id) as src, b.id as dst from b join edges e on e.dst = b.id join b p on p.id = e.src and p.depth = b.depth - 1 group by b.id")
-def shortest_path_tree(spark, sf_dir):
-    return A.path_edges(links(spark, sf_dir), 0)
+def shortest_path_tree(spark, sf_dir, graph=links):
+    return A.path_edges(g := graph(spark, sf_dir), g.extra["source"])
 
 
 @query(f"with recursive {LINKS_SQL}, r(s, id, depth) as (select id, id, 0 from nodes union select r.s, e.dst, r.depth + 1 from r join edges e on e.src = r.id where r.depth < 3) select s as source, id, min(depth)::bigint as distance from r group by all")
-def distances_within_three(spark, sf_dir):
-    return A.all_distances(links(spark, sf_dir), 4)
+def distances_within_three(spark, sf_dir, graph=links):
+    return A.all_distances(graph(spark, sf_dir), 4)
 
 
 @query(f"with {LINKS_SQL}, i as (select dst as id, count(*) as n from edges group by 1), f as (select dst as id, src % 3 as l, count(*) as n from edges where src < 300 group by all) select f.id, f.l as label, round(f.n / i.n, 9) as share from f join i using (id) where f.id >= 300")
@@ -831,10 +839,10 @@ def nx_out_edges(spark, sf_dir):
 
 
 @query(f"with {LINKS_SQL}, e as (select src as id, weight from edges union all select dst, weight from edges) select 'node' as label, n.id::varchar as oid, coalesce(sum(weight), 0)::double as degree from nodes n left join e using (id) group by n.id")
-def nx_weighted_degree(spark, sf_dir):
+def nx_weighted_degree(spark, sf_dir, graph=links):
     from relgraph.nxview import DiGraphView
 
-    return DiGraphView.of_simple(links(spark, sf_dir)).degree("both", "weight")
+    return DiGraphView(link_property_graph(graph(spark, sf_dir))).degree("both", "weight")
 
 
 UNDIRECTED_SQL = f"""with recursive {LINKS_SQL}, u as (select src, dst from edges union all select dst, src from edges),
@@ -842,9 +850,10 @@ walk(id, path, depth) as (select 4::bigint, [4::bigint], 0 union all select u.ds
 
 
 @query(f"{UNDIRECTED_SQL} select id as oid, depth as hops, count(*) as n from walk where depth >= 1 group by all")
-def undirected_paths(spark, sf_dir):
+def undirected_paths(spark, sf_dir, graph=links):
     """Simple paths of one to four undirected hops from one vertex, by end and length."""
-    t = Traversal.of(link_property_graph(spark, sf_dir)).where(F.col("oid") == "4").simple_paths().both("link", times=(1, 5))
+    g = graph(spark, sf_dir)
+    t = Traversal.of(link_property_graph(g)).where(F.col("oid") == (4 if graph is links else g.extra["source"])).simple_paths().both("link", times=(1, 5))
     return t.df.groupBy(F.col("oid").cast("long").alias("oid"), (F.size("path") - 1).alias("hops")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -854,16 +863,41 @@ def global_ids(spark, sf_dir):
 
 
 @query(f"with recursive {LINKS_SQL}, r(id, d) as (select 0::bigint, 0 union select e.dst, r.d + 1 from r join edges e on e.src = r.id where r.d < 40) select id, min(d)::bigint as d from r group by id")
-def pie_distances(spark, sf_dir):
+def pie_distances(spark, sf_dir, graph=links):
     from relgraph.functions.pie import messages, run_pie
 
     far = 1 << 40
+    g0 = graph(spark, sf_dir)
+    source = g0.extra["source"]
 
     def first(g):
-        return g.vertices.select("id", F.when(F.col("id") == 0, 0).otherwise(far).cast("long").alias("d"), (F.col("id") == 0).alias("changed"))
+        return g.vertices.select("id", F.when(F.col("id") == source, 0).otherwise(far).cast("long").alias("d"), (F.col("id") == source).alias("changed"))
 
     def next_(g, state, changed):
         inbox = messages(g, changed, "d", F.col("d") + 1, F.min)
         return state.drop("changed").join(inbox, "id", "left").select("id", F.least("d", "msg").alias("d"), F.coalesce(F.col("msg") < F.col("d"), F.lit(False)).alias("changed"))
 
-    return run_pie(links(spark, sf_dir), first, next_).filter(F.col("d") < far)
+    return run_pie(g0, first, next_).filter(F.col("d") < far)
+
+
+# The queries over links() on whole tables. No SQL: theirs is of the sample graph, and unrolled or recursive SQL is too slow here.
+
+
+@query()
+def label_propagation_whole(spark, sf_dir):
+    """What customers of each segment share of the nations and orders they lead to."""
+    g = whole_graph(spark, sf_dir)
+    segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("oid"), F.col("c_mktsegment").alias("segment"))
+    seeds = g.vertices.filter("label = 'customer'").join(segment, "oid").select("id", F.col("segment").alias("label"))
+    out = A.propagate_labels(g, seeds, 1).join(seeds, "id", "left_anti")
+    return out.select("id", F.explode("labels").alias("label", "share")).select("id", "label", rounded("share"))
+
+
+WHOLE = [
+    self_loops, adj_map, to_undirected, to_directed, sssp_unweighted, sssp_weighted, bfs_levels, wcc, cdlp, triangles, clustering, lcc, avg_clustering, transitivity,
+    kcore, degree_centrality, pregel_max_value, recursive_path, cycle_detect, json_output, core_two, shortest_path_tree, distances_within_three, nx_weighted_degree,
+    undirected_paths, pie_distances,
+]
+QUERIES |= {f"{f.__name__}_whole": partial(f, graph=whole_graph) for f in WHOLE}
+# Sums of ids over all labels would leave the range of a long.
+QUERIES["pregel_aggregator_sum_whole"] = partial(pregel_aggregator_sum, graph=whole_graph, value="oid")
