@@ -116,7 +116,8 @@ def spanning_links(fps: np.ndarray, coordinates: np.ndarray, radius: int) -> tup
         while stack and len(fps):
             x, place = stack.pop()
             near = np.flatnonzero(np.abs(table - place).max(1) <= radius)
-            near = near[np.bitwise_count(fps[near] ^ x) <= radius]
+            # Unsigned: of a negative number the bits of its magnitude would be counted.
+            near = near[np.bitwise_count((fps[near] ^ x).view("<u8")) <= radius]
             if len(near):
                 found = fps[near]
                 a += [int(x)] * len(near)

@@ -97,6 +97,15 @@ def test_links_lose_no_pair(spark, monkeypatch, block):
     assert all(root.get(x, x) == find(x) for x in fps)
 
 
+def test_crowded_key_links_across_the_sign_bit(spark):
+    base = 0x0123456789ABCDEF
+    fps = {base ^ 1 << i ^ 1 << j for i, j in itertools.combinations(range(11, 20), 2)} | {base, base ^ 1 << 63 ^ 1 << 20}
+    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
+    assert len(fps) > simhash.PAIRS_UPTO
+    links = simhash.simhash_links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    assert {r.node for r in connected_components(links).collect() if r.root == min(fps)} == set(fps)
+
+
 def test_near_duplicates_go(spark):
     base = [f"word{i}" for i in range(60)]
     near = base[:59] + ["other"]
