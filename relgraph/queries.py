@@ -266,8 +266,8 @@ def version_by_timestamp(spark, sf_dir):
 
 
 @query(f"with {LOG_SQL}, {VERSIONS_SQL} select o.ts, (select max(epoch) from versions v where v.next is not null and v.end_ts <= o.ts) as epoch from events o where event_id % 97 = 0")
-def version_asof_join(spark, sf_dir):
-    times = table(spark, sf_dir, "events").filter("event_id % 97 = 0").select("ts")
+def version_asof_join(spark, sf_dir, ids="event_id % 97 = 0"):
+    times = table(spark, sf_dir, "events").filter(ids).select("ts")
     return L.versions_at(L.versions(event_log(spark, sf_dir)), times)
 
 
@@ -291,13 +291,13 @@ def compacted_read(spark, sf_dir):
 
 
 @query("select 'customer' as label, o_custkey as oid, 'placed' as elabel, 'orders' as nbr_label, o_orderkey as nbr from orders where o_custkey % 10 = 0")
-def out_adjacency(spark, sf_dir):
-    return tpch_graph(spark, sf_dir).adjacency("out", ["placed"]).filter("oid % 10 = 0")
+def out_adjacency(spark, sf_dir, ids="oid % 10 = 0"):
+    return tpch_graph(spark, sf_dir).adjacency("out", ["placed"]).filter(ids)
 
 
 @query("select 'part' as label, l_partkey as oid, 'contains' as elabel, 'orders' as nbr_label, l_orderkey as nbr from lineitem where l_partkey % 10 = 0")
-def in_adjacency(spark, sf_dir):
-    return tpch_graph(spark, sf_dir).adjacency("in", ["contains"]).filter("oid % 10 = 0")
+def in_adjacency(spark, sf_dir, ids="oid % 10 = 0"):
+    return tpch_graph(spark, sf_dir).adjacency("in", ["contains"]).filter(ids)
 
 
 @query("select label, oid, count(*) as n from (select 'customer' as label, o_custkey as oid from orders union all select 'orders', o_orderkey from orders union all select 'orders', l_orderkey from lineitem union all select 'part', l_partkey from lineitem) group by all")
@@ -370,8 +370,8 @@ def adj_map(spark, sf_dir, graph=links):
 
 
 @query("select l_orderkey as src, l_partkey as dst, min(l_extendedprice) as price from lineitem where l_orderkey % 5 = 0 group by all")
-def edge_data_first(spark, sf_dir):
-    e = tpch_graph(spark, sf_dir).edges["contains"].filter("src % 5 = 0")
+def edge_data_first(spark, sf_dir, ids="src % 5 = 0"):
+    e = tpch_graph(spark, sf_dir).edges["contains"].filter(ids)
     return e.groupBy("src", "dst").agg(F.min("price").alias("price"))
 
 
@@ -483,10 +483,10 @@ def sssp_weighted(spark, sf_dir, graph=links):
 
 
 @query(f"{BFS_SQL} select id as target, id in (select id from r) as reached from nodes where id % 100 = 7")
-def sssp_has_path(spark, sf_dir):
-    g = links(spark, sf_dir)
-    near = A.sssp(g, 0).select("id", F.lit(True).alias("reached"))
-    return g.vertices.filter("id % 100 = 7").join(near, "id", "left").select(F.col("id").alias("target"), F.coalesce("reached", F.lit(False)).alias("reached"))
+def sssp_has_path(spark, sf_dir, graph=links, ids="id % 100 = 7"):
+    g = graph(spark, sf_dir)
+    near = A.sssp(g, g.extra["source"]).select("id", F.lit(True).alias("reached"))
+    return g.vertices.filter(ids).join(near, "id", "left").select(F.col("id").alias("target"), F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
 @query(
@@ -637,14 +637,14 @@ def pregel_aggregator_sum(spark, sf_dir, graph=links, value="id"):
 
 
 @query("select o_custkey as customer, l_partkey as oid, count(*) as n from orders join lineitem on o_orderkey = l_orderkey where o_custkey % 50 = 0 group by all")
-def two_hop(spark, sf_dir):
-    t = Traversal.of(tpch_graph(spark, sf_dir), "customer").where(F.col("oid").cast("long") % 50 == 0).as_("c").out("placed").out("contains")
+def two_hop(spark, sf_dir, ids="oid % 50 = 0"):
+    t = Traversal.of(tpch_graph(spark, sf_dir), "customer").where(F.expr(ids)).as_("c").out("placed").out("contains")
     return t.df.groupBy(F.col("t_c.oid").cast("long").alias("customer"), F.col("oid").cast("long").alias("oid")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {LINKS_SQL}, h1 as (select src, dst from edges), h2 as (select a.src, b.dst from h1 a join edges b on b.src = a.dst), h3 as (select a.src, b.dst from h2 a join edges b on b.src = a.dst) select dst as oid, count(*) as n from (select * from h2 union all select * from h3) where src % 20 = 0 group by 1")
-def khop_range(spark, sf_dir):
-    t = Traversal.of(link_property_graph(links(spark, sf_dir))).where(F.col("oid").cast("long") % 20 == 0).out("link", times=(2, 4))
+def khop_range(spark, sf_dir, graph=links, ids="oid % 20 = 0"):
+    t = Traversal.of(link_property_graph(graph(spark, sf_dir))).where(F.expr(ids)).out("link", times=(2, 4))
     return t.group_count().select(F.col("oid").cast("long").alias("oid"), "n")
 
 
@@ -658,8 +658,8 @@ def link_property_graph(g: SimpleGraph) -> PropertyGraph:
     f"""with {LINKS_SQL}, p as (select a.src as v0, a.dst as v1, b.dst as v2, c.dst as v3 from edges a join edges b on b.src = a.dst join edges c on c.src = b.dst where a.src % 20 = 0)
     select v0, v3, count(*) as n from p where v0 <> v1 and v0 <> v2 and v0 <> v3 and v1 <> v2 and v1 <> v3 and v2 <> v3 group by all"""
 )
-def simple_path(spark, sf_dir):
-    t = Traversal.of(link_property_graph(links(spark, sf_dir))).where(F.col("oid").cast("long") % 20 == 0).as_("a").simple_paths().out("link", times=(3, 4))
+def simple_path(spark, sf_dir, graph=links, ids="oid % 20 = 0"):
+    t = Traversal.of(link_property_graph(graph(spark, sf_dir))).where(F.expr(ids)).as_("a").simple_paths().out("link", times=(3, 4))
     return t.df.groupBy(F.col("t_a.oid").cast("long").alias("v0"), F.col("oid").cast("long").alias("v3")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -694,10 +694,10 @@ def order_topk(spark, sf_dir):
     """select oid, sum(s)::bigint as score from (select s_suppkey as oid, 1 as s from supplier where s_nationkey = 3
     union all select l_suppkey, 2 from lineitem where l_orderkey % 10 = 0) group by oid"""
 )
-def union_score(spark, sf_dir):
+def union_score(spark, sf_dir, ids="oid % 10 = 0"):
     g = tpch_graph(spark, sf_dir)
     near = Traversal.of(g, "nation").where(F.col("oid") == "3").in_("supp_nation").df.select("oid", F.lit(1).alias("s"))
-    sold = Traversal.of(g, "orders").where(F.col("oid").cast("long") % 10 == 0).out("supplied_by").df.select("oid", F.lit(2).alias("s"))
+    sold = Traversal.of(g, "orders").where(F.expr(ids)).out("supplied_by").df.select("oid", F.lit(2).alias("s"))
     return near.unionByName(sold).groupBy(F.col("oid").cast("long").alias("oid")).agg(F.sum("s").alias("score"))
 
 
@@ -901,3 +901,6 @@ WHOLE = [
 QUERIES |= {f"{f.__name__}_whole": partial(f, graph=whole_graph) for f in WHOLE}
 # Sums of ids over all labels would leave the range of a long.
 QUERIES["pregel_aggregator_sum_whole"] = partial(pregel_aggregator_sum, graph=whole_graph, value="oid")
+# Those that ask for some ids, on all of them.
+QUERIES |= {f"{f.__name__}_whole": partial(f, ids="true") for f in (out_adjacency, in_adjacency, edge_data_first, version_asof_join, two_hop, union_score)}
+QUERIES |= {f"{f.__name__}_whole": partial(f, graph=whole_graph, ids="true") for f in (sssp_has_path, khop_range, simple_path)}

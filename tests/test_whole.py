@@ -62,3 +62,18 @@ def test_algorithms_take_every_row(spark, sf, tables):
     assert {int(i): w for _, i, w in rows(spark, sf, "nx_weighted_degree_whole")} == pytest.approx({v: degree[v] for v in vertices})
     total = sum(v & (1 << 56) - 1 for v in vertices)
     assert sorted(rows(spark, sf, "pregel_aggregator_sum_whole")) == sorted((v, inbox[v], total) for v in vertices)
+
+
+def test_every_id_is_asked(spark, sf, tables):
+    vertices, edges = tables
+    placed, items = read(sf, "orders", "o_custkey", "o_orderkey"), read(sf, "lineitem", "l_orderkey", "l_partkey")
+    assert Counter((r[1], r[4]) for r in rows(spark, sf, "out_adjacency_whole")) == Counter(placed)
+    assert Counter((r[4], r[1]) for r in rows(spark, sf, "in_adjacency_whole")) == Counter(items)
+    of = {o: c for c, o in placed}
+    assert {r[:2]: r[2] for r in rows(spark, sf, "two_hop_whole")} == Counter((of[o], p) for o, p in items)
+    assert len(rows(spark, sf, "version_asof_join_whole")) == len(read(sf, "events", "event_id"))
+    out = defaultdict(set)
+    for a, b, _ in edges:
+        out[a].add(b)
+    near = reach(min(v for v in vertices if v >> 56 == 2), out)
+    assert dict(rows(spark, sf, "sssp_has_path_whole")) == {v: v in near for v in vertices}
