@@ -3,8 +3,8 @@
 Quoted blocks (lines that begin with ``>``, and the attribution line before them) are cut
 from each message. Their lines are parsed into nested levels; runs of one level are
 passages, which are normalised and hashed. A passage links to the latest earlier message
-of the conversation that says the same, as a whole, a paragraph or a line. All of it is
-DataFrame expressions.
+of the conversation that says the same, as a whole, a paragraph, a line, or consecutive
+lines or paragraphs. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ MARK = r"[ ]{0,3}>[^\n]*"
 BLOCK = rf"(?:^|\n)(?:On [^\n]{{1,200}} wrote:[ ]*\n)?({MARK}(?:\n{MARK})*+)"
 #: Turns in a rank bucket: even a conversation of a third of all rows is ranked by many tasks.
 BUCKET = 1024
+#: What excerpts are made of, by the pattern between.
+UNITS = {"lines": r"\n", "paragraphs": r"\n[ \t\r]*\n"}
 
 
 def own_text(text: Column) -> Column:
@@ -34,8 +36,13 @@ def message_key() -> Column:
     return F.xxhash64(*[x for c in ("conv_id", "turn", "role", "text") for x in (F.col(c), F.col(c).isNull())])
 
 
+def units(text: str, by: str) -> Column:
+    """The lines or paragraphs of a text, normalised, without empty ones."""
+    return F.filter(F.transform(F.split(text, UNITS[by]), normalised), lambda x: x != "")
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """(__m, conv_id, turn, level, key): the quoted passages of messages, one row each."""
+    """(__m, conv_id, turn, level, key, lines, paragraphs): the quoted passages of messages, one row each."""
     lines = (
         messages.filter(F.col("text").rlike(BLOCK))
         .select("__m", "conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(1))).alias("b", "block"))
@@ -50,9 +57,8 @@ def passages(messages: DataFrame) -> DataFrame:
     whole = runs.groupBy("__m", "conv_id", "turn", "b", "run", "level").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "said"))), lambda x: x["said"]), "\n").alias("said")
     )
-    return whole.select("__m", "conv_id", "turn", "level", normalised(F.col("said")).alias("said")).filter("said != ''").select(
-        "__m", "conv_id", "turn", "level", F.md5("said").alias("key")
-    )
+    out = whole.select("__m", "conv_id", "turn", "level", normalised(F.col("said")).alias("said"), *[units("said", by).alias(by) for by in UNITS])
+    return out.filter("said != ''").select("__m", "conv_id", "turn", "level", F.md5("said").alias("key"), *UNITS)
 
 
 def originals(messages: DataFrame) -> DataFrame:
@@ -64,6 +70,22 @@ def originals(messages: DataFrame) -> DataFrame:
     return said.filter("said != ''").select("conv_id", "turn", F.md5("said").alias("key")).distinct()
 
 
+def excerpts(messages: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, turn, key): runs of consecutive lines or paragraphs of messages that begin like a passage and are as long.
+
+    A message's runs are keyed once for each length that passages with that beginning have, however many these are."""
+    out = []
+    for by in UNITS:
+        asked = quoted.filter(F.size(by) > 1).select("conv_id", F.md5(F.element_at(by, 1)).alias("first"), F.size(by).alias("n")).distinct()
+        own = messages.select("conv_id", "turn", "__m", units("own", by).alias("units")).dropDuplicates(["__m"])
+        own = own.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
+        begins = own.select("conv_id", "__m", F.size("units").alias("size"), F.posexplode("units").alias("at", "unit")).withColumn("first", F.md5("unit")).drop("unit")
+        found = begins.join(asked, ["conv_id", "first"]).filter("at + n <= size").groupBy("__m").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+        text = F.transform("runs", lambda r: F.md5(F.array_join(F.slice("units", r["at"] + 1, r["n"]), " ")))
+        out.append(own.join(found, "__m").select("conv_id", "turn", F.explode(text).alias("key")))
+    return out[0].unionByName(out[1])
+
+
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, text (without quotes), n_quotes, n_linked, depth, reply_to, position.
 
@@ -78,7 +100,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     quoted = passages(rows.select("__m", "conv_id", "turn", "text").dropDuplicates(["__m"]))
     # As-of join without pairs: quotes and originals of one key in turn order, each quote sees the last original before it.
     both = quoted.select("conv_id", "key", "turn", F.lit(0).alias("kind"), "__m", "level").unionByName(
-        originals(rows.select("conv_id", "turn", "own")).join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
+        originals(rows.select("conv_id", "turn", "own")).unionByName(excerpts(rows, quoted)).distinct().join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
         .select("conv_id", "key", "turn", F.lit(1).alias("kind")),
         allowMissingColumns=True,
     )

@@ -112,6 +112,14 @@ def test_quotes_match_sql(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
 
 
+def test_excerpts_link(spark):
+    said = "a\nb  B\nc\n\nd\ne\n\nf"
+    replies = ["> a\n> b b", "> B b\n> c", "> b b\n> c\n>\n> d", "> a b b c\n>\n> d e", "> d e\n>\n> f", "> a\n> c", "> c\n> b b", "> e\n> f\n> g", "> x\n> a\n> b b"]
+    rows = [(c, t, "user", x) for c, r in enumerate(replies) for t, x in ((0, said), (1, r))] + [(99, 0, "user", "> a\n> b b"), (99, 1, "user", said)]
+    got = {r.conv_id: (r.n_linked, r.reply_to) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.n_quotes}
+    assert got == {c: (1, 0) if c < 5 else (0, None) for c in range(len(replies))} | {99: (0, None)}
+
+
 def test_no_messages(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
