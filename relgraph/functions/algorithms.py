@@ -6,78 +6,122 @@ what a round computes is shuffled. Scalars that decide whether to stop are the o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from relgraph.operators.graph import SimpleGraph, swapped
-from relgraph.runtime import cut, held
+from relgraph.functions.components import connected
+from relgraph.operators.graph import SimpleGraph, swapped, union
+from relgraph.runtime import cut, done_with, held
 
 
 def pagerank(g: SimpleGraph, delta: float = 0.85, rounds: int = 5, dangling: str = "exact") -> DataFrame:
     """(id, rank) after the rounds, without a tolerance. Out-degrees count parallel edges.
 
     ``dangling``: ``exact`` spreads what vertices without out-edges hold; ``uniform`` takes them to hold the base rank of the
-    round, which is exact only where they have no in-edges."""
-    v = cut(g.vertices.select("id"))
-    e = cut(g.directed().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")))
-    degrees = e.groupBy("src").agg(F.sum("k").alias("deg"))
-    degrees = cut(degrees)
+    round, which is exact only where they have no in-edges. What sinks hold is observed while a round is written: no job of its own."""
+    e = g.directed().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    degrees = g.directed().groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     e = e.join(degrees, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("share"))
-    n = v.count()
+    sources = degrees.select(F.col("src").alias("id"), F.lit(False).alias("sink"))
+    v = cut(g.vertices.select("id").join(sources, "id", "left").select("id", F.coalesce("sink", F.lit(True)).alias("sink")))
+    n, n_sinks = v.agg(F.count(F.lit(1)), F.count_if("sink")).first()
     if not n:
-        return v.withColumn("rank", F.lit(0.0))
-    sinks = v.join(degrees, v["id"] == degrees["src"], "left_anti")
-    n_sinks = sinks.count()
-    rank = v.withColumn("rank", F.lit(1.0 / n))
-    lost = n_sinks / n
-    with held(e, "src") as e:
+        return v.select("id", F.lit(0.0).alias("rank"))
+    rank, lost = v.withColumn("rank", F.lit(1.0 / n)), n_sinks / n
+    with held(e, "src") as (_, join):
         for k in range(rounds):
             base = (1 - delta) / n + delta * lost / n
-            flow = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-            rank = cut(v.join(flow, "id", "left").select("id", (F.lit(base) + delta * F.coalesce("flow", F.lit(0.0))).alias("rank")))
-            if dangling == "uniform":
-                lost = base * n_sinks
-            elif k < rounds - 1:
-                lost = rank.join(degrees, rank["id"] == degrees["src"], "left_anti").agg(F.sum("rank")).first()[0] or 0.0
-    return rank
+            flow = join(rank.select(F.col("id").alias("src"), "rank")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+            new = v.join(flow, "id", "left").select("id", "sink", (F.lit(base) + delta * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+            seen, before = Observation(), rank
+            rank = cut(new.observe(seen, F.sum(F.when(F.col("sink"), F.col("rank"))).alias("lost")))
+            done_with(before)
+            lost = base * n_sinks if dangling == "uniform" else seen.get["lost"] or 0.0
+    return rank.select("id", "rank")
+
 
+#: Tables of one round each that a search keeps before it puts them together.
+TABLES = 6
 
-def sssp(g: SimpleGraph, source, weight: str | None = None, max_rounds: int = 1000, null_weight: float = 1.0) -> DataFrame:
+
+def sssp(
+    g: SimpleGraph, source, weight: str | None = None, depth_limit: int | None = None, null_weight: float = 1.0, cutoff: float | None = None, target=None
+) -> DataFrame:
     """(id, distance, pred) of every vertex that the source reaches; a source that does not exist reaches nothing.
 
-    Only vertices whose distance fell in a round send in the next. Weights must not be negative; pred is the smallest
-    predecessor on a shortest path (null for the source)."""
+    ``source`` may be a list of ids: the distance is then from the nearest. Vertices beyond ``cutoff``, or more than ``depth_limit``
+    edges away, are left out. With ``target`` the search ends as soon as no shorter path to it can follow. Otherwise it ends when no
+    distance falls any more, however deep the graph. Only vertices whose distance fell in a round send in the next, and a round writes only what it changed. Weights must not
+    be negative; pred is the smallest predecessor on a shortest path (null for a source)."""
     cost = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(null_weight))
     edges = g.directed().select("src", "dst", cost.alias("cost"))
     kind = g.vertices.schema["id"].dataType
-    best = cut(g.vertices.filter(F.col("id") == F.lit(source)).select("id").distinct().select("id", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("pred"), F.lit(True).alias("moved")))
-    with held(edges, "src") as e:
+    sources = list(source) if isinstance(source, (list, tuple, set)) else [source]
+    front = cut(g.vertices.filter(F.col("id").isin(sources)).select("id").distinct().select("id", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("pred"), F.lit(True).alias("moved")))
+    tables, depth = [front], 0
+
+    def known() -> DataFrame:
+        return union(tables).groupBy("id").agg(F.min(F.struct("distance", "pred")).alias("old"))
+
+    with held(edges, "src") as (e, join):
         if weight is not None and not e.filter("cost < 0").isEmpty():
             raise ValueError("negative weight")
-        for _ in range(max_rounds):
-            front = best.filter("moved")
-            if front.isEmpty():
-                break
-            reached = front.select(F.col("id").alias("src"), "distance").join(e, "src").select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("d"), F.col("src").alias("p"))
+        while depth_limit is None or depth < depth_limit:
+            depth += 1
+            reached = join(front.filter("moved").select(F.col("id").alias("src"), "distance")).select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("d"), F.col("src").alias("p"))
+            if cutoff is not None:
+                reached = reached.filter(F.col("d") <= cutoff)
             reached = reached.groupBy("id").agg(F.min(F.struct("d", "p")).alias("new"))
-            nearer = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance")))
+            nearer = F.col("old").isNull() | (F.col("new.d") < F.col("old.distance"))
             # As near by a smaller predecessor: the vertex need not send again.
-            tied = F.col("new").isNotNull() & (F.col("new.d") == F.col("distance")) & F.col("pred").isNotNull() & (F.col("new.p") < F.col("pred"))
-            best = cut(
-                best.drop("moved").join(reached, "id", "full").select(
-                    "id", F.when(nearer, F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(nearer | tied, F.col("new.p")).otherwise(F.col("pred")).alias("pred"), F.coalesce(nearer, F.lit(False)).alias("moved")
-                )
-            )
-    return best.select("id", "distance", "pred")
+            tied = (F.col("new.d") == F.col("old.distance")) & F.col("old.pred").isNotNull() & (F.col("new.p") < F.col("old.pred"))
+            changed = reached.join(known(), "id", "left").filter(nearer | tied).select("id", F.col("new.d").alias("distance"), F.col("new.p").alias("pred"), nearer.alias("moved"))
+            seen = Observation()
+            front = cut(changed.observe(seen, F.min(F.when(F.col("moved"), F.col("distance"))).alias("least"), *([F.max(F.col("id") == F.lit(target)).alias("hit")] if target is not None else [])))
+            tables.append(front)
+            least = seen.get["least"]
+            if least is None:
+                break
+            if target is not None and (weight is None and seen.get["hit"] or weight is not None and _settled(tables, target, least)):
+                break
+            if len(tables) > TABLES:
+                merged = cut(known().select("id", "old.*"))
+                done_with(*tables[:-1])
+                tables = [merged.withColumn("moved", F.lit(False)), front]
+    return cut(known().select("id", "old.*"))
+
+
+def _settled(tables: list[DataFrame], target, least: float) -> bool:
+    """Whether the target's distance is no more than any that may still spread."""
+    best = union(tables).filter(F.col("id") == F.lit(target)).agg(F.min("distance")).first()[0]
+    return best is not None and best <= least
 
 
 def bfs(g: SimpleGraph, source, depth_limit: int | None = None) -> DataFrame:
     """(id, depth, pred): levels from the source along out-edges, pred the smallest vertex of the level before."""
-    out = sssp(g, source, max_rounds=depth_limit if depth_limit is not None else 1_000_000)
-    return out.select("id", F.col("distance").cast("long").alias("depth"), "pred")
+    return sssp(g, source, depth_limit=depth_limit).select("id", F.col("distance").cast("long").alias("depth"), "pred")
 
 
 def has_path(g: SimpleGraph, source, target) -> bool:
-    return not sssp(g, source).filter(F.col("id") == F.lit(target)).isEmpty()
+    """Whether the target is reached; the search goes no deeper than it."""
+    return not sssp(g, source, target=target).filter(F.col("id") == F.lit(target)).isEmpty()
+
+
+def reached(g: SimpleGraph, source, targets: DataFrame) -> DataFrame:
+    """(target, reached) for each id in targets: ``has_path`` for many at once, by one search."""
+    near = sssp(g, source).select("id", F.lit(True).alias("reached"))
+    return targets.select("id").join(near, "id", "left").select(F.col("id").alias("target"), F.coalesce("reached", F.lit(False)).alias("reached"))
+
+
+def shortest_paths(g: SimpleGraph, source, weight: str | None = None, cutoff: float | None = None) -> DataFrame:
+    """(id, distance, path): one shortest path from the (nearest) source to each vertex that is reached, as an array of ids."""
+    tree = sssp(g, source, weight, cutoff=cutoff)
+    front = cut(tree.filter("pred is null").select("id", "distance", F.array("id").alias("path")))
+    done = []
+    while not front.isEmpty():
+        done.append(front)
+        near = front.select(F.col("id").alias("pred"), "path")
+        front = cut(tree.join(near, "pred").select("id", "distance", F.array_append("path", F.col("id")).alias("path")))
+    return union(done) if done else front
 
 
 def path_edges(g: SimpleGraph, source, weight: str | None = None) -> DataFrame:
@@ -85,18 +129,19 @@ def path_edges(g: SimpleGraph, source, weight: str | None = None) -> DataFrame:
     return sssp(g, source, weight).filter("pred is not null").select(F.col("pred").alias("src"), F.col("id").alias("dst"))
 
 
-def all_distances(g: SimpleGraph, max_rounds: int = 1000) -> DataFrame:
-    """(source, id, distance) of every reachable pair: for graphs whose reachable pairs are few enough to store."""
+def all_distances(g: SimpleGraph, depth_limit: int | None = None) -> DataFrame:
+    """(source, id, distance) of every reachable pair, or of those up to ``depth_limit`` edges apart: for graphs whose reachable
+    pairs are few enough to store."""
     e = cut(g.directed().select("src", "dst").distinct())
-    seen = cut(g.vertices.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("distance")))
-    front = seen
-    for d in range(1, max_rounds):
+    front = cut(g.vertices.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("distance")))
+    levels = [front]
+    while depth_limit is None or len(levels) <= depth_limit:
         step = front.select("source", F.col("id").alias("src")).join(e, "src").select("source", F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen, ["source", "id"], "left_anti").withColumn("distance", F.lit(d).cast("long")))
+        front = cut(step.join(union(levels), ["source", "id"], "left_anti").withColumn("distance", F.lit(len(levels)).cast("long")))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        levels.append(front)
+    return union(levels)
 
 
 def average_length(g: SimpleGraph) -> float:
@@ -107,20 +152,8 @@ def average_length(g: SimpleGraph) -> float:
 
 def wcc(g: SimpleGraph) -> DataFrame:
     """(id, component): the smallest id that undirected edges connect, by alternating large- and small-star steps."""
-    links = cut(g.both().filter("src > dst").select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    before = None
-    while True:
-        mark = links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    return g.vertices.select("id").join(links.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+    roots = connected(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return g.vertices.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def cdlp(g: SimpleGraph, rounds: int = 10) -> DataFrame:
@@ -129,9 +162,9 @@ def cdlp(g: SimpleGraph, rounds: int = 10) -> DataFrame:
     A directed graph's edges count once for each direction that exists."""
     e = g.edges.filter("src != dst").select("src", "dst")
     labels = cut(g.vertices.select("id", F.col("id").alias("label")))
-    with held(e.unionByName(swapped(e)), "dst") as e:
+    with held(e.unionByName(swapped(e)), "dst") as (_, join):
         for _ in range(rounds):
-            votes = e.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
+            votes = join(labels.withColumnRenamed("id", "dst")).groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
             chosen = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("best")).select("id", F.col("best.label").alias("new"))
             labels = cut(labels.join(chosen, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
     return labels
@@ -241,9 +274,9 @@ def power(g: SimpleGraph, alpha: float, beta: float, keep: bool, tolerance: floa
     v = cut(g.vertices.select("id"))
     n = v.count()
     x = v.withColumn("x", F.lit(1.0 / max(n, 1) if normalize_each else 0.0))
-    with held(g.directed().select("src", "dst"), "src") as e:
+    with held(g.directed().select("src", "dst"), "src") as (_, join):
         for _ in range(max_rounds if n else 0):
-            flow = e.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("f"))
+            flow = join(x.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("f"))
             own = F.col("x") if keep else F.lit(0.0)
             y = cut(x.join(flow, "id", "left").select("id", F.col("x").alias("old"), (own + alpha * F.coalesce("f", F.lit(0.0)) + beta).alias("y")))
             norm = (y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0) if normalize_each else 1.0

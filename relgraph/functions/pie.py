@@ -16,14 +16,11 @@ from relgraph.operators.graph import SimpleGraph
 from relgraph.runtime import cut
 
 
-def run_pie(graph: SimpleGraph, first: Callable[[SimpleGraph], DataFrame], next_: Callable[[SimpleGraph, DataFrame, DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
-    """The state, without ``changed``, when no row changes or after max_rounds."""
+def run_pie(graph: SimpleGraph, first: Callable[[SimpleGraph], DataFrame], next_: Callable[[SimpleGraph, DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The state, without ``changed``, when no row changes."""
     g = SimpleGraph(graph.vertices, cut(graph.edges), graph.undirected)
     state = cut(first(g))
-    for _ in range(max_rounds):
-        changed = state.filter("changed")
-        if changed.isEmpty():
-            break
+    while not (changed := state.filter("changed")).isEmpty():
         state = cut(next_(g, state, changed.drop("changed")))
     return state.drop("changed")
 

@@ -7,6 +7,7 @@ A vertex halts when its halt expression holds and wakes when a message comes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,7 +24,8 @@ AGGREGATORS: dict[str, Callable[[Column], Column]] = {
     "max": F.max,
     "sum": F.sum,
     "product": F.product,
-    "overwrite": F.last,
+    # The value of the largest of those set, as rows have no order: what "the last one" means must not depend on tasks.
+    "overwrite": F.max,
     "append": lambda c: F.array_join(F.array_sort(F.collect_list(c)), ""),
 }
 
@@ -47,22 +49,26 @@ class Pregel:
     def agg(self, name: str) -> Column:
         return F.lit(self.values.get(name))
 
-    def run(self, max_steps: int = 100) -> DataFrame:
-        """(id, state columns) when all vertices have halted and no message is left, or after max_steps."""
+    def run(self, steps: int | None = None) -> DataFrame:
+        """(id, state columns) when all vertices have halted and no message is left, or after ``steps`` supersteps if they are given.
+
+        A program without a halt expression needs ``steps``."""
+        if steps is None and self.halt is None:
+            raise ValueError("a program that never halts needs a number of steps")
         names = list(self.init)
         state = cut(self.graph.vertices.select("id", *[e.alias(c) for c, e in self.init.items()], F.lit(True).alias("active")))
         self._aggregate(state)
-        with held(self.graph.directed(), "src") as edges:
-            for self.step in range(1, max_steps + 1):
-                state = cut(self._superstep(state, edges, names))
+        with held(self.graph.directed(), "src") as (_, join):
+            for self.step in itertools.count(1) if steps is None else range(1, steps + 1):
+                state = cut(self._superstep(state, join, names))
                 self._aggregate(state)
                 if self.halt and state.filter("active").isEmpty():
                     break
         return state.select("id", *names)
 
-    def _superstep(self, state: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
+    def _superstep(self, state: DataFrame, join: Callable[[DataFrame], DataFrame], names: list[str]) -> DataFrame:
         senders = state.filter("active").withColumnRenamed("id", "src").drop("active")
-        messages = senders.join(edges, "src").select(F.col("dst").alias("id"), self.send(self).alias("msg")).filter("msg is not null")
+        messages = join(senders).select(F.col("dst").alias("id"), self.send(self).alias("msg")).filter("msg is not null")
         inbox = messages.groupBy("id").agg(self.combine(F.col("msg")).alias("msg"))
         awake = F.col("active") | F.col("msg").isNotNull()
         new = {c: F.when(awake, e).otherwise(F.col(c)) for c, e in self.compute(self).items()}
