@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from relgraph.runtime import done_with, new_path, sweep  # noqa: F401
+
 #: The words of every operator: runs of anything but space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,45 +20,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only a local session that names none gets a temporary folder."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if sc.master != "local" and not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="relgraph-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-#: Tables that this process wrote to the shared folder.
-WRITTEN: list[str] = []
-
-
-def sweep(spark: SparkSession) -> int:
-    """Delete those tables, once the results that read them are written elsewhere; how many there were."""
-    n = len(WRITTEN)
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
 def materialise(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, gives the
     optimiser exact sizes, and lets several later plans read one result."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    path = new_path(spark, what)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*by) if by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._relgraph_path = path
+    return table_
 
 
 def free_shuffles(spark: SparkSession) -> None:

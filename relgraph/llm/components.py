@@ -1,35 +1,5 @@
-"""Connected components of a link table, without ever gathering links in one place."""
+"""Connected components of a link table of long ids: the library's, which never gathers links in one place."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from .common import materialise
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b), two longs; root is the smallest node reachable.
-
-    Alternating large-star and small-star steps, each written to the shared folder: a hub's
-    neighbours are never listed in one row, only joined to its minimum. Self-loops, repeated and
-    reversed links do no harm; links with a null end are ignored; no links, no rows."""
-    links = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links, before = materialise(links, "links"), None
-    while True:
-        count, mark = links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if (count, mark) == before or not count:
-            return star_rows(links)
-        before = count, mark
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        moved = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-
-
-def star_rows(links: DataFrame) -> DataFrame:
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        links.select(F.col("v").alias("node"), F.col("v").alias("root"))
-    ).distinct()
+from relgraph.functions.components import connected as connected_components  # noqa: F401
