@@ -43,6 +43,38 @@ def test_shuffle_moves_rows_and_is_seeded(spark):
     assert abs(np.corrcoef(runs[0], range(2000))[0, 1]) < 0.1
 
 
+def test_shuffle_does_not_depend_on_partitions(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    runs = []
+    for parts, aqe, rows in (("8", "true", df), ("3", "false", df.repartition(5)), ("1", "true", df.orderBy(F.desc("doc_id")))):
+        with_conf = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.enabled": aqe}
+        before = {k: spark.conf.get(k) for k in with_conf}
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        runs.append(sorted(map(tuple, sharding.two_pass_shuffle(rows, 5, bucket_rows=200).select("doc_id", "shard", "slot").collect())))
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_fisher_yates_by_hand(spark):
+    got = spark.range(12).select("id", sharding.fisher_yates(F.col("id").cast("int"), F.lit(77).cast("long")).alias("a")).collect()
+    draw = {(i): r.d for i in range(2, 12) for r in spark.range(1).select(F.xxhash64(F.lit(77).cast("long"), F.lit(i)).alias("d")).collect()}
+    for r in got:
+        a = list(range(r.id))
+        for i in range(r.id, 1, -1):
+            j = draw[i] % i
+            a[i - 1], a[j] = a[j], a[i - 1]
+        assert r.a == a
+
+
+def test_repeated_rows_fill_no_bucket(spark):
+    df = spark.createDataFrame([(1, "same")] * 900 + [(i, "other") for i in range(2, 302)], "doc_id long, text string")
+    out = sharding.two_pass_shuffle(df, 4, bucket_rows=100).collect()
+    assert bag((r.doc_id, r.text) for r in out) == bag(map(tuple, df.collect()))
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(4) for k in range(300)]
+
+
 def test_shards_on_disk(documents, tmp_path):
     sharding.write_shards(sharding.two_pass_shuffle(documents, shards=2), str(tmp_path / "s"))
     back = documents.sparkSession.read.parquet(str(tmp_path / "s"))
@@ -235,6 +267,18 @@ def test_packing_is_gapless_and_near_the_bound(spark):
             at += n
         assert at <= 100
     assert len(by) <= 1.02 * packing.lower_bound(np.array(lengths), 100)
+    # Every partition is certified, or the gap that is left is stated.
+    gaps = {r.sequence_id: r.bound_gap for r in rows}
+    assert all(g >= 0 for g in gaps.values()) and len(by) - packing.lower_bound(np.array(lengths), 100) <= sum({r.sequence_id >> 24: r.bound_gap for r in rows}.values())
+
+
+def test_exchange_goes_on_while_it_wins(spark):
+    rng = np.random.default_rng(8)
+    # Pieces of 34 to 50 of 100: two fill a sequence badly, so partitions keep gaps and exchange.
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(20, 60, 1500))], "doc_id long, length long")
+    rows = packing.pack(pieces, 100, part_rows=100).collect()
+    once = packing.best_fit_decreasing(np.array([r.length for r in rows]), 100)[2]
+    assert len({r.sequence_id for r in rows}) <= 1.1 * once and bag((r.doc_id, r.length) for r in rows) == bag(map(tuple, pieces.collect()))
 
 
 def optimum(lengths, capacity):
