@@ -6,7 +6,7 @@ pieces fill a sequence each. The rest are dealt by hash to partitions of a fixed
 each packed by best-fit decreasing and compared with lower bounds from dual-feasible
 functions. A partition that meets its bound is final; those with a gap exchange their
 documents by another hash and are packed again, and the new packing is kept if it needs
-fewer sequences.
+fewer sequences: until all meet their bounds or an exchange wins nothing.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from .common import materialise, table, text_or_empty
 CAPACITY = 2048
 #: Pieces in a packing partition, at the mean.
 PART_ROWS = 50_000
-#: Packings with an exchange before each but the first.
-ROUNDS = 3
 #: Distinct chunks that a worker remembers, and bytes of text that it cuts at a time.
 CACHE, SLICE_BYTES = 600_000, 4 << 20
 #: Chunks encoded in one call; only chunks whose letters fold one to one and compose no further, and no special token.
@@ -212,7 +210,7 @@ def packer(turn: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
         bins, places, made = best_fit_decreasing(lengths, capacity)
         part = t.column("__part").to_numpy().astype(np.int64)
         more = {
-            "sequence_id": (turn << 56) + (part << 28) + bins,
+            "sequence_id": (turn << 52) + (part << 24) + bins,
             "offset": places,
             "__bins": np.full(len(part), made),
             "__bound": np.full(len(part), lower_bound(lengths, capacity)),
@@ -224,24 +222,24 @@ def packer(turn: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     return fit
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """pieces (with ``length`` from 1 to capacity) with sequence_id, offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """pieces (with ``length`` from 1 to capacity) with sequence_id, offset and bound_gap.
 
-    Any other columns pass through, nulls too; columns of those two names are replaced. Repeated
+    bound_gap is how many sequences the piece's partition has above its lower bound: 0 where the packing is certified.
+
+    Any other columns pass through, nulls too; columns of those names are replaced. Repeated
     rows are pieces of their own. An empty table gives no rows. No partition ever holds more than
     its share of the rows: they are dealt by their number in the scan."""
-    pieces = materialise(pieces.drop("sequence_id", "offset"), "pieces")
+    pieces = materialise(pieces.drop("sequence_id", "offset", "bound_gap"), "pieces")
     names = pieces.columns
     full = pieces.filter(F.col("length") == capacity).select(
-        *names, F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *names, F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("bound_gap")
     )
     rest = pieces.filter(F.col("length") != capacity).withColumn("__u", F.monotonically_increasing_id())
     left, done = rest.count(), []
-    best_total = None
-
-    for turn in range(rounds):
+    best_total, previous = None, None
+    for turn in itertools.count():
         parts = max(1, math.ceil(left / part_rows))
-
         dealt = rest.withColumn("__part", F.pmod(F.xxhash64(F.lit(turn), "__u"), F.lit(parts)).cast("int"))
         schema = T.StructType([*dealt.schema.fields, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "__bins", "__bound")]])
         placed = materialise(dealt.groupBy("__part").applyInArrow(packer(turn, capacity), schema), "packed")
@@ -253,20 +251,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
         if best_total is not None and total >= best_total:
             done.append(previous)  # the exchange won nothing: the earlier packing stands
             break
-        last = turn == rounds - 1 or (open_parts or 0) < 2
-        done.append(placed if last else placed.filter("__bins <= __bound"))
-        if last:
+        # Each further exchange has won a sequence at least, so the rounds end; one partition has none to exchange with.
+        if (open_parts or 0) < 2:
+            done.append(placed)
             break
+        done.append(placed.filter("__bins <= __bound"))
         previous, best_total = placed.filter("__bins > __bound"), open_bins
         rest = previous.select(*names, "__u")
     out = full
     for x in done:
-        out = out.unionByName(x.select(*names, "sequence_id", "offset"))
+        out = out.unionByName(x.select(*names, "sequence_id", "offset", (F.col("__bins") - F.col("__bound")).alias("bound_gap")))
     return out
 
 
 def packed_documents(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of documents.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, bound_gap of every piece of documents.
 
     The ids themselves are digested before they move; write ``tokenised_pieces`` to keep them."""
     if tokenizer is None:
@@ -274,7 +273,7 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None) -> Data
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     digests = tokenised_pieces(documents, tokenizer).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bound_gap")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
