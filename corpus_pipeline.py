@@ -11,29 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from relgraph.llm import mixing, packing, quality, simhash
 from relgraph.llm.common import materialise, table
 
-#: Shares of expected tokens that the corpus shall have. The budget is set by the clean ones, of which
-#: all are wanted (and two hundredths more, so that no clean document's rate falls below its bound of 1).
-TARGETS = {"clean": 0.985, "toxic": 0.01, "junk": 0.005}
-ANCHOR = ("clean", 1.02)
+#: Shares of expected tokens that the corpus shall have. Every document that looks clean stays whole (the anchor), so toxic ones are
+#: what gives way; the classifier stage has removed junk, of which no share is asked.
+TARGETS = {"clean": 0.985, "toxic": 0.015}
+ANCHOR = "clean"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention classifier does not reject."""
+    """Documents that the attention classifier does not reject. A null text is judged as an empty one; nulls in other columns,
+    repeated rows and columns of any name pass through; no documents, no rows; no labels, nothing is rejected."""
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of equal or near-duplicate texts."""
+    """One document, that with the smallest doc_id, of each group of equal or near-duplicate texts.
+
+    Null texts are empty and equal to one another; a null doc_id stays only if its group has no other; ties and repeats leave one
+    row; columns of any name keep their values; no documents, no rows."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their fitted rates, at most once each."""
+    """Documents drawn by their fitted rates, at most once each. Null and empty texts have no tokens, and rates like any other;
+    repeated rows are drawn alike; columns of any name keep their values; no documents, no rows."""
     return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"), targets=TARGETS, anchor=ANCHOR, most=1.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in a training sequence."""
+    """The pieces of all documents with their place in a training sequence. A null or empty text is one piece, its end; repeated
+    rows are packed as often as they stand; other columns than doc_id and text are not read; no documents, no rows."""
     return packing.packed_documents(docs)
 
 

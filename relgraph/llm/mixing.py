@@ -5,8 +5,9 @@ A classifier learned from the labelled table gives each document a posterior ove
 the expected tokens of each domain, sum of rate x tokens x posterior, come nearest to their
 targets by weighted least squares. Only as many numbers as there are domains travel in a
 step: a document's rate follows from its posterior and the steps so far, so rates are
-replayed where the documents are. A document is then repeated floor(rate + u) times, with u
-a hash of it in [0, 1).
+replayed where the documents are. The first steps are found on sums over cells of similar
+posteriors, which are a few thousand however many documents there are; then every step is of
+all documents. A document is then repeated floor(rate + u) times, with u a hash of it in [0, 1).
 """
 
 from __future__ import annotations
@@ -22,11 +23,16 @@ from .quality import FEATURES, PassageFeatures, labelled_sample, text_slices
 
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.90, "toxic": 0.02, "junk": 0.08}
-#: Bounds of the fit: labelled documents, hashed words, words that the model reads.
+#: Bounds of the fit: labelled documents (chosen by hash), hashed words, and of these the ones that the model reads
+#: (those that tell most, by chi-square).
 SAMPLE_ROWS, BUCKETS, CHOSEN = 12_000, 1 << 16, 512
 #: Characters of a word's beginning that are a feature of their own.
 STEM = 4
-STEPS, TOLERANCE = 30, 1e-4
+#: A fit ends when no domain's residual, or no domain's change in a step, is above this share of its tokens
+#: (on cells, where steps cost nothing, a smaller share).
+TOLERANCE, STILL = 1e-4, 1e-6
+#: Cells of the posterior histogram along one domain.
+CELLS = 128
 
 
 class DocumentFeatures(PassageFeatures):
@@ -166,13 +172,20 @@ def posterior_matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, k)
 
 
-def fit_rates(posteriors: DataFrame, targets: np.ndarray, most: float, steps: int = STEPS) -> list[np.ndarray]:
+def gradient(now: np.ndarray, goal: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """One number a domain: its residual over the tokens that it has, 0 where the goal is nan (a free domain)."""
+    return np.where(np.isnan(goal), 0.0, np.divide(now - goal, have, out=np.zeros(len(now)), where=have > 0))
+
+
+def fit_rates(posteriors: DataFrame, goal: np.ndarray, most: float) -> list[np.ndarray]:
     """The gradient steps, one number a domain each, from (tokens, posterior).
 
     Each domain's squared residual is divided by the tokens that it has, so that a full step is never too long
     (the tokens are the row sums of the normal matrix) and a target out of reach in a small domain does not
-    turn the others; a document's own step is scaled by its tokens, so that its length does not decide its rate."""
-    k, taken = len(targets), []
+    turn the others; a document's own step is scaled by its tokens, so that its length does not decide its rate.
+    The steps go on until the residuals or the changes vanish, however many that takes."""
+    k, taken = len(goal), []
+    have = domain_totals(posteriors, k)
 
     def totals() -> np.ndarray:
         done = list(taken)
@@ -187,13 +200,30 @@ def fit_rates(posteriors: DataFrame, targets: np.ndarray, most: float, steps: in
         parts = posteriors.select("tokens", "posterior").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
         return np.array([x or 0.0 for x in parts.agg(*[F.sum(f"s{i}") for i in range(k)]).first()])
 
-    now = have = totals()
-    for _ in range(steps):
-        step = np.divide(now - targets, have, out=np.zeros(k), where=have > 0)
-        if np.abs(step).max() < TOLERANCE or (len(taken) > 2 and max(np.abs(step - taken[-1]).max(), np.abs(step - taken[-2]).max()) < TOLERANCE):
+    def still(now: np.ndarray, before: np.ndarray, share: float) -> bool:
+        return not np.any(np.abs(now - before) > share * have)
+
+    # On the cells: at most CELLS + 1 along each domain but the last.
+    at = [F.floor(F.col("posterior")[i] * CELLS).alias(f"c{i}") for i in range(k - 1)]
+    cells = posteriors.groupBy(*at).agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]).filter("t > 0").collect()
+    cells.sort(key=lambda x: tuple(x[: k - 1]))
+    t = np.array([x.t for x in cells], float)
+    p = np.array([[x[f"s{i}"] for i in range(k)] for x in cells], float).reshape(-1, k) / t[:, None]
+    r = np.ones(len(t))
+    now = (t * r) @ p
+    while np.abs(step := gradient(now, goal, have)).max() >= TOLERANCE / 2:
+        taken.append(step)
+        r = np.clip(r - p @ step, 0, most)
+        now, before = (t * r) @ p, now
+        if still(now, before, STILL):
             break
+    # On the documents.
+    now = totals()
+    while np.abs(step := gradient(now, goal, have)).max() >= TOLERANCE:
         taken.append(step)
-        now = totals()
+        now, before = totals(), now
+        if still(now, before, TOLERANCE):
+            break
     return taken
 
 
@@ -218,37 +248,70 @@ def uniform(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
-def mix(
-    documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float = 8.0, anchor: tuple[str, float] | None = None, seed: int = 3
+def anchored_goal(posteriors: DataFrame, shares: np.ndarray, anchor: int, most: float) -> np.ndarray:
+    """Domain totals in the shares (nan: a free domain) when all documents that are likeliest of the anchor keep a rate of 1.
+
+    The rates of the others, one for each domain, follow from linear equations and are clipped to [0, most], so that the
+    goal is within reach: where a share is not, the goal is the nearest that rates in bounds allow."""
+    k = len(shares)
+    largest = F.array_max("posterior")
+    kind = F.coalesce(*[F.when(F.col("posterior")[i] == largest, i) for i in range(k)]).alias("kind")
+    sums = posteriors.groupBy(kind).agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)])
+    held = np.zeros((k, k))
+    for x in sums.collect():
+        held[x.kind] = [x[f"s{i}"] or 0.0 for i in range(k)]
+    named = ~np.isnan(shares)
+    others = [d for d in range(k) if d != anchor and named[d]]
+    base = held[[d for d in range(k) if d not in others]].sum(0)
+    ratio = shares / shares[anchor]
+    a = np.array([[held[e, d] - ratio[d] * held[e, anchor] for e in others] for d in others]).reshape(len(others), len(others))
+    rates = np.clip(np.linalg.lstsq(a, np.array([ratio[d] * base[anchor] - base[d] for d in others]), rcond=None)[0], 0, most)
+    return np.where(named, base + rates @ held[others], np.nan)
+
+
+def rated_rows(
+    documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float = 8.0, anchor: str | None = None, seed: int = 3
 ) -> DataFrame:
-    """documents with tokens, posterior (array by DOMAINS), rate and copies.
-
-    Targets are shares of ``budget`` expected tokens (default: as many as there are). With anchor =
-    (domain, x) the budget is instead that which gives the domain x times its tokens, and no target lies
-    below x times what the documents of that domain hold of the others. Rates lie in [0, most]. Null texts are empty and have no tokens; rows with null or repeated doc_id are fitted and
-    drawn like any other (one row's copies differ from its repetition's only by their text); an empty
-    table gives no rows. Columns of documents with those four names are replaced."""
-    documents = documents.drop("tokens", "posterior", "rate", "copies")
+    """(row, tokens, posterior, rate, copies): the documents as structs, whatever their columns are called; see ``mix``."""
     model = fit_domains(documents, labels)
     rows = documents.select(F.struct(*documents.columns).alias("row"), text_or_empty("text").alias("text"))
     found = materialise(domain_posteriors(rows, model), "posteriors")
-    shares = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    have = domain_totals(found, len(DOMAINS))
-    goal = shares * (have.sum() if budget is None else budget)
-    if anchor:
-        i = DOMAINS.index(anchor[0])
-        own = found.filter(F.array_max("posterior") == F.col("posterior")[i])
-        goal = np.maximum(shares * anchor[1] * have[i] / shares[i], anchor[1] * domain_totals(own, len(DOMAINS)))
-    steps = fit_rates(found, goal, most)
-    rated = with_rates(found, steps, most)
+    shares = np.array([targets.get(d, np.nan) for d in DOMAINS]) / sum(targets.values())
+    if anchor is not None:
+        goal = anchored_goal(found, shares, DOMAINS.index(anchor), most)
+    else:
+        have = domain_totals(found, len(DOMAINS))
+        goal = shares * (have[~np.isnan(shares)].sum() if budget is None else budget)
+    rated = with_rates(found, fit_rates(found, goal, most), most)
     copies = F.floor(F.col("rate") + uniform(seed, "row.doc_id", "row.text")).cast("int")
-    return rated.select("row.*", "tokens", "posterior", "rate", copies.alias("copies"))
+    return rated.withColumn("copies", copies)
+
+
+def mix(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """documents with tokens, posterior (array by DOMAINS), rate and copies.
+
+    Targets are shares of ``budget`` expected tokens (default: as many as there are) over the domains that they name; a domain
+    without a target is free. With an ``anchor`` the budget is instead that which leaves every document that is likeliest of that
+    domain whole, and shares that rates in [0, most] cannot reach then give way to the nearest that they can.
+    Null texts are empty and have no tokens; rows with null or repeated doc_id are fitted and
+    drawn like any other (one row's copies differ from its repetition's only by their text); an empty
+    table gives no rows. Columns of documents with those four names are replaced."""
+    own = [c for c in documents.columns if c not in ("tokens", "posterior", "rate", "copies")]
+    return rated_rows(documents, labels, **how).select(*[F.col(f"row.`{c}`") for c in own], "tokens", "posterior", "rate", "copies")
 
 
 def mixed_documents(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents, each as often as its copies say, columns as they are."""
-    out = mix(documents, labels, **how).filter("copies > 0")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), "copies"))).select(*documents.columns)
+    """The documents, each as often as its copies say; every column keeps its value and type, whatever its name.
+
+    Nulls, repeats and empty tables as in ``mix``."""
+    out = rated_rows(documents, labels, **how).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+
+def reached_shares(rated: DataFrame) -> dict[str, float]:
+    """Shares of expected tokens by domain, of rows with tokens, posterior and rate."""
+    sums = rated.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[i]) for i in range(len(DOMAINS))]).first()
+    return {d: (x or 0.0) / (sum(y or 0.0 for y in sums) or 1.0) for d, x in zip(DOMAINS, sums)}
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,7 +364,7 @@ def test_rates_meet_targets(spark):
     df = spark.createDataFrame([(int(t), [float(v) for v in q]) for t, q in zip(tokens, p)], "tokens long, posterior array<double>")
     have = tokens @ p
     targets = have * np.array([1.3, 0.5, 0.8])
-    steps = mixing.fit_rates(df, targets, 8.0, 80)
+    steps = mixing.fit_rates(df, targets, 8.0)
     r = mixing.replayed(p, steps, 8.0)
     assert (r >= 0).all() and np.allclose((tokens * r) @ p, targets, rtol=2e-3)
     out = mixing.with_rates(df, steps, 8.0).collect()
@@ -378,6 +378,48 @@ def test_mixing_bears_all_rows(clashing, labels):
     assert mixing.mixed_documents(clashing, labels).columns == clashing.columns
 
 
+def test_mixing_keeps_clashing_columns(documents, labels):
+    mine = documents
+    for c in ("tokens", "posterior", "rate", "copies", "__n", "row"):
+        mine = mine.withColumn(c, F.concat(F.lit(f"my {c} "), F.coalesce("lang", F.lit("?"))))
+    out = mixing.mixed_documents(mine, labels, targets={"clean": 0.9, "toxic": 0.1}, most=1.0, anchor="clean")
+    assert out.schema.simpleString() == mine.schema.simpleString() and out.count() > 0
+    assert {tuple(r) for r in out.drop("text").collect()} <= {tuple(r) for r in mine.drop("text").collect()}
+
+
+def test_free_domain_and_anchor(spark):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.dirichlet([30, 0.3, 0.2], 400), rng.dirichlet([0.3, 20, 0.2], 80), rng.dirichlet([0.5, 0.5, 20], 20)])
+    tokens = rng.integers(1, 900, len(p))
+    df = spark.createDataFrame([(int(t), [float(v) for v in q]) for t, q in zip(tokens, p)], "tokens long, posterior array<double>")
+    for asked in (0.05, 0.0001):  # within reach; below what the clean documents hold
+        goal = mixing.anchored_goal(df, np.array([1 - asked, asked, np.nan]), 0, 1.0)
+        r = mixing.replayed(p, mixing.fit_rates(df, goal, 1.0), 1.0)
+        got = (tokens * r) @ p
+        clean = p.argmax(1) == 0
+        floor = (tokens[clean] @ p[clean])[1]
+        assert np.allclose(got[:2], goal[:2], rtol=2e-3) and r[clean].mean() > 0.99
+        if asked == 0.05:
+            assert abs(got[1] / got[:2].sum() - asked) < 1e-3
+        else:
+            assert got[1] <= floor * 1.2
+
+
+def test_posteriors_by_hand(clashing, labels):
+    model = mixing.fit_domains(clashing, labels)
+    rows = clashing.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = bag((r.doc_id, r.tokens, tuple(round(x, 5) for x in r.posterior)) for r in mixing.domain_posteriors(rows, model).collect())
+    expected = Counter()
+    for doc_id, text, *_ in ROWS:
+        maker = mixing.DocumentFeatures()
+        dense, _, bucket, counts = maker.rows([text or ""])
+        x = [1.0, *((dense[0] - model.mean) / model.scale)] + [float(b in {model.place[i] for i in bucket if model.place[i] >= 0}) for b in range(int(model.place.max()) + 1)]
+        e = [sum(a * w for a, w in zip(x, column)) for column in np.asarray(model.weights, float).T]
+        z = [math.exp(v - max(e)) for v in e]
+        expected[doc_id, int(counts[0]), tuple(round(v / sum(z), 5) for v in z)] += 1
+    assert sum((got & expected).values()) >= len(ROWS) - 1  # a last digit may round either way
+
+
 # No rows.
 
 
