@@ -1,10 +1,12 @@
 """Quality classifier: gated attention over passages (multiple-instance learning).
 
 A document is a bag of passages of 64 words; its label holds for the bag, not for any one
-passage. Each passage is encoded from word-shape and repetition features by a small learned
-layer; gated attention (a tanh and a sigmoid branch, multiplied) weighs the passages; the
-weighted mean representation is scored. Everything is learned from document labels, by
-gradient descent in numpy on a bounded sample; every passage of every document is scored.
+passage. Each passage is encoded by a small learned layer from its word shapes, its repetitions
+and its content: hashed words and hashed character trigrams. Gated attention (a tanh and a
+sigmoid branch, multiplied) weighs the passages; the weighted mean representation is scored.
+Everything is learned from document labels, by gradient descent in numpy on a bounded sample of
+documents, of each of which all passages are read; every passage of every document is scored.
+The layer is linear before its tanh, so a word's content is projected once for each distinct word.
 """
 
 from __future__ import annotations
@@ -19,8 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table, text_or_empty, trim_memory
 
 PASSAGE_WORDS = 64
-#: Labelled documents to learn from, chosen by hash, and passages of one of them (evenly spaced): the bounds of the fit.
-SAMPLE_ROWS, SAMPLE_PASSAGES = 6000, 128
+#: Labelled documents to learn from, chosen by hash: the first bound of the fit.
+SAMPLE_ROWS = 6000
+#: Bytes of text in that sample: documents, in hash order, that would pass this are left out whole, never cut.
+SAMPLE_BYTES = 96 << 20
+#: Hash buckets of words and of character trigrams.
+WORD_BUCKETS, GRAM_BUCKETS = 256, 256
+CONTENT = WORD_BUCKETS + GRAM_BUCKETS
+#: Weight decay of the content's part of the layer, besides the common one.
+CONTENT_DECAY = 2e-3
 THRESHOLD = 0.7
 HIDDEN = 12
 SLICE_BYTES = 2 << 20
@@ -54,6 +63,24 @@ def word_shapes(words: list[str]) -> np.ndarray:
     ).astype(np.float32)
 
 
+def content_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, owners): each word's own bucket and those of the trigrams of ^word$ (ASCII case folded), all words at once."""
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    points = np.where((points >= 65) & (points <= 90), points + 32, points)
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(words)), n)
+    place = (np.arange(len(points)) - np.repeat(starts, n)).astype(np.uint64)
+    mix = lambda x: (x ^ x >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)
+    own = mix(np.add.reduceat(points * (place * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), starts)) if len(words) else np.zeros(0, np.uint64)
+    inside = np.flatnonzero(place[2:] >= 2) + 2
+    grams = mix((points[inside - 2] * np.uint64(0x9E3779B1) + points[inside - 1]) * np.uint64(0x85EBCA77) + points[inside])
+    buckets = np.concatenate([own % np.uint64(WORD_BUCKETS), WORD_BUCKETS + grams % np.uint64(GRAM_BUCKETS)]).astype(np.int64)
+    owners = np.concatenate([np.arange(len(words)), owner[inside]])
+    order = np.argsort(owners, kind="stable")
+    return buckets[order], owners[order]
+
+
 class PassageFeatures:
     """Feature rows of passages; each distinct word is examined once."""
 
@@ -111,23 +138,96 @@ class PassageFeatures:
         return out, bounds
 
 
+class ContentFeatures(PassageFeatures):
+    """Passage features with the content's share of the layer: ``layer`` (buckets x units), of which a word's rows are summed once."""
+
+    def __init__(self, layer: np.ndarray):
+        self.layer = layer.astype(np.float32)
+        super().__init__()
+
+    def forget(self) -> None:
+        super().forget()
+        self.projected = np.zeros((0, self.layer.shape[1]), np.float32)
+
+    def learn(self, new: list[str]) -> None:
+        super().learn(new)
+        buckets, owners = content_buckets(new)
+        starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+        self.projected = np.concatenate([self.projected, np.add.reduceat(self.layer[buckets], starts)])
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature rows of all passages, the mean projection of their words, and the bounds of the texts."""
+        codes, counts = self.coded(texts)
+        x, bounds = self.passages(codes, counts)
+        content = np.zeros((len(x), self.layer.shape[1]), np.float32)
+        if len(codes):
+            starts, rows, n = passage_starts(counts, bounds)
+            content[rows] = np.add.reduceat(self.projected[codes], starts) / n[:, None]
+        return x, content, bounds
+
+
+def passage_starts(counts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the passages that have words begin among all words, their row numbers and their sizes."""
+    total = int(counts.sum())
+    place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+    passage = np.repeat(bounds[:-1], counts) + place // PASSAGE_WORDS
+    starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    return starts, passage[starts], np.diff(np.concatenate([starts, [total]])).astype(np.float32)
+
+
+class BucketCounts(PassageFeatures):
+    """Passage features with how often each bucket of content occurs in a passage (up to 255): what the fit reads."""
+
+    def forget(self) -> None:
+        super().forget()
+        self.flat, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        super().learn(new)
+        buckets, owners = content_buckets(new)
+        self.flat = np.concatenate([self.flat, buckets])
+        self.sizes = np.concatenate([self.sizes, np.bincount(owners, minlength=len(new))])
+
+    def counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, counts = self.coded(texts)
+        x, bounds = self.passages(codes, counts)
+        content = np.zeros((len(x), CONTENT), np.uint8)
+        if len(codes):
+            starts, rows, n = passage_starts(counts, bounds)
+            first = np.cumsum(self.sizes) - self.sizes
+            row = np.repeat(rows, n.astype(np.int64))
+            for a in range(0, len(codes), 1 << 18):
+                some = codes[a : a + (1 << 18)]
+                size = self.sizes[some]
+                upto = np.cumsum(size)
+                at = np.arange(upto[-1]) - np.repeat(upto - size, size) + np.repeat(first[some], size)
+                cell, times = np.unique(np.repeat(row[a : a + (1 << 18)], size) * CONTENT + self.flat[at], return_counts=True)
+                have = content.reshape(-1)
+                have[cell] = np.minimum(255, have[cell].astype(np.int64) + times)
+        return x, content, bounds
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class AttentionModel:
-    """h = tanh(Wx); a = softmax over a bag of w.(tanh(Vh) * sigmoid(Uh)); score = sigmoid(c.sum(a h) + b)."""
+    """h = tanh(Wx); a = softmax over a bag of w.(tanh(Vh) * sigmoid(Uh)); score = sigmoid(c.sum(a h) + b).
+
+    x is a passage's FEATURES, then the mean number of its words in each of CONTENT buckets, both standardised."""
 
-    SHAPES = {"W": (FEATURES, HIDDEN), "V": (HIDDEN, HIDDEN), "U": (HIDDEN, HIDDEN), "w": (HIDDEN, 1), "c": (HIDDEN, 1), "b": (1, 1)}
+    SHAPES = {"W": (FEATURES + CONTENT, HIDDEN), "V": (HIDDEN, HIDDEN), "U": (HIDDEN, HIDDEN), "w": (HIDDEN, 1), "c": (HIDDEN, 1), "b": (1, 1)}
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
-        self.p = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) for k, s in self.SHAPES.items()}
+        self.mean, self.scale = np.zeros(FEATURES + CONTENT, np.float32), np.ones(FEATURES + CONTENT, np.float32)
+        self.p = {k: rng.normal(0, 1 / np.sqrt(min(s[0], FEATURES)), s).astype(np.float32) for k, s in self.SHAPES.items()}
+        self.p["W"][FEATURES:] *= 0.1
 
-    def forward(self, x: np.ndarray, bounds: np.ndarray) -> tuple:
+    def attend(self, before: np.ndarray, bounds: np.ndarray) -> tuple:
+        """The forward pass from the layer's sums before its tanh."""
         p = self.p
-        h = np.tanh(x @ p["W"])
+        h = np.tanh(before)
         t, g = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
         e = ((t * g) @ p["w"])[:, 0]
         starts, sizes = bounds[:-1], np.diff(bounds)
@@ -136,8 +236,17 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, starts)
         return h, t, g, a, z, sigmoid(z @ p["c"] + p["b"])[:, 0]
 
-    def scores(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return self.forward((x - self.mean) / self.scale, bounds)[-1]
+    def forward(self, x: np.ndarray, bounds: np.ndarray) -> tuple:
+        return self.attend(x @ self.p["W"], bounds)
+
+    def content_layer(self) -> np.ndarray:
+        """What a mean count of 1 in each bucket adds to the layer's sums."""
+        return self.p["W"][FEATURES:] / self.scale[FEATURES:, None]
+
+    def scores(self, x: np.ndarray, content: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """From FEATURES rows and projected content."""
+        shift = (self.mean / self.scale) @ self.p["W"]
+        return self.attend((x / self.scale[:FEATURES]) @ self.p["W"][:FEATURES] + content - shift, bounds)[-1]
 
     def gradients(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, sizes = self.p, np.diff(bounds)
@@ -155,24 +264,47 @@ class AttentionModel:
         out["W"] = x.T @ dh
         return out
 
-    def fit(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
-        """Adam over all bags; both labels weigh the same in sum by half. With one label or none the score is its share."""
+    def fit(self, x: np.ndarray, content: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 256, least_steps: int = 400, rate: float = 0.01, decay: float = 1e-4, seed: int = 6) -> AttentionModel:
+        """Adam over batches of bags, each with all its passages; both labels weigh the same in sum by half. content holds counts by
+        bucket. With one label or none the score is its share."""
         if not len(y) or y.min() == y.max():
-            self.p = {k: np.zeros(s) for k, s in self.SHAPES.items()}
+            self.p = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
             self.p["b"] += (4.0 if y[0] else -4.0) if len(y) else 1.0
             return self
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        x = (x - self.mean) / self.scale
+        # A passage's words, from its own feature.
+        words = np.maximum(1, np.rint(np.expm1(x[:, WORD_FEATURES + 2]))).astype(np.float32)
+        sums = np.zeros((2, CONTENT))
+        for i in range(0, len(x), 4096):
+            c = content[i : i + 4096] / words[i : i + 4096, None]
+            sums += c.sum(0), (c * c).sum(0)
+        m, v = sums / len(x)
+        self.mean = np.concatenate([x.mean(0), m]).astype(np.float32)
+        # No bucket counts for more than one of a standard deviation of a fiftieth.
+        self.scale = np.concatenate([x.std(0) + 1e-3, np.sqrt(np.maximum(v - m * m, 0)) + 0.02]).astype(np.float32)
         share = y.mean()
-        weight = np.where(y == 1, 1 / np.sqrt(share), 1 / np.sqrt(1 - share))
-        m = {k: np.zeros(s) for k, s in self.SHAPES.items()}
-        v = {k: np.zeros(s) for k, s in self.SHAPES.items()}
-        for step in range(1, steps + 1):
-            for k, d in self.gradients(x, bounds, y, weight).items():
-                d = d + decay * self.p[k]
-                m[k] = 0.9 * m[k] + 0.1 * d
-                v[k] = 0.99 * v[k] + 0.01 * d * d
-                self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+        weight = np.where(y == 1, 1 / np.sqrt(share), 1 / np.sqrt(1 - share)).astype(np.float32)
+        m, v = ({k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()} for _ in "mv")
+        rng, step = np.random.default_rng(seed), 0
+        sizes = np.diff(bounds)
+        epochs = max(epochs, -(-least_steps // max(1, -(-len(y) // batch))))
+        for epoch in range(epochs):
+            order = rng.permutation(len(y))
+            now = rate * (1 - epoch / epochs) + rate / 20
+            for i in range(0, len(y), batch):
+                chosen = order[i : i + batch]
+                n = sizes[chosen]
+                upto = np.concatenate([[0], np.cumsum(n)])
+                at = np.repeat(bounds[chosen] - upto[:-1], n) + np.arange(upto[-1])
+                rows = np.concatenate([x[at], content[at] / words[at, None]], 1, dtype=np.float32)
+                rows = (rows - self.mean) / self.scale
+                step += 1
+                for k, d in self.gradients(rows, upto, y[chosen], weight[chosen]).items():
+                    d = d + np.float32(decay) * self.p[k]
+                    if k == "W":
+                        d[FEATURES:] += np.float32(CONTENT_DECAY) * self.p[k][FEATURES:]
+                    m[k] = (0.9 * m[k] + 0.1 * d).astype(np.float32)
+                    v[k] = (0.99 * v[k] + 0.01 * d * d).astype(np.float32)
+                    self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
 
@@ -191,43 +323,54 @@ def held_out(fold: int = 2, folds: int = 4):
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> DataFrame:
-    """(text, labels) of up to ``rows`` labelled documents outside the held-out fold, chosen by a hash of doc_id."""
+    """(doc_id, text, labels) of up to ``rows`` labelled documents (and SAMPLE_BYTES of text) outside the held-out fold, chosen by a
+    hash of doc_id, each whole."""
     chosen = labels.filter(F.col("doc_id").isNotNull() & ~held_out()).na.drop(subset=columns).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` rows of numbers.
+    sizes = documents.select("doc_id", F.octet_length(text_or_empty("text")).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *columns).agg(F.sum("n").alias("n"))
+    kept, total = [], 0
+    for r in sorted(sizes.select("*", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r.h, r.doc_id)):
+        if total + r.n <= SAMPLE_BYTES:
+            kept.append((r.doc_id, *[r[c] for c in columns]))
+            total += r.n
+    chosen = documents.sparkSession.createDataFrame(kept, chosen.schema)
     found = documents.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.select("doc_id", "text", *columns)
 
 
-def training_bags(sample: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature rows, bounds and labels of a sample; the features are made where the texts are."""
+def training_bags(sample: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows, content counts, bounds and labels of a sample, all passages of each; they are made where the texts are."""
+    import zstandard
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = PassageFeatures()
+        maker, seal = BucketCounts(), zstandard.ZstdCompressor(1)
         for batch in batches:
             for first, last in text_slices(batch.column(1).to_pylist()):
-                rows, bounds = maker.of(batch.column(1).slice(first, last - first).to_pylist())
-                packed = []
-                for a, b in zip(bounds, bounds[1:]):
-                    chosen = np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int)
-                    packed.append(rows[chosen].tobytes())
+                rows, content, bounds = maker.counted(batch.column(1).slice(first, last - first).to_pylist())
+                packed = [rows[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+                counts = [seal.compress(content[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
                 own = [batch.column(i).slice(first, last - first) for i in (0, *range(2, 2 + len(columns)))]
-                yield pa.RecordBatch.from_arrays([own[0], pa.array(packed, pa.binary()), *own[1:]], ["doc_id", "x", *columns])
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(packed, pa.binary()), pa.array(counts, pa.binary()), *own[1:]], ["doc_id", "x", "c", *columns])
         del maker
         trim_memory()
 
     kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in columns)
-    rows = sample.mapInArrow(bags, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, x binary, {kinds}").collect()
+    rows = sample.mapInArrow(bags, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, x binary, c binary, {kinds}").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     each = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-    x = np.concatenate(each).astype(np.float64) if each else np.zeros((0, FEATURES))
-    return x, bounds, np.array([[getattr(r, c) for c in columns] for r in rows], np.float64).reshape(-1, len(columns))
+    x = np.concatenate(each) if each else np.zeros((0, FEATURES), np.float32)
+    content = np.zeros((len(x), CONTENT), np.uint8)
+    opened = zstandard.ZstdDecompressor()
+    for r, a, b in zip(rows, bounds, bounds[1:]):
+        content[a:b] = np.frombuffer(opened.decompress(r.c), np.uint8).reshape(-1, CONTENT)
+    return x, content, bounds, np.array([[getattr(r, c) for c in columns] for r in rows], np.float32).reshape(-1, len(columns))
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> AttentionModel:
-    x, bounds, y = training_bags(labelled_sample(documents, labels, ["quality"], rows), ["quality"])
-    return AttentionModel().fit(x, bounds, y[:, 0])
+    x, content, bounds, y = training_bags(labelled_sample(documents, labels, ["quality"], rows), ["quality"])
+    return AttentionModel().fit(x, content, bounds, y[:, 0])
 
 
 def score_quality(documents: DataFrame, model: AttentionModel) -> DataFrame:
@@ -237,11 +380,11 @@ def score_quality(documents: DataFrame, model: AttentionModel) -> DataFrame:
     at = documents.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = PassageFeatures()
+        maker = ContentFeatures(model.content_layer())
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
-            out = [model.scores(*maker.of(texts[first:last])) for first, last in text_slices(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "score"])
+            out = [model.scores(*maker.encoded(texts[first:last])) for first, last in text_slices(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.concatenate(out) if out else np.zeros(0)).astype(np.float64))], [*batch.schema.names, "score"])
         del maker
         trim_memory()
 
@@ -258,7 +401,8 @@ def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier does not reject, columns as they are."""
+    """The documents that the classifier does not reject; columns as they are, whatever their names. Null texts are judged as empty
+    ones; repeated rows are judged alike; an empty table gives no rows, and without labels nothing is rejected."""
     rows = documents.select(F.struct(*documents.columns).alias("row"), "text")
     scored = score_quality(rows, fit_quality(documents, labels))
     return scored.filter(F.col("score") >= threshold).select("row.*")

@@ -333,7 +333,8 @@ def test_quality_scores_every_row(clashing, labels):
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     model = quality.AttentionModel()
-    x, bounds, y, weight = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 5, 9]), np.array([1.0, 0, 1]), np.ones(3)
+    model.p = {k: v.astype(float) for k, v in model.p.items()}
+    x, bounds, y, weight = rng.normal(size=(9, quality.FEATURES + quality.CONTENT)), np.array([0, 2, 5, 9]), np.array([1.0, 0, 1]), np.ones(3)
 
     def loss():
         s = model.forward(x, bounds)[-1]
@@ -350,6 +351,46 @@ def test_attention_gradients():
         assert math.isclose((up - down) / 2e-6, found[k][at], rel_tol=1e-3, abs_tol=1e-7)
 
 
+def plain_score(model, text):
+    """The forward pass of one document, a passage and a word at a time."""
+    w = text.split()
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    outs, heights = [], []
+    for first in range(0, max(1, len(w)), quality.PASSAGE_WORDS):
+        own = w[first : first + quality.PASSAGE_WORDS]
+        surface = [0.0] * quality.FEATURES
+        counts = [0.0] * quality.CONTENT
+        if own:
+            shapes = [quality.word_shapes([x])[0] for x in own]
+            surface = [float(sum(s[i] for s in shapes)) / len(own) for i in range(quality.WORD_FEATURES)]
+            surface[0] /= 10
+            surface += [sum(a == b for a, b in zip(own, own[1:])) / len(own), len(set(own)) / len(own), math.log1p(len(own)), math.log1p(len(w)), 1.0]
+            for x in own:
+                for b in quality.content_buckets([x])[0]:
+                    counts[b] += 1 / len(own)
+        x = (np.array(surface + counts) - model.mean) / model.scale
+        h = np.tanh(x @ p["W"])
+        outs.append(h)
+        heights.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"][:, 0]))
+    a = [math.exp(e - max(heights)) for e in heights]
+    z = sum(x * h for x, h in zip(a, outs)) / sum(a)
+    return 1 / (1 + math.exp(-float(z @ p["c"][:, 0] + p["b"][0, 0])))
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark, sf):
+    from relgraph.llm.common import table
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf, "labels"))
+    extra = spark.createDataFrame([(-1, ""), (-2, None), (-3, ROWS[9][1]), (-4, ROWS[8][1])], "doc_id long, text string")
+    rows = quality.score_quality(docs.limit(60).unionByName(extra), model).collect()
+    for r in rows:
+        assert abs(r.score - plain_score(model, r.text or "")) < 1e-3
+    # Long documents are learned from whole: a bag has a passage for each 64 words.
+    x, content, bounds, _ = quality.training_bags(spark.createDataFrame([(1, ROWS[9][1], 1)], "doc_id long, text string, quality int"), ["quality"])
+    assert len(x) == len(content) == bounds[-1] == -(-len(ROWS[9][1].split()) // quality.PASSAGE_WORDS)
+
+
 def test_quality_held_out(spark, sf):
     from relgraph.llm.common import table
 
