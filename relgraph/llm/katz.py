@@ -63,9 +63,11 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def sample_counts(documents: DataFrame, rows: int) -> Counter:
-    """Token counts of up to ``rows`` documents, chosen by a hash of their texts."""
-    some = documents.select(text_or_empty("text").cast("binary").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(8)) == 0).limit(rows)
+def sample_counts(documents: DataFrame, rows: int, of: int) -> Counter:
+    """Token counts of about ``rows`` of all ``of`` documents, from everywhere in the table."""
+    share = int(min(1.0, rows / max(of, 1)) * (1 << 30))
+    picked = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) < share
+    some = documents.filter(picked).select(text_or_empty("text").cast("binary").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
@@ -83,15 +85,16 @@ def sample_counts(documents: DataFrame, rows: int) -> Counter:
 def hot_words(documents: DataFrame) -> list[bytes]:
     """END and the words that fill half a partition or more by their share of a bounded sample (at least those above
     HOT_SHARE, never those below LEAST_SHARE)."""
-    found = sample_counts(documents, HOT_SAMPLE)
+    rows_in_all = documents.count()
+    found = sample_counts(documents, HOT_SAMPLE, rows_in_all)
     total, docs = sum(found.values()), found[END]
     if not docs:
         return [END]
-    everything = documents.count() * total / docs
+    everything = rows_in_all * total / docs
     share = max(LEAST_SHARE, min(HOT_SHARE, PART_TOKENS / 2 / everything))
     rows = min(MOST_SAMPLE, int(20 / share * docs / total))
     if rows > HOT_SAMPLE:
-        found = sample_counts(documents, rows)
+        found = sample_counts(documents, rows, rows_in_all) or found
     least = share * sum(found.values())
     return sorted({END} | {w for w, n in found.items() if w is not None and n > least})
 
@@ -199,6 +202,8 @@ def deal(documents: DataFrame, hot: list[bytes], parts: int) -> DataFrame:
 
 
 COUNTED = "kind int, grp long, blob binary, word long, doc int, n long, types long, c1 long, c2 long, c3 long, c4 long, c5 long, c6 long, above long"
+#: Groups whose sums travel together: 16 of one scan partition.
+GROUPS_BITS = 4
 KIND_DOCS, KIND_SUMS, KIND_CONTEXT, KIND_BACKOFF, KIND_TOTALS = range(5)
 
 
@@ -254,19 +259,25 @@ def count_partition(t: pa.Table, hot: dict[int, int]) -> pa.Table:
         base = np.log10(c2 + 0.1)
         score = np.where(pair_count > 0, np.log10(np.maximum(pair_count, 1)), base) - np.where((c2 > 0) & ~is_end, np.log10(np.maximum(c2, 1)), 0)
     cls = np.where(pair_count == 0, 0, np.minimum(pair_count, CUT + 1))
-    back = []
+    back, sums = [], {}
     upto = np.cumsum([0, *lengths])
     for i, grp in enumerate(grps):
         pairs = np.repeat(pair_of[upto[i] : upto[i + 1]], uses[i])
         doc, n = docs[i], sizes[i]
-        count = lambda m: small(np.bincount(doc[m], minlength=n))
+        # Only of documents that have a token here: what is written follows the tokens, not documents x partitions.
+        here, at = np.unique(doc, return_inverse=True)
+        count = lambda m: small(np.bincount(at[m], minlength=len(here)))
         own = cls[pairs]
-        sums = (np.bincount(doc, base[pairs], n), np.bincount(doc, score[pairs], n), count(c2[pairs] > 0), *[count(own == r) for r in range(CUT + 2)])
-        out.append(counted_rows(KIND_SUMS, 1, grp=[grp], blob=[sealed(*sums)]))
+        classes = [count(own == r) for r in range(CUT + 2)]
+        sums.setdefault(grp >> GROUPS_BITS, []).append(
+            (grp, small(np.diff(here, prepend=0)), np.bincount(at, base[pairs]), np.bincount(at, score[pairs]), count(c2[pairs] > 0), *[c if c.any() else None for c in classes])
+        )
         m = own == 0
         if m.any():
             k, times = np.unique(pairs[m] * n + doc[m], return_counts=True)
             back.append((np.full(len(k), grp), s1[new][k // n], k % n, times))
+    for parts in sums.values():
+        out.append(counted_rows(KIND_SUMS, 1, grp=[parts[0][0]], blob=[sealed(*parts)]))
     if back:
         g, w, d, n = (np.concatenate(x) for x in zip(*back))
         out.append(counted_rows(KIND_BACKOFF, len(g), grp=g, word=w.view(np.int64), doc=d, n=n))
@@ -338,24 +349,36 @@ def katz_scores(documents: DataFrame, held_out) -> DataFrame:
     log_d, log_z, first = [math.log10(x) for x in d], math.log10(z), math.log10(train_docs) if train_docs else 0.0
 
     def score(t: pa.Table) -> pa.Table:
-        kinds, blobs = t.column("kind").to_numpy(), t.column("blob")
-        ids, held, size = opened(blobs[int(np.flatnonzero(kinds == KIND_DOCS)[0])].as_py())
-        base, total, known = -size * log_z, np.full(len(size), -first), np.zeros(len(size), np.int64)
+        kinds, blobs, grps = t.column("kind").to_numpy(), t.column("blob"), t.column("grp").to_numpy()
+        have = {}
+        for i in np.flatnonzero(kinds == KIND_DOCS).tolist():
+            ids, held, size = opened(blobs[i].as_py())
+            have[int(grps[i])] = ids, held, size, -size * log_z, np.full(len(size), -first), np.zeros(len(size), np.int64)
         for i in np.flatnonzero(kinds == KIND_SUMS).tolist():
-            b, s, k, unseen, *seen = opened(blobs[i].as_py())
-            base, known = base + b, known + k
-            total = total + s - unseen.astype(float) * log_z
-            for r, m in zip(log_d, seen):
-                total += m.astype(float) * r
-        at = kinds == KIND_BACKOFF
-        total += np.bincount(t.column("doc").to_numpy()[at].astype(np.int64), t.column("x").to_numpy()[at], len(size)) if at.any() else 0
-        columns = {
-            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(size), "n_known": pa.array(known),
-            "train_tokens": pa.array(np.full(len(size), n), pa.int64()), "base_score": pa.array(base), "score": pa.array(total),
-        }
-        return pa.table(columns)
-
-    return rows.groupBy("grp").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for grp, step, b, s, k, unseen, *seen in opened(blobs[i].as_py()):
+                here = np.cumsum(step.astype(np.int64))
+                _, _, _, base, total, known = have[int(grp)]
+                base[here] += b
+                known[here] += k
+                total[here] += s
+                for r, m in zip((-log_z, *log_d), (unseen, *seen)):
+                    if m is not None:
+                        total[here] += m.astype(float) * r
+        at = np.flatnonzero(kinds == KIND_BACKOFF)
+        doc, x = t.column("doc").to_numpy()[at].astype(np.int64), t.column("x").to_numpy()[at]
+        out = []
+        for grp, (ids, held, size, base, total, known) in have.items():
+            own = grps[at] == grp
+            total += np.bincount(doc[own], x[own], len(size)) if own.any() else 0
+            columns = {
+                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(size), "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(len(size), n), pa.int64()), "base_score": pa.array(base), "score": pa.array(total),
+            }
+            out.append(pa.table(columns))
+        return pa.concat_tables(out)
+
+    groups = rows.withColumn("groups", F.shiftright("grp", GROUPS_BITS)).groupBy("groups")
+    return groups.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

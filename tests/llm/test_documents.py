@@ -221,6 +221,29 @@ def test_katz_against_recursion(clashing, monkeypatch):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], atol=1e-6)
 
 
+def test_katz_sums_follow_the_tokens(spark, monkeypatch):
+    """What word partitions write a document stays the same when documents and partitions are sixteen times as many."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(katz, "PART_TOKENS", 60)
+    monkeypatch.setattr(katz, "GROUP_TOKENS", 3000)
+    each = []
+    for n in (100, 1600):
+        rng = np.random.default_rng(2)
+        docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 40) % (20 * n)), False) for i in range(n)], "doc_id long, text string, held_out boolean").repartition(2)
+        hot = katz.hot_words(docs)
+        total, _, _, counts = katz.corpus_counts(docs, hot)
+        by = {int(h): counts[w] for h, w in zip(katz.word_hashes(hot), hot)}
+        rows = katz.deal(docs, hot, max(1, math.ceil(total / 60))).toPandas()
+        written = 0
+        for part, own in rows.groupby("part"):
+            out = katz.count_partition(pa.Table.from_pandas(own, preserve_index=False), by)
+            if part >= 0:
+                written += sum(len(x) for kind, blob in zip(out["kind"].to_pylist(), out["blob"].to_pylist()) if kind == katz.KIND_SUMS for x in katz.opened(blob) for x in [x[1]])
+        each.append(written / n)
+    assert each[1] < 1.3 * each[0] and each[1] <= 41  # a document has 41 tokens
+
+
 def test_katz_without_training(documents):
     out = katz.katz_scores(documents, F.lit(True)).collect()
     assert len(out) == len(ROWS) and all(r.n_known == 0 and r.train_tokens == 0 and abs(r.score) < 1e-6 for r in out)
