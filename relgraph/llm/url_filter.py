@@ -4,8 +4,8 @@ Two smoothed variable-order Markov models over the characters of a URL, one lear
 from URLs that an allow rule accepts and one from URLs that a block rule rejects, are
 compared by the difference of their log-likelihoods per character. The threshold is
 calibrated on a fifth of the rule-labelled URLs, which the models do not see. All of it
-is DataFrame expressions; a URL's windows are never shuffled, because the joined model
-table is bounded by its alphabet.
+is DataFrame expressions; each distinct URL is scored once, and its windows are summed
+where they are made, because the joined model table is bounded by its alphabet.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from .common import ascii_lower, materialise, table
 RULES = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
 #: Folded symbols that a model predicts: letters, digits as 0, six marks, others as *, and the end $.
 SYMBOLS = 26 + 1 + 6 + 1 + 1
-#: Characters of context. With ^ as padding there are at most 36**4 windows, about 1.7 million: the bound of the broadcast.
+#: Characters of context. With ^ as padding there are at most 36**4 windows, about 1.7 million.
 ORDER = 3
+#: Up to so many windows (a few characters and a number each) are broadcast; more, as a higher order may have, are joined by a shuffle.
+BROADCAST_WINDOWS = 2_000_000
 BIN = 0.01
 
 
@@ -80,35 +82,35 @@ def url_filter(pages: DataFrame, rules: dict[tuple[str, str], str] = RULES, orde
 
     Null, empty or schemeless URLs have empty host and path and are judged like any other
     text; repeated rows are judged alike; with no labelled URL of either kind every ratio
-    and the threshold are 0 and the method allows. Columns of pages with those names are
-    replaced. The rules are configuration: a driver-side dictionary."""
+    and the threshold are 0 and the method allows; no pages, no rows. Columns of pages with those five names are
+    replaced; all others pass through whatever their names and types (and move once, to meet their score). The rules are configuration: a driver-side dictionary."""
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    given = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("page"), F.col(f"`{url}`").alias("url"))
+    rows = given.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
-    bits = rows.select(
-        "verdict",
-        (F.pmod(F.crc32(F.coalesce(F.col(url), F.lit("")).cast("binary")), F.lit(5)) == 0).alias("held"),
-        F.explode(windows(F.col("host"), F.col("path"), order)).alias("g"),
-    )
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("url"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    bits = rows.select("verdict", held_out.alias("held"), F.explode(windows(F.col("host"), F.col("path"), order)).alias("g"))
     counted = bits.groupBy("g").agg(
         *[F.sum(((F.col("verdict") == v) & ~F.col("held")).cast("long")).alias(x) for x, v in (("a", "allow"), ("r", "block"))]
     )
     counted = counted.select("g", *[F.coalesce(F.col(x), F.lit(0)).alias(x) for x in "ar"])
     ratios = materialise(window_ratios(counted, order), "url-ratios")
+    ratios = F.broadcast(ratios) if ratios.count() <= BROADCAST_WINDOWS else ratios
 
     def scored(some: DataFrame, keep: list[str]) -> DataFrame:
-        some = some.withColumn("__id", F.monotonically_increasing_id())
-        parts = some.select("__id", *keep, F.explode(windows(F.col("host"), F.col("path"), order)).alias("g"))
-        # At most 36**(order+1) rows by construction; a row's windows meet again in the task that made them.
-        parts = parts.join(F.broadcast(ratios), "g")
-        return parts.groupBy("__id", *keep).agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+        """some with its score; a URL's windows meet again by a number in the scan and by ``keep``."""
+        parts = some.select("id", *keep, F.explode(windows(F.col("host"), F.col("path"), order)).alias("g"))
+        return parts.join(ratios, "g").groupBy("id", *keep).agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
 
-    held = rows.filter(F.col("verdict").isNotNull() & (F.pmod(F.crc32(F.col(url).cast("binary")), F.lit(5)) == 0))
+    held = rows.filter(F.col("verdict").isNotNull() & held_out).withColumn("id", F.monotonically_increasing_id())
     threshold = calibrated(scored(held, ["verdict", "host", "path"]))
-    out = scored(rows, [*names, "host", "path", "rule", "verdict"])
+    # What has a rule still gets a score. Equal hosts and paths have one: the rows meet it by these, so nothing else of a page moves with its windows.
+    urls = rows.select("host", "path").distinct().withColumn("id", F.lit(0))
+    score = scored(urls, ["host", "path"]).select(F.col("host").alias("h"), F.col("path").alias("p"), "score")
+    out = rows.join(score, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
     judged = F.coalesce(F.col("verdict"), F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return out.select(*names, "host", "path", "rule", judged.alias("verdict"), "score")
+    return out.select("page.*", "host", "path", "rule", judged.alias("verdict"), "score")
 
 
 def calibrated(held: DataFrame) -> float:

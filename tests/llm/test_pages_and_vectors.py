@@ -39,6 +39,15 @@ def test_rules_and_verdicts(spark):
         assert got[i].verdict in ("allow", "block") and (rule is None or got[i].verdict == url_filter.RULES[rule])
 
 
+def test_clashing_columns_pass_through(spark, monkeypatch):
+    rows = [(i, u, f"<{i}>", {"k": f"v{i}"}, i * 2, "r", "x") for i, u in enumerate(URLS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, props map<string,string>, g int, ratio string, page string")
+    got = {r.page_id: r for r in url_filter.url_filter(pages).collect()}
+    assert all((got[i].html, got[i].props, got[i].g, got[i].ratio, got[i].page) == r[2:] for i, r in enumerate(rows))
+    monkeypatch.setattr(url_filter, "BROADCAST_WINDOWS", 1)
+    assert {(r.page_id, r.verdict, round(r.score, 9)) for r in url_filter.url_filter(pages).collect()} == {(r.page_id, r.verdict, round(r.score, 9)) for r in got.values()}
+
+
 def test_ratio_is_that_of_two_witten_bell_models(spark):
     accepted, rejected = ["abab/", "abba"], ["cdcd", "dc0"]
     pad = lambda s: "^" * 3 + s + "$"
