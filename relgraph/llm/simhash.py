@@ -1,11 +1,11 @@
 """SimHash near-dedup with pivot distance tables.
 
 A fingerprint's Hamming distances to many reference fingerprints are computed once. The
-references come in two sets. Each of the 64 structured ones differs from the zero reference
+references come in two sets. The structured ones select: each of the 64 differs from the zero reference
 in one bit of one of six blocks, so two fingerprints have the same relative distances to a
 block's references just if they agree there; as at most ``RADIUS`` = 3 bits differ, they agree
 in three blocks at least, and an equi-join on the relative distances of three blocks finds
-every pair. The scattered references then discard pairs whose distances differ by more than
+every pair (it is a join on the bits of three blocks, read off as distances). The scattered references then discard pairs whose distances differ by more than
 the radius in any coordinate (the triangle inequality), and the survivors' bits are compared.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import minhash
 from .common import materialise, table, text_or_empty
@@ -198,19 +198,23 @@ def near_duplicate_links(texts: DataFrame, width: int = 5, similarity: float = 0
 def drop_near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The document with the smallest doc_id of each group that equal texts and near-duplicate links connect.
 
-    Columns stay as they are. Null, empty and wordless texts group with texts of the same spelling only (null
+    Columns keep their values, whatever their names. Null, empty and wordless texts group with texts of the same spelling only (null
     as empty); rows with a null doc_id come last in their group; of rows with one doc_id and text one stays;
-    an empty table gives no rows."""
-    texts = documents.select("doc_id", text_or_empty("text").alias("text")).withColumn("id", minhash.text_id(F.col("text")))
+    an empty table gives no rows. Links name a text by a 64-bit hash; should two texts share one (a second hash tells),
+    one document of each stays, and neither goes for a link."""
+    text = text_or_empty("text")
+    texts = documents.select("doc_id", text.alias("text"), minhash.text_id(text).alias("id"), F.xxhash64(F.lit(1), text).alias("second"))
     roots = connected_components(near_duplicate_links(texts.select("id", "text"), width, similarity))
     # The row that stays: least (null last, doc_id, text id) of its component.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
-    best = texts.select("doc_id", "id").groupBy("id").agg(F.min(order).alias("best"))
-    best = best.join(roots, best["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__d"), F.col("best.id").alias("__i"))
-    named = documents.withColumn("__t", minhash.text_id(text_or_empty("text")))
-    kept = named.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__i")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__t"]).drop("__t")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "second")
+    classes = texts.groupBy("id", "second").agg(F.min(order).alias("best"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("id")) > 1
+    classes = classes.withColumn("odd", F.when(shared, F.col("second")))
+    best = classes.join(roots, classes["id"] == roots["node"], "left").groupBy(F.when(F.col("odd").isNull(), F.coalesce("root", "id")).otherwise(F.col("id")), "odd").agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.doc_id").alias("d"), F.col("best.id").alias("i"), F.col("best.second").alias("s"))
+    named = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", minhash.text_id(text).alias("id"), F.xxhash64(F.lit(1), text).alias("second"))
+    kept = named.join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("id") == F.col("i")) & (F.col("second") == F.col("s")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "id", "second"]).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,19 @@ def test_near_duplicates_go(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in out) == [(False, 1), (False, 3), (False, 4), (False, 9), (True, None)]
 
 
+def test_near_duplicates_keep_clashing_columns(spark, documents):
+    mine = documents.select("*", *[F.concat(F.lit(f"my {c} "), F.coalesce("lang", F.lit("?"))).alias(c) for c in ("__t", "__d", "__i", "id", "second", "row", "best")])
+    out = simhash.drop_near_duplicates(mine)
+    assert out.schema.simpleString() == mine.schema.simpleString()
+    assert {tuple(r) for r in out.drop("text").collect()} <= {tuple(r) for r in mine.drop("text").collect()}
+
+
+def test_texts_that_share_a_hash_both_stay(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "text_id", lambda t: F.when(t.startswith("same"), F.lit(7).cast("long")).otherwise(F.xxhash64(t)))
+    rows = [(3, "same hash one two three four five six"), (1, "same hash but quite another text than that"), (2, "same hash one two three four five six"), (4, "something else")]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 2, 4]
+
+
 def test_dense_group_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "PAIRS_UPTO", 4)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
