@@ -104,7 +104,57 @@ def test_quotes(spark):
     assert (got[1, 3].n_quotes, got[1, 3].n_linked, got[1, 3].depth, got[1, 3].reply_to) == (2, 1, 3, 1)
     assert got[1, 4].text == "x > y is no quote" and got[1, 4].n_linked == 0 and got[1, 4].chat.startswith("<|unknown|>")
     assert got[2, 1].text == "" and got[2, 3].text == "" and got[2, None].reply_to is None and got[None, 1].reply_to is None
-    assert sorted(r.position for r in out if r.conv_id == 2) == list(range(6)) and all(r.position == r.turn for r in out if r.conv_id == 1)
+    assert sorted(r.position for r in out if r.conv_id == 2) == list(range(6))
+    assert [got[1, t].position for t in range(5)] == [0, 1, 2, 3, 4]
+
+
+def thread(replies):
+    """Positions by a plain walk of the tree: replies[i] is whom message i answers, None for the one before."""
+    below = {}
+    for i, x in enumerate(replies):
+        if i:
+            below.setdefault(i - 1 if x is None else x, []).append(i)
+    order, stack = [], [0]
+    while stack:
+        i = stack.pop()
+        order.append(i)
+        stack += reversed(below.get(i, []))
+    return {i: n for n, i in enumerate(order)}
+
+
+def quoting_table(spark, replies, conv=1):
+    rows = [(conv, i, f"r{i % 3}", f"says {i}" if x is None else f"> says {x}\nsays {i}") for i, x in enumerate(replies)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+@pytest.mark.parametrize("bucket", [4, 1024])
+def test_replies_decide_the_order(spark, monkeypatch, tmp_path, bucket):
+    import duckdb
+
+    monkeypatch.setattr(quotes, "BUCKET", bucket)
+    rng = np.random.default_rng(bucket)
+    all_replies = [[None, None, 0, None, 1, 1, None, 2, 0], [None, *[0] * 12], [None] * 6, [None, *[int(rng.integers(i)) if rng.random() < 0.5 else None for i in range(1, 60)]]]
+    df = quoting_table(spark, all_replies[0], 0)
+    for c, replies in enumerate(all_replies[1:], 1):
+        df = df.unionByName(quoting_table(spark, replies, c))
+    got = {(r.conv_id, r.turn): (r.position, r.reply_to) for r in quotes.link_quotes(df).collect()}
+    for c, replies in enumerate(all_replies):
+        for i, n in thread(replies).items():
+            assert got[c, i] == (n, replies[i])
+    df.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/c/*.parquet'")
+    assert {(c, t): (p, a) for c, t, p, a in con.sql(f"select conv_id, turn, position, reply_to from ({quotes.OP8_SQL})").fetchall()} == got
+
+
+def test_null_and_repeated_turns_in_one_conversation(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "BUCKET", 8)
+    rows = [(1, None, "u", f"n{i}") for i in range(40)] + [(1, 3, "u", f"t{i}") for i in range(40)] + [(1, 5, "u", "same")] * 30 + [(1, 9, "u", "> t7\nyes")]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.position for r in out) == list(range(len(rows)))
+    at = {r.text: r.position for r in out}
+    assert at["yes"] > at["t7"] and all(r.position < 40 for r in out if r.turn is None)
+    assert [r.reply_to for r in out if r.text == "yes"] == [3]
 
 
 def test_quotes_match_sql(spark, tmp_path):
