@@ -93,6 +93,12 @@ class DiGraphView:
     def has_edge(self, u: Node, v: Node) -> bool:
         return not self._between(u, v).isEmpty()
 
+    def have_edges(self, pairs: DataFrame) -> DataFrame:
+        """pairs (src_label, src, dst_label, dst), once each, with ``present``: ``has_edge`` for many at once."""
+        ends = ["src_label", "src", "dst_label", "dst"]
+        there = self.edges().select(*ends).distinct().withColumn("__there", F.lit(True))
+        return pairs.select(*ends).distinct().join(there, ends, "left").select(*ends, F.coalesce("__there", F.lit(False)).alias("present"))
+
     has_successor = has_edge
 
     def has_predecessor(self, u: Node, v: Node) -> bool:
@@ -108,16 +114,19 @@ class DiGraphView:
         return self._between(u, None, "dst").select(F.col("src_label").alias("label"), F.col("src").alias("oid")).distinct()
 
     def get_edge_data(self, u: Node, v: Node, default=None):
-        """The attributes (JSON) of the first edge by edge label, or the default."""
-        row = self._between(u, v).first()
+        """The attributes (JSON) of an edge, of parallel ones the largest, or the default."""
+        row = self._between(u, v).orderBy(F.desc("data")).first()
         return default if row is None else row.data
 
+    def edge_data(self) -> DataFrame:
+        """(src_label, src, dst_label, dst, data): ``get_edge_data`` of every pair; of parallel edges the largest JSON stays."""
+        return self.edges(data=True).groupBy("src_label", "src", "dst_label", "dst").agg(F.max("data").alias("data"))
+
     def adjacency(self, direction: str = "out") -> DataFrame:
         """(label, oid, adj): neighbours (struct label, oid) to attributes (JSON); of parallel edges the largest JSON stays.
         A row is as large as its vertex's degree: for one hub's neighbours as rows, use edges()."""
-        e = self.edges(data=True)
         a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-        one = e.groupBy(f"{a}_label", a, f"{b}_label", b).agg(F.max("data").alias("data"))
+        one = self.edge_data()
         entry = F.struct(F.struct(F.col(f"{b}_label").alias("label"), F.col(b).alias("oid")).alias("key"), F.col("data").alias("value"))
         return one.groupBy(F.col(f"{a}_label").alias("label"), F.col(a).alias("oid")).agg(F.map_from_entries(F.collect_list(entry)).alias("adj")).withColumn("oid", F.col("oid").cast("long"))
 

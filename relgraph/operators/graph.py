@@ -171,12 +171,14 @@ class SimpleGraph:
         return e.unionByName(swapped(e)).distinct()
 
     def directed(self) -> DataFrame:
-        return self.edges.unionByName(swapped(self.edges)) if self.undirected else self.edges
+        """Each undirected edge as one either way; a loop stays one."""
+        return self.edges.unionByName(swapped(self.edges.filter("src != dst"))) if self.undirected else self.edges
 
     def to_undirected(self) -> DataFrame:
-        """(src, dst, n[, weight]) with src <= dst: one row a pair, edges counted, the largest weight kept."""
-        more = [F.max("weight").alias("weight")] if "weight" in self.edges.columns else []
-        ends = self.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), *(["weight"] if more else []))
+        """(src, dst, n, every other column) with src <= dst: one row a pair, edges counted, of each attribute the largest value kept."""
+        rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+        more = [F.max(c).alias(c) for c in rest]
+        ends = self.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), *rest)
         return ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *more).withColumnsRenamed({"a": "src", "b": "dst"})
 
 

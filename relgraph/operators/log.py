@@ -61,23 +61,53 @@ def with_known_endpoints(log: DataFrame, ends: dict[str, tuple[str, str]]) -> Da
 
 
 def versions(log: DataFrame, ts: str = "ts") -> DataFrame:
-    """(epoch, begin_ts, end_ts, n_vertices, n_edges) of every closed epoch: all but the last, which may still grow.
+    """(epoch, begin_ts, end_ts) of every closed epoch: all but the last, which may still grow.
 
-    begin is the end of the epoch before, null for the first. The counts are running sums of adds less deletes."""
-    sign = lambda add, gone: F.sum(F.when(F.col("op") == add, 1).when(F.col("op") == gone, -1).otherwise(0))
-    each = log.groupBy("epoch").agg(F.max(ts).alias("end_ts"), sign(ADD_VERTEX, DELETE_VERTEX).alias("v"), sign(ADD_EDGE, DELETE_EDGE).alias("e"))
+    begin is the end of the epoch before, null for the first."""
     order = Window.orderBy("epoch")  # a row for each epoch
-    out = each.select(
-        "epoch",
-        F.lag("end_ts").over(order).alias("begin_ts"),
-        "end_ts",
-        F.sum("v").over(order).cast("long").alias("n_vertices"),
-        F.sum("e").over(order).cast("long").alias("n_edges"),
-        F.lead("epoch").over(order).alias("__next"),
-    )
+    each = log.groupBy("epoch").agg(F.max(ts).alias("end_ts"))
+    out = each.select("epoch", F.lag("end_ts").over(order).alias("begin_ts"), "end_ts", F.lead("epoch").over(order).alias("__next"))
     return out.filter("__next is not null").drop("__next")
 
 
+def edge_lifetimes(log: DataFrame, ends: dict[str, tuple[str, str]]) -> DataFrame:
+    """(label, src, dst, from_epoch, until_epoch): the epochs [from, until) in which each added edge is read; until is null for what still stands.
+
+    An add dies by the delete that takes it, the first by which fewer are alive than it made, or by the first later delete of an end."""
+    ops = log.filter(F.col("op").isin(ADD_EDGE, DELETE_EDGE))
+    key = Window.partitionBy("label", "src", "dst").orderBy("seq")
+    upto = key.rowsBetween(Window.unboundedPreceding, 0)
+    ops = ops.withColumn("s", F.sum(F.when(F.col("op") == ADD_EDGE, 1).otherwise(-1)).over(upto))
+    ops = ops.withColumn("b", F.col("s") - F.least(F.lit(0), F.min("s").over(upto)))
+    # An add that makes the b-th and the next delete that leaves b - 1: brackets of one depth alternate.
+    level = F.when(F.col("op") == ADD_EDGE, F.col("b")).otherwise(F.col("b") + 1)
+    real = ops.withColumns({"level": level, "had": F.coalesce(F.lag("b").over(key), F.lit(0))}).filter((F.col("op") == ADD_EDGE) | (F.col("had") > 0))
+    bracket = Window.partitionBy("label", "src", "dst", "level").orderBy("seq")
+    adds = real.withColumns({"d": F.lead("epoch").over(bracket)}).filter(F.col("op") == ADD_EDGE).select("label", "src", "dst", "epoch", "seq", "d")
+    gone = log.filter(F.col("op") == DELETE_VERTEX).select(F.col("label").alias("__l"), F.col("oid").alias("__o"), F.col("seq").alias("__s"), F.col("epoch").alias("__e"))
+    out = adds
+    for i, c in enumerate(("src", "dst")):
+        own = F.create_map(*[F.lit(x) for k, v in ends.items() for x in (k, v[i])])
+        both = out.select(F.element_at(own, F.col("label")).alias("__l"), F.col(c).alias("__o"), F.col("seq").alias("__s"), F.struct(*out.columns).alias("x")).unionByName(gone, allowMissingColumns=True)
+        after = Window.partitionBy("__l", "__o").orderBy("__s").rowsBetween(0, Window.unboundedFollowing)
+        died = F.first("__e", ignorenulls=True).over(after)
+        out = both.withColumn("g", died).filter("x is not null").select("x.label", "x.src", "x.dst", "x.epoch", "x.seq", F.least("x.d", "g").alias("d"))
+    return out.select("label", "src", "dst", F.col("epoch").alias("from_epoch"), F.col("d").alias("until_epoch")).filter("until_epoch is null or until_epoch > from_epoch")
+
+
+def counted_versions(log: DataFrame, ends: dict[str, tuple[str, str]], ts: str = "ts") -> DataFrame:
+    """``versions`` with n_vertices and n_edges: how many a read as of the epoch gives. Cascaded edges, deletes that hit nothing and
+    repeated adds count as the read has them."""
+    order = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    out = versions(log, ts)
+    for name, lives in (("n_vertices", vertex_validity(log)), ("n_edges", edge_lifetimes(log, ends))):
+        change = lives.select(F.col("from_epoch").alias("epoch"), F.lit(1).alias("c")).unionByName(lives.filter("until_epoch is not null").select(F.col("until_epoch").alias("epoch"), F.lit(-1).alias("c")))
+        change = change.groupBy("epoch").agg(F.sum("c").alias("c"))
+        every = log.select("epoch").distinct().join(change, "epoch", "left").select("epoch", F.sum(F.coalesce("c", F.lit(0))).over(order).cast("long").alias(name))
+        out = out.join(every, "epoch")
+    return out
+
+
 def version_at(versions_: DataFrame, ts) -> DataFrame:
     """The newest version that ended by ts; no row if there is none."""
     return versions_.filter(F.col("end_ts") <= F.lit(ts)).orderBy(F.desc("epoch")).limit(1)

@@ -82,6 +82,10 @@ class Traversal:
     def as_(self, tag: str) -> Traversal:
         return replace(self, df=self.df.withColumn(f"t_{tag}", F.struct("label", "oid")), tags=(*self.tags, tag))
 
+    def tagged(self, name: str, value: Column) -> Traversal:
+        """Traversers with a value of their own, kept along the way."""
+        return self._with(self.df.withColumn(name, value))
+
     def at(self, tag: str) -> Traversal:
         """Move back to a tagged position."""
         return self._with(self.df.withColumns({"label": F.col(f"t_{tag}.label"), "oid": F.col(f"t_{tag}.oid")}))

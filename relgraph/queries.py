@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -161,9 +160,10 @@ def epoch_by_time(spark, sf_dir):
 
 
 @query(
-    """with t as (select event_id // 7 as tx, count(*) as n from events group by 1),
-    s as (select tx, (sum(n) over (order by tx) - n) // 500 as epoch from t)
-    select event_id, cast(epoch as bigint) as epoch from events join s on event_id // 7 = tx"""
+    """with recursive t as (select event_id // 7 as tx, count(*) as n, row_number() over (order by event_id // 7) as i from events group by 1),
+    fold(i, tx, epoch, done) as (select i, tx, 0::bigint, n from t where i = 1
+      union all select t.i, t.tx, case when done >= 500 then epoch + 1 else epoch end, case when done >= 500 then 0 else done end + n from fold join t on t.i = fold.i + 1)
+    select event_id, epoch from events join fold on event_id // 7 = tx"""
 )
 def epoch_by_tx(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("tx", F.floor(F.col("event_id") / 7))
@@ -246,16 +246,18 @@ def cascade_delete(spark, sf_dir):
     return alive.join(gone, (alive["src"] == gone["oid"]) & (alive["seq"] < gone["at"])).groupBy("oid").agg(F.count(F.lit(1)).alias("removed"))
 
 
+# The graph of each epoch, read anew: what is alive then, counted. No running sum of the operations.
 VERSIONS_SQL = """
-versions as (select epoch, lag(end_ts) over (order by epoch) as begin_ts, end_ts, cast(sum(v) over (order by epoch) as bigint) as n_vertices,
-  cast(sum(e) over (order by epoch) as bigint) as n_edges, lead(epoch) over (order by epoch) as next from (
-  select epoch, max(ts) as end_ts, sum(case op when 'add_vertex' then 1 when 'del_vertex' then -1 else 0 end) as v,
-         sum(case op when 'add_edge' then 1 when 'del_edge' then -1 else 0 end) as e from log group by epoch))"""
+ends as (select epoch, max(ts) as end_ts from log group by epoch),
+vstate as (select e.epoch, count(*) as n from ends e join (select distinct oid from log where op in ('add_vertex', 'update_vertex', 'del_vertex')) v on
+  (select arg_max(op, seq) from log l where l.oid = v.oid and l.op in ('add_vertex', 'update_vertex', 'del_vertex') and l.epoch <= e.epoch) <> 'del_vertex' group by e.epoch),
+versions as (select epoch, lag(end_ts) over (order by epoch) as begin_ts, end_ts, coalesce(n, 0) as n_vertices, lead(epoch) over (order by epoch) as next from ends left join vstate using (epoch))"""
+EDGE_COUNTS = " union all ".join(f"select {e} as epoch, count(*) as n_edges from ({EDGE_SQL.format(e=e)})" for e in range(EPOCHS))
 
 
-@query(f"with {LOG_SQL}, {VERSIONS_SQL} select epoch, begin_ts, end_ts, n_vertices, n_edges from versions where next is not null")
+@query(f"with {LOG_SQL}, {VERSIONS_SQL} select epoch, begin_ts, end_ts, n_vertices, n_edges from versions join ({EDGE_COUNTS}) using (epoch) where next is not null")
 def version_list(spark, sf_dir):
-    return L.versions(event_log(spark, sf_dir))
+    return L.counted_versions(event_log(spark, sf_dir), TOUCH)
 
 
 @query(f"with {LOG_SQL}, {VERSIONS_SQL} select epoch, end_ts from versions where next is not null and end_ts <= (select ts from events where event_id = (select count(*) from events) // 2) order by epoch desc limit 1")
@@ -265,9 +267,9 @@ def version_by_timestamp(spark, sf_dir):
     return L.version_at(L.versions(event_log(spark, sf_dir)), F.lit(ts).cast("timestamp_ntz")).select("epoch", "end_ts")
 
 
-@query(f"with {LOG_SQL}, {VERSIONS_SQL} select o.ts, (select max(epoch) from versions v where v.next is not null and v.end_ts <= o.ts) as epoch from events o where event_id % 97 = 0")
-def version_asof_join(spark, sf_dir, ids="event_id % 97 = 0"):
-    times = table(spark, sf_dir, "events").filter(ids).select("ts")
+@query(f"with {LOG_SQL}, {VERSIONS_SQL} select o.ts, (select max(epoch) from versions v where v.next is not null and v.end_ts <= o.ts) as epoch from events o")
+def version_asof_join(spark, sf_dir):
+    times = table(spark, sf_dir, "events").select("ts")
     return L.versions_at(L.versions(event_log(spark, sf_dir)), times)
 
 
@@ -290,14 +292,14 @@ def compacted_read(spark, sf_dir):
 # Access.
 
 
-@query("select 'customer' as label, o_custkey as oid, 'placed' as elabel, 'orders' as nbr_label, o_orderkey as nbr from orders where o_custkey % 10 = 0")
-def out_adjacency(spark, sf_dir, ids="oid % 10 = 0"):
-    return tpch_graph(spark, sf_dir).adjacency("out", ["placed"]).filter(ids)
+@query("select 'customer' as label, o_custkey as oid, 'placed' as elabel, 'orders' as nbr_label, o_orderkey as nbr from orders")
+def out_adjacency(spark, sf_dir):
+    return tpch_graph(spark, sf_dir).adjacency("out", ["placed"])
 
 
-@query("select 'part' as label, l_partkey as oid, 'contains' as elabel, 'orders' as nbr_label, l_orderkey as nbr from lineitem where l_partkey % 10 = 0")
-def in_adjacency(spark, sf_dir, ids="oid % 10 = 0"):
-    return tpch_graph(spark, sf_dir).adjacency("in", ["contains"]).filter(ids)
+@query("select 'part' as label, l_partkey as oid, 'contains' as elabel, 'orders' as nbr_label, l_orderkey as nbr from lineitem")
+def in_adjacency(spark, sf_dir):
+    return tpch_graph(spark, sf_dir).adjacency("in", ["contains"])
 
 
 @query("select label, oid, count(*) as n from (select 'customer' as label, o_custkey as oid from orders union all select 'orders', o_orderkey from orders union all select 'orders', l_orderkey from lineitem union all select 'part', l_partkey from lineitem) group by all")
@@ -323,40 +325,63 @@ def weighted_degree(spark, sf_dir):
     return tpch_graph(spark, sf_dir).edges["contains"].groupBy(F.col("src").alias("oid")).agg(F.round(F.sum("quantity"), 4).alias("weight"))
 
 
-@query("select o_custkey as src, p.o_orderkey as dst, p.o_orderkey % 3 = 0 as present from orders p")
+@query("""with asked as (select c_custkey as u, o_orderkey as v, 'customer' as ul, 'orders' as vl from customer join orders on c_nationkey = o_orderkey % 25 and c_custkey = o_custkey
+    union all select o_custkey, o_orderkey, 'customer', 'orders' from orders union all select o_custkey + 1, o_orderkey, 'customer', 'orders' from orders)
+    select ul as src_label, u::varchar as src, vl as dst_label, v::varchar as dst, (u, v) in (select (o_custkey, o_orderkey) from orders) as present from (select distinct * from asked)""")
 def has_edge_batch(spark, sf_dir):
-    e = tpch_graph(spark, sf_dir).edges["placed"]
-    asked = e.select("src", "dst")
-    have = e.filter("dst % 3 = 0").select("src", "dst", F.lit(True).alias("present")).distinct()
-    return asked.join(have, ["src", "dst"], "left").select("src", "dst", F.coalesce("present", F.lit(False)).alias("present"))
+    """Whether each customer, and the one numbered after, placed each order."""
+    from relgraph.nxview import DiGraphView
+
+    o = table(spark, sf_dir, "orders")
+    asked = union([o.select(F.lit("customer").alias("src_label"), (F.col("o_custkey") + k).cast("string").alias("src"), F.lit("orders").alias("dst_label"), F.col("o_orderkey").cast("string").alias("dst")) for k in (0, 1)])
+    return DiGraphView(tpch_graph(spark, sf_dir)).have_edges(asked)
 
 
-NODES = 1009
+# Orders contain parts, parts come from suppliers, suppliers ship orders: every row of lineitem, with cycles and triangles. Ids are real:
+# a key times four, plus which table it is of.
+ORDER, PART, SUPPLIER = 0, 1, 2
+LINK_ENDS = (("l_orderkey", ORDER, "l_partkey", PART), ("l_partkey", PART, "l_suppkey", SUPPLIER), ("l_suppkey", SUPPLIER, "l_orderkey", ORDER))
 LINKS_SQL = f"""
-nodes as (select cast(range as bigint) as id from range({NODES})),
-edges as (select l_partkey % {NODES} as src, (l_orderkey * 7 + l_suppkey) % {NODES} as dst, min(l_linenumber) as weight from lineitem where l_quantity >= 49 group by 1, 2),
-both_ways as (select src, dst from edges where src <> dst union select dst, src from edges where src <> dst)"""
+nodes as materialized (select o_orderkey::bigint * 4 + {ORDER} as id from orders union all select p_partkey::bigint * 4 + {PART} from part union all select s_suppkey::bigint * 4 + {SUPPLIER} from supplier),
+edges as materialized ({" union all ".join(f"select {a}::bigint * 4 + {x} as src, {b}::bigint * 4 + {y} as dst, min(l_linenumber) as weight from lineitem group by 1, 2" for a, x, b, y in LINK_ENDS)}),
+both_ways as materialized (select src, dst from edges where src <> dst union select dst, src from edges where src <> dst),
+origin as (select min(id) as id from nodes where id % 4 = {ORDER})"""
 
 
 def links(spark: SparkSession, sf_dir: str) -> SimpleGraph:
-    """A sparse directed graph on 1009 vertices, some of them alone, with whole-number weights."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
-    e = li.groupBy((F.col("l_partkey") % NODES).alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % NODES).alias("dst")).agg(F.min("l_linenumber").alias("weight"))
-    return SimpleGraph(spark.range(NODES), e, extra={"source": 0})
+    """Orders, parts and suppliers by every row of lineitem, with whole-number weights; paths start at the smallest order."""
+    keys = (("orders", "o_orderkey", ORDER), ("part", "p_partkey", PART), ("supplier", "s_suppkey", SUPPLIER))
+    v = union([table(spark, sf_dir, t).select((F.col(k).cast("long") * 4 + n).alias("id")) for t, k, n in keys])
+    li = table(spark, sf_dir, "lineitem")
+    e = union([li.groupBy((F.col(a).cast("long") * 4 + x).alias("src"), (F.col(b).cast("long") * 4 + y).alias("dst")).agg(F.min("l_linenumber").alias("weight")) for a, x, b, y in LINK_ENDS])
+    return SimpleGraph(v, e, extra={"source": table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0] * 4 + ORDER})
 
 
-def whole_graph(spark: SparkSession, sf_dir: str) -> SimpleGraph:
-    """Every row of the tables as a vertex or an edge, by ids over all labels; quantities are the weights of what orders contain.
+# The mapped tables as one graph without cycles, by ids over all labels.
+LABELS = ("region", "nation", "customer", "supplier", "part", "orders")
+WHOLE_ENDS = {"in_region": ("nation", "region"), "cust_nation": ("customer", "nation"), "supp_nation": ("supplier", "nation"), "placed": ("customer", "orders"), "contains": ("orders", "part"), "supplied_by": ("orders", "supplier")}
+WHOLE_SQL = f"""
+nodes as materialized (select oid + (case label {" ".join(f"when '{x}' then {i}" for i, x in enumerate(LABELS))} end::bigint << 56) as id, label, oid from ({ORACLE_SQL['vertices_by_label']})),
+edges as materialized (select src + (case elabel {" ".join(f"when '{k}' then {LABELS.index(s)}" for k, (s, _) in WHOLE_ENDS.items())} end::bigint << 56) as src,
+  dst + (case elabel {" ".join(f"when '{k}' then {LABELS.index(d)}" for k, (_, d) in WHOLE_ENDS.items())} end::bigint << 56) as dst from ({EDGES_SQL})),
+origin as (select min(id) as id from nodes where label = 'customer')"""
+
 
-    Paths start at the smallest customer."""
-    g = tpch_graph(spark, sf_dir).flatten(weight="quantity")
+def whole_graph(spark: SparkSession, sf_dir: str) -> SimpleGraph:
+    """Every row of the mapped tables as a vertex or an edge, by ids over all labels. Paths start at the smallest customer."""
+    g = tpch_graph(spark, sf_dir).flatten()
     return SimpleGraph(g.vertices, g.edges, extra={"source": g.vertices.filter("label = 'customer'").agg(F.min("id")).first()[0]})
 
 
-@query(f"with {LINKS_SQL} select 'link' as elabel, count(*) as n from edges where src = dst")
-def self_loops(spark, sf_dir, graph=links):
-    g = graph(spark, sf_dir)
-    return link_property_graph(g).self_loops()
+@query("select 'sold_to' as elabel, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey = c_nationkey")
+def self_loops(spark, sf_dir):
+    """Sales within one nation, in the graph of nations that sell to nations."""
+    from relgraph.operators.graph import EdgeType
+
+    t = {x: table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "supplier", "nation")}
+    sold = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
+    e = sold.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"))
+    return PropertyGraph({"nation": t["nation"].select(F.col("n_nationkey").alias("oid"))}, {"sold_to": e}, {"sold_to": EdgeType("sold_to", "nation", "nation")}).self_loops()
 
 
 @query(f"with {LINKS_SQL} select src, array_to_string(list(dst || ':' || weight order by dst), ',') as nbrs from edges group by src")
@@ -369,10 +394,17 @@ def adj_map(spark, sf_dir, graph=links):
     return adj.select(F.col("oid").alias("src"), F.array_join(F.transform(entries, lambda x: F.concat_ws(":", x["key"]["oid"], F.get_json_object(x["value"], "$.weight"))), ",").alias("nbrs"))
 
 
-@query("select l_orderkey as src, l_partkey as dst, min(l_extendedprice) as price from lineitem where l_orderkey % 5 = 0 group by all")
-def edge_data_first(spark, sf_dir, ids="src % 5 = 0"):
-    e = tpch_graph(spark, sf_dir).edges["contains"].filter(ids)
-    return e.groupBy("src", "dst").agg(F.min("price").alias("price"))
+@query("select 'orders' as src_label, l_orderkey::varchar as src, 'part' as dst_label, l_partkey::varchar as dst, max(cast(l_quantity as bigint)) as quantity from lineitem group by all")
+def edge_data(spark, sf_dir):
+    """The attributes that a mapping of edges keeps: of parallel edges those with the largest JSON."""
+    from relgraph.nxview import DiGraphView
+
+    g = tpch_graph(spark, sf_dir)
+    e = g.edges["contains"].select("src", "dst", F.col("quantity").cast("long").alias("quantity"))
+    # Zero-padded, so that the largest text is the largest number.
+    e = e.withColumn("quantity", F.format_string("%012d", "quantity"))
+    data = DiGraphView(PropertyGraph(g.vertices, {"contains": e}, {"contains": g.types["contains"]})).edge_data()
+    return data.select("src_label", "src", "dst_label", "dst", F.get_json_object("data", "$.quantity").cast("long").alias("quantity"))
 
 
 # Transformations.
@@ -466,7 +498,7 @@ def pagerank5(spark, sf_dir):
     return A.pagerank(g).join(g.vertices, "id").select("label", "oid", rounded("rank", 12))
 
 
-BFS_SQL = f"with recursive {LINKS_SQL}, r(id, depth) as (select 0::bigint, 0 union select e.dst, r.depth + 1 from r join edges e on e.src = r.id where r.depth < 40)"
+BFS_SQL = f"with recursive {LINKS_SQL}, r(id, depth) as (select id, 0 from origin union select e.dst, r.depth + 1 from r join edges e on e.src = r.id where r.depth < 12)"
 
 
 @query(f"{BFS_SQL} select id, min(depth)::double as distance from r group by id")
@@ -475,18 +507,26 @@ def sssp_unweighted(spark, sf_dir, graph=links):
 
 
 @query(
-    f"""with recursive {LINKS_SQL}, r(id, d) as (select 0::bigint, 0::bigint union select e.dst, r.d + e.weight from r join edges e on e.src = r.id where r.d < 80)
+    f"""with recursive {LINKS_SQL}, r(id, d) as (select id, 0::bigint from origin union select e.dst, r.d + e.weight from r join edges e on e.src = r.id where r.d < 25)
     select id, min(d)::double as distance from r group by id"""
 )
 def sssp_weighted(spark, sf_dir, graph=links):
     return A.sssp(g := graph(spark, sf_dir), g.extra["source"], "weight").select("id", "distance")
 
 
-@query(f"{BFS_SQL} select id as target, id in (select id from r) as reached from nodes where id % 100 = 7")
-def sssp_has_path(spark, sf_dir, graph=links, ids="id % 100 = 7"):
-    g = graph(spark, sf_dir)
-    near = A.sssp(g, g.extra["source"]).select("id", F.lit(True).alias("reached"))
-    return g.vertices.filter(ids).join(near, "id", "left").select(F.col("id").alias("target"), F.coalesce("reached", F.lit(False)).alias("reached"))
+@query(f"with recursive {WHOLE_SQL}, r(id) as (select id from origin union select e.dst from r join edges e on e.src = r.id) select id as target, id in (select id from r) as reached from nodes")
+def sssp_has_path(spark, sf_dir):
+    """Whether each vertex is reached from the smallest customer."""
+    g = whole_graph(spark, sf_dir)
+    return A.reached(g, g.extra["source"], g.vertices)
+
+
+@query(f"with recursive {WHOLE_SQL}, r(id) as (select id from origin union select e.dst from r join edges e on e.src = r.id), asked as (select min(id) as target from nodes group by label) select target, target in (select id from r) as reached from asked")
+def has_path(spark, sf_dir):
+    """The same of the smallest vertex of each label, each by a search that ends where it is found."""
+    g = whole_graph(spark, sf_dir)
+    asked = [r[0] for r in g.vertices.groupBy("label").agg(F.min("id")).select("min(id)").collect()]
+    return spark.createDataFrame([(t, A.has_path(g, g.extra["source"], t)) for t in asked], "target long, reached boolean")
 
 
 @query(
@@ -497,7 +537,10 @@ def bfs_levels(spark, sf_dir, graph=links):
     return A.bfs(g := graph(spark, sf_dir), g.extra["source"])
 
 
-@query(f"with recursive {LINKS_SQL}, r(id, root) as (select id, id from nodes union select b.dst, r.root from r join both_ways b on b.src = r.id) select id, min(root) as component from r group by id")
+LEAST_STEP = "select p.id, least(any_value(p.label), coalesce(min(q.label), any_value(p.label))) as label from {p} p left join both_ways b on b.dst = p.id left join {p} q on q.id = b.src group by p.id"
+
+
+@query(f"with {LINKS_SQL}, {steps('select id, id as label from nodes', LEAST_STEP, 10).replace(' as (', ' as materialized (')} select id, label as component from s10")
 def wcc(spark, sf_dir, graph=links):
     return A.wcc(graph(spark, sf_dir))
 
@@ -564,12 +607,12 @@ HITS_STEP = """select n.id, coalesce(h.h, 0) / mh as hub, coalesce(x.a, 0) / ma
   cross join (select max(h) as mh from (select sum(a) as h from edges e join (select dst as id, sum(hub) as a from edges e join {p} on id = src group by 1) y on y.id = e.dst group by e.src))"""
 
 
-@query(f"with {LINKS_SQL}, {steps(f'select id, 1.0::double / {NODES} as hub, 0.0::double as authority from nodes', HITS_STEP, 4).replace(' as (', ' as materialized (')} select id, round(hub / (select sum(hub) from s4), 9) as hub, round(authority / (select sum(authority) from s4), 9) as authority from s4")
+@query(f"with {LINKS_SQL}, {steps(f'select id, 1.0::double / (select count(*) from nodes) as hub, 0.0::double as authority from nodes', HITS_STEP, 4).replace(' as (', ' as materialized (')} select id, round(hub / (select sum(hub) from s4), 9) as hub, round(authority / (select sum(authority) from s4), 9) as authority from s4")
 def hits(spark, sf_dir, graph=links):
     return A.hits(graph(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("hub"), rounded("authority"))
 
 
-@query(f"with {LINKS_SQL}, d as (select id, count(*) as d from (select src as id from edges union all select dst from edges) group by 1) select n.id, round(coalesce(d, 0) / {NODES - 1}.0::double, 12) as centrality from nodes n left join d using (id)")
+@query(f"with {LINKS_SQL}, d as (select id, count(*) as d from (select src as id from edges union all select dst from edges) group by 1) select n.id, round(coalesce(d, 0) / ((select count(*) from nodes) - 1)::double, 12) as centrality from nodes n left join d using (id)")
 def degree_centrality(spark, sf_dir, graph=links):
     return A.degree_centrality(graph(spark, sf_dir)).select("id", rounded("centrality", 12))
 
@@ -579,22 +622,22 @@ def power_sql(alpha: str, beta: str, keep: str, start: str, norm: bool) -> str:
       left join (select dst as id, sum(x) as f from edges e join {{p}} on id = src group by 1) f using (id)"""
     if norm:
         step = f"select id, x / (select sqrt(sum(x * x)) from ({step})) as x from ({step})"
-    return f"with {LINKS_SQL}, {steps(f'select id, {start}::double as x from nodes', step, 4).replace(' as (', ' as materialized (')}"
+    return f"with {LINKS_SQL}, {steps(f'select id, {start} as x from nodes', step, 4).replace(' as (', ' as materialized (')}"
 
 
-@query(f"{power_sql('0.1', '1.0', '0', '0', False)} select id, round(x / (select sqrt(sum(x * x)) from s4), 9) as centrality from s4")
+@query(f"{power_sql('0.1', '1.0', '0', '0.0::double', False)} select id, round(x / (select sqrt(sum(x * x)) from s4), 9) as centrality from s4")
 def katz(spark, sf_dir, graph=links):
     return A.katz(graph(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("centrality"))
 
 
-@query(f"{power_sql('1.0', '0.0', 'p.x', f'1.0 / {NODES}', True)} select id, round(x, 9) as centrality from s4")
+@query(f"{power_sql('1.0', '0.0', 'p.x', '1.0::double / (select count(*) from nodes)', True)} select id, round(x, 9) as centrality from s4")
 def eigenvector(spark, sf_dir, graph=links):
     return A.eigenvector(graph(spark, sf_dir), tolerance=0.0, max_rounds=4).select("id", rounded("centrality"))
 
 
 @query()
 def voterank(spark, sf_dir):
-    return A.voterank(whole_graph(spark, sf_dir), 5)
+    return A.voterank(links(spark, sf_dir), 5)
 
 
 @query()
@@ -603,9 +646,10 @@ def sampling_path(spark, sf_dir):
     return A.sampled_paths([g.edges["placed"], g.edges["contains"]], g.vertices["customer"].select(F.col("oid").alias("id")), 1).select(F.to_json("path").alias("path"))
 
 
-@query(
-    f"""with recursive {LINKS_SQL}, r(id, top) as (select id, id from nodes union select e.dst, r.top from r join edges e on e.src = r.id) select id, max(top) as value from r group by id"""
-)
+MOST_STEP = "select p.id, greatest(any_value(p.value), coalesce(max(q.value), any_value(p.value))) as value from {p} p left join edges e on e.dst = p.id left join {p} q on q.id = e.src group by p.id"
+
+
+@query(f"with {LINKS_SQL}, {steps('select id, id as value from nodes', MOST_STEP, 10).replace(' as (', ' as materialized (')} select id, value from s10")
 def pregel_max_value(spark, sf_dir, graph=links):
     """The largest id from which a vertex can be reached, itself included."""
     program = Pregel(
@@ -619,12 +663,12 @@ def pregel_max_value(spark, sf_dir, graph=links):
     return program.run()
 
 
-@query(f"with {LINKS_SQL}, i as (select dst as id, sum(src) as s from edges group by 1) select n.id, coalesce(s, 0)::bigint as value, ({NODES} * ({NODES} - 1) // 2)::bigint as total from nodes n left join i using (id)")
-def pregel_aggregator_sum(spark, sf_dir, graph=links, value="id"):
+@query(f"with {LINKS_SQL}, i as (select dst as id, sum(src) as s from edges group by 1) select n.id, coalesce(s, 0)::bigint as value, (select sum(id) from nodes)::bigint as total from nodes n left join i using (id)")
+def pregel_aggregator_sum(spark, sf_dir, graph=links):
     """Each vertex's sum of in-neighbour ids, and the global sum of all ids from the superstep before."""
     program = Pregel(
         graph(spark, sf_dir),
-        init={"value": F.col(value), "total": F.lit(0).cast("long")},
+        init={"value": F.col("id"), "total": F.lit(0).cast("long")},
         send=lambda p: F.col("value"),
         combine=F.sum,
         compute=lambda p: {"value": F.coalesce("msg", F.lit(0)), "total": p.agg("all").cast("long")},
@@ -636,15 +680,15 @@ def pregel_aggregator_sum(spark, sf_dir, graph=links, value="id"):
 # Traversals.
 
 
-@query("select o_custkey as customer, l_partkey as oid, count(*) as n from orders join lineitem on o_orderkey = l_orderkey where o_custkey % 50 = 0 group by all")
-def two_hop(spark, sf_dir, ids="oid % 50 = 0"):
-    t = Traversal.of(tpch_graph(spark, sf_dir), "customer").where(F.expr(ids)).as_("c").out("placed").out("contains")
+@query("select o_custkey as customer, l_partkey as oid, count(*) as n from orders join lineitem on o_orderkey = l_orderkey group by all")
+def two_hop(spark, sf_dir):
+    t = Traversal.of(tpch_graph(spark, sf_dir), "customer").as_("c").out("placed").out("contains")
     return t.df.groupBy(F.col("t_c.oid").cast("long").alias("customer"), F.col("oid").cast("long").alias("oid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {LINKS_SQL}, h1 as (select src, dst from edges), h2 as (select a.src, b.dst from h1 a join edges b on b.src = a.dst), h3 as (select a.src, b.dst from h2 a join edges b on b.src = a.dst) select dst as oid, count(*) as n from (select * from h2 union all select * from h3) where src % 20 = 0 group by 1")
-def khop_range(spark, sf_dir, graph=links, ids="oid % 20 = 0"):
-    t = Traversal.of(link_property_graph(graph(spark, sf_dir))).where(F.expr(ids)).out("link", times=(2, 4))
+@query(f"with {WHOLE_SQL}, h2 as (select a.src, b.dst from edges a join edges b on b.src = a.dst), h3 as (select a.src, b.dst from h2 a join edges b on b.src = a.dst) select dst as oid, count(*) as n from (select * from h2 union all select * from h3) group by 1")
+def khop_range(spark, sf_dir):
+    t = Traversal.of(link_property_graph(whole_graph(spark, sf_dir))).out("link", times=(2, 4))
     return t.group_count().select(F.col("oid").cast("long").alias("oid"), "n")
 
 
@@ -655,27 +699,26 @@ def link_property_graph(g: SimpleGraph) -> PropertyGraph:
 
 
 @query(
-    f"""with {LINKS_SQL}, p as (select a.src as v0, a.dst as v1, b.dst as v2, c.dst as v3 from edges a join edges b on b.src = a.dst join edges c on c.src = b.dst where a.src % 20 = 0)
+    f"""with {WHOLE_SQL}, p as (select a.src as v0, a.dst as v1, b.dst as v2, c.dst as v3 from edges a join edges b on b.src = a.dst join edges c on c.src = b.dst)
     select v0, v3, count(*) as n from p where v0 <> v1 and v0 <> v2 and v0 <> v3 and v1 <> v2 and v1 <> v3 and v2 <> v3 group by all"""
 )
-def simple_path(spark, sf_dir, graph=links, ids="oid % 20 = 0"):
-    t = Traversal.of(link_property_graph(graph(spark, sf_dir))).where(F.expr(ids)).as_("a").simple_paths().out("link", times=(3, 4))
+def simple_path(spark, sf_dir):
+    t = Traversal.of(link_property_graph(whole_graph(spark, sf_dir))).as_("a").simple_paths().out("link", times=(3, 4))
     return t.df.groupBy(F.col("t_a.oid").cast("long").alias("v0"), F.col("oid").cast("long").alias("v3")).agg(F.count(F.lit(1)).alias("n"))
 
 
-RECURSIVE_SQL = """{r} walk(id, path, depth) as (select cast(0 as bigint), {start}, 0 union all
+RECURSIVE_SQL = """{r} walk(id, path, depth) as (select cast({first} as bigint), {start}, 0 union all
   select e.dst, {append}, depth + 1 from walk join edges e on e.src = walk.id where depth < 4 and not {has})
 select id, min(depth) as depth, count(*) as n from walk group by id"""
 
 
-@query("with recursive " + LINKS_SQL + ", " + RECURSIVE_SQL.format(r="", start="[0::bigint]", append="list_append(path, e.dst)", has="list_contains(path, e.dst)"))
-def recursive_path(spark, sf_dir, graph=links):
-    """Paths without a repeated vertex, up to four hops, by a recursive query of this engine."""
-    g = graph(spark, sf_dir)
-    g.edges.createOrReplaceTempView("relgraph_links")
+@query("with recursive " + WHOLE_SQL + ", " + RECURSIVE_SQL.format(r="", first="(select id from origin)", start="[(select id from origin)]", append="list_append(path, e.dst)", has="list_contains(path, e.dst)"))
+def recursive_path(spark, sf_dir):
+    """Paths without a repeated vertex, up to four hops from one customer, by a recursive query of this engine."""
+    g = whole_graph(spark, sf_dir)
     source = g.extra["source"]
-    sql = RECURSIVE_SQL.format(r="with recursive edges as (select * from relgraph_links),", start=f"array(cast({source} as bigint))", append="array_append(path, e.dst)", has="array_contains(path, e.dst)")
-    return spark.sql(sql.replace("walk(id, path, depth) as (select cast(0 as bigint)", f"walk(id, path, depth) as (select cast({source} as bigint)"))
+    sql = RECURSIVE_SQL.format(r="with recursive edges as (select * from {links}),", first=source, start=f"array(cast({source} as bigint))", append="array_append(path, e.dst)", has="array_contains(path, e.dst)")
+    return spark.sql(sql, links=g.edges)
 
 
 @query("select o_custkey as oid, count(distinct l_partkey) as n from orders join lineitem on o_orderkey = l_orderkey group by 1")
@@ -692,13 +735,13 @@ def order_topk(spark, sf_dir):
 
 @query(
     """select oid, sum(s)::bigint as score from (select s_suppkey as oid, 1 as s from supplier where s_nationkey = 3
-    union all select l_suppkey, 2 from lineitem where l_orderkey % 10 = 0) group by oid"""
+    union all select l_suppkey, 2 from lineitem) group by oid"""
 )
-def union_score(spark, sf_dir, ids="oid % 10 = 0"):
-    g = tpch_graph(spark, sf_dir)
-    near = Traversal.of(g, "nation").where(F.col("oid") == "3").in_("supp_nation").df.select("oid", F.lit(1).alias("s"))
-    sold = Traversal.of(g, "orders").where(F.expr(ids)).out("supplied_by").df.select("oid", F.lit(2).alias("s"))
-    return near.unionByName(sold).groupBy(F.col("oid").cast("long").alias("oid")).agg(F.sum("s").alias("score"))
+def union_score(spark, sf_dir):
+    """Suppliers of one nation score 1, and 2 for each line that they supply: the bag of two continuations."""
+    start = Traversal.of(tpch_graph(spark, sf_dir), "nation", "orders").tagged("s", F.when(F.col("label") == "nation", 1).otherwise(2))
+    both = start.union(lambda t: t.where((F.col("label") == "nation") & (F.col("oid") == 3)).in_("supp_nation"), lambda t: t.where(F.col("label") == "orders").out("supplied_by"))
+    return both.df.groupBy(F.col("oid").cast("long").alias("oid")).agg(F.sum("s").cast("long").alias("score"))
 
 
 @query(
@@ -808,15 +851,27 @@ def shortest_path_tree(spark, sf_dir, graph=links):
     return A.path_edges(g := graph(spark, sf_dir), g.extra["source"])
 
 
-@query(f"with recursive {LINKS_SQL}, r(s, id, depth) as (select id, id, 0 from nodes union select r.s, e.dst, r.depth + 1 from r join edges e on e.src = r.id where r.depth < 3) select s as source, id, min(depth)::bigint as distance from r group by all")
-def distances_within_three(spark, sf_dir, graph=links):
-    return A.all_distances(graph(spark, sf_dir), 4)
+@query(f"with recursive {WHOLE_SQL}, r(s, id, depth) as (select id, id, 0 from nodes union select r.s, e.dst, r.depth + 1 from r join edges e on e.src = r.id where r.depth < 3) select s as source, id, min(depth)::bigint as distance from r group by all")
+def distances_within_three(spark, sf_dir):
+    return A.all_distances(whole_graph(spark, sf_dir), 3)
+
 
+@query(f"with recursive {WHOLE_SQL}, r(s, id, depth) as (select id, id, 0 from nodes union select r.s, e.dst, r.depth + 1 from r join edges e on e.src = r.id), d as (select s, id, min(depth) as d from r group by all) select round(sum(d) / ((select count(*) from nodes) * ((select count(*) from nodes) - 1)::double), 12) as value from d")
+def average_length(spark, sf_dir):
+    return spark.createDataFrame([(round(A.average_length(whole_graph(spark, sf_dir)), 12),)], "value double")
 
-@query(f"with {LINKS_SQL}, i as (select dst as id, count(*) as n from edges group by 1), f as (select dst as id, src % 3 as l, count(*) as n from edges where src < 300 group by all) select f.id, f.l as label, round(f.n / i.n, 9) as share from f join i using (id) where f.id >= 300")
+
+@query()
+def kshell(spark, sf_dir):
+    return A.kshell(links(spark, sf_dir), 4)
+
+
+@query(f"with {LINKS_SQL}, n as (select dst as id, count(*) as n from edges where dst % 4 = {PART} group by 1), f as (select e.dst as id, o_orderstatus as label, count(*) as k from edges e join orders on e.src = o_orderkey * 4 group by all) select f.id, f.label, round(k / n.n, 9) as share from f join n using (id)")
 def label_propagation(spark, sf_dir):
+    """What orders of each status share of the parts in them."""
     g = links(spark, sf_dir)
-    out = A.propagate_labels(g, g.vertices.filter("id < 300").select("id", (F.col("id") % 3).alias("label")), 1).filter("id >= 300")
+    seeds = table(spark, sf_dir, "orders").select((F.col("o_orderkey").cast("long") * 4 + ORDER).alias("id"), F.col("o_orderstatus").alias("label"))
+    out = A.propagate_labels(g, seeds, 1).join(seeds, "id", "left_anti")
     return out.select("id", F.explode("labels").alias("label", "share")).select("id", "label", rounded("share"))
 
 
@@ -845,15 +900,15 @@ def nx_weighted_degree(spark, sf_dir, graph=links):
     return DiGraphView(link_property_graph(graph(spark, sf_dir))).degree("both", "weight")
 
 
-UNDIRECTED_SQL = f"""with recursive {LINKS_SQL}, u as (select src, dst from edges union all select dst, src from edges),
-walk(id, path, depth) as (select 4::bigint, [4::bigint], 0 union all select u.dst, list_append(path, u.dst), depth + 1 from walk join u on u.src = walk.id where depth < 4 and not list_contains(path, u.dst))"""
+UNDIRECTED_SQL = f"""with recursive {WHOLE_SQL}, u as (select src, dst from edges union all select dst, src from edges),
+walk(id, path, depth) as (select id, [id], 0 from origin union all select u.dst, list_append(path, u.dst), depth + 1 from walk join u on u.src = walk.id where depth < 4 and not list_contains(path, u.dst))"""
 
 
 @query(f"{UNDIRECTED_SQL} select id as oid, depth as hops, count(*) as n from walk where depth >= 1 group by all")
-def undirected_paths(spark, sf_dir, graph=links):
-    """Simple paths of one to four undirected hops from one vertex, by end and length."""
-    g = graph(spark, sf_dir)
-    t = Traversal.of(link_property_graph(g)).where(F.col("oid") == (4 if graph is links else g.extra["source"])).simple_paths().both("link", times=(1, 5))
+def undirected_paths(spark, sf_dir):
+    """Simple paths of one to four undirected hops from one customer, by end and length."""
+    g = whole_graph(spark, sf_dir)
+    t = Traversal.of(link_property_graph(g)).where(F.col("oid") == g.extra["source"]).simple_paths().both("link", times=(1, 5))
     return t.df.groupBy(F.col("oid").cast("long").alias("oid"), (F.size("path") - 1).alias("hops")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -862,7 +917,7 @@ def global_ids(spark, sf_dir):
     return tpch_graph(spark, sf_dir).flatten(["region", "nation", "supplier"], ["in_region"]).vertices.select("label", "oid", "id")
 
 
-@query(f"with recursive {LINKS_SQL}, r(id, d) as (select 0::bigint, 0 union select e.dst, r.d + 1 from r join edges e on e.src = r.id where r.d < 40) select id, min(d)::bigint as d from r group by id")
+@query(f"with recursive {LINKS_SQL}, r(id, d) as (select id, 0 from origin union select e.dst, r.d + 1 from r join edges e on e.src = r.id where r.d < 12) select id, min(d)::bigint as d from r group by id")
 def pie_distances(spark, sf_dir, graph=links):
     from relgraph.functions.pie import messages, run_pie
 
@@ -878,29 +933,3 @@ def pie_distances(spark, sf_dir, graph=links):
         return state.drop("changed").join(inbox, "id", "left").select("id", F.least("d", "msg").alias("d"), F.coalesce(F.col("msg") < F.col("d"), F.lit(False)).alias("changed"))
 
     return run_pie(g0, first, next_).filter(F.col("d") < far)
-
-
-# The queries over links() on whole tables. No SQL: theirs is of the sample graph, and unrolled or recursive SQL is too slow here.
-
-
-@query()
-def label_propagation_whole(spark, sf_dir):
-    """What customers of each segment share of the nations and orders they lead to."""
-    g = whole_graph(spark, sf_dir)
-    segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("oid"), F.col("c_mktsegment").alias("segment"))
-    seeds = g.vertices.filter("label = 'customer'").join(segment, "oid").select("id", F.col("segment").alias("label"))
-    out = A.propagate_labels(g, seeds, 1).join(seeds, "id", "left_anti")
-    return out.select("id", F.explode("labels").alias("label", "share")).select("id", "label", rounded("share"))
-
-
-WHOLE = [
-    self_loops, adj_map, to_undirected, to_directed, sssp_unweighted, sssp_weighted, bfs_levels, wcc, cdlp, triangles, clustering, lcc, avg_clustering, transitivity,
-    kcore, degree_centrality, pregel_max_value, recursive_path, cycle_detect, json_output, core_two, shortest_path_tree, distances_within_three, nx_weighted_degree,
-    undirected_paths, pie_distances,
-]
-QUERIES |= {f"{f.__name__}_whole": partial(f, graph=whole_graph) for f in WHOLE}
-# Sums of ids over all labels would leave the range of a long.
-QUERIES["pregel_aggregator_sum_whole"] = partial(pregel_aggregator_sum, graph=whole_graph, value="oid")
-# Those that ask for some ids, on all of them.
-QUERIES |= {f"{f.__name__}_whole": partial(f, ids="true") for f in (out_adjacency, in_adjacency, edge_data_first, version_asof_join, two_hop, union_score)}
-QUERIES |= {f"{f.__name__}_whole": partial(f, graph=whole_graph, ids="true") for f in (sssp_has_path, khop_range, simple_path)}

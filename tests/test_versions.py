@@ -87,7 +87,7 @@ def test_random_logs(spark):
 def test_versions_and_as_of(spark):
     rows = [("add_vertex", "v", e, i, i, None, None, None, f"2024-01-01 00:00:{i:02d}") for i, e in enumerate([0, 0, 1, 1, 2, 3])]
     log = spark.createDataFrame(rows, L.LOG_SCHEMA + ", ts string").selectExpr("* except (ts)", "cast(ts as timestamp_ntz) ts")
-    v = L.versions(log)
+    v = L.counted_versions(log, ENDS)
     assert [(r.epoch, r.n_vertices, r.begin_ts is None) for r in v.orderBy("epoch").collect()] == [(0, 2, True), (1, 4, False), (2, 5, False)]
     assert L.version_at(v, "2024-01-01 00:00:03").first().epoch == 1 and L.version_at(v, "2023-01-01 00:00:00").first() is None
 
@@ -95,7 +95,28 @@ def test_versions_and_as_of(spark):
 def test_epochs(spark):
     e = spark.range(10).selectExpr("id as seq", "id div 3 as tx")
     assert [r.epoch for r in epochs.by_count(e, 4).orderBy("seq").collect()] == [0] * 4 + [1] * 4 + [2] * 2
-    assert [r.epoch for r in epochs.by_transaction(e, 4).orderBy("seq").collect()] == [0] * 6 + [1] * 3 + [2]
+    assert [r.epoch for r in epochs.by_transaction(e, 4).orderBy("seq").collect()] == [0] * 6 + [1] * 4
+    five = spark.range(2000).selectExpr("id as seq", "id div 400 as tx")
+    got = {r.tx: r.epoch for r in epochs.by_transaction(five, 500).select("tx", "epoch").distinct().collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+    assert {r.tx: r.epoch for r in epochs.by_transaction(five, 500, first=7, carried=300).select("tx", "epoch").distinct().collect()} == {0: 7, 1: 8, 2: 8, 3: 9, 4: 9}
+
+
+def test_transaction_epochs_against_a_fold(spark):
+    import random
+
+    rng = random.Random(1)
+    sizes = [rng.choice([1, 2, 3, 40, 7]) for _ in range(300)]
+    rows = [(i,) for i, n in enumerate(sizes) for _ in range(n)]
+    for per, carried in ((10, 0), (1, 0), (64, 50), (10_000, 0)):
+        epoch, done, expected = 5, carried, {}
+        for i, n in enumerate(sizes):
+            if i and done >= per:
+                epoch, done = epoch + 1, 0
+            expected[i] = epoch
+            done += n
+        got = {r.tx: r.epoch for r in epochs.by_transaction(spark.createDataFrame(rows, "tx long"), per, first=5, carried=carried).distinct().collect()}
+        assert got == expected
     many = spark.range(200_000).selectExpr("id * 3 as seq")
     assert epochs.numbered(many, "seq", "k").filter("k != seq / 3").count() == 0
 
