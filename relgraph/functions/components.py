@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from relgraph.runtime import BROADCAST_KEYS, HEAVY_ROWS, cut, done_with
 
 
-def to_least(links: DataFrame, least: DataFrame) -> DataFrame:
-    """links (u, v) with the m of their u in least (u, m, n). The rows of heavy u meet their m by a broadcast of bounded size."""
-    heavy = least.filter(F.col("n") > HEAVY_ROWS).select("u", "m")
-    found = heavy.count()
-    if not found or found > BROADCAST_KEYS:  # so many hubs spread over all tasks by themselves
-        return links.join(least.select("u", "m"), "u")
-    hubs = F.broadcast(heavy)
-    light = links.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(least.filter(F.col("n") <= HEAVY_ROWS).select("u", "m"), "u")
-    return links.join(hubs, "u").unionByName(light)
+def to_least(links: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    """links (u, v) with the m of their u in least (u, m, n). The rows of heavy u, if there are hubs, meet their m by a broadcast
+    of bounded size."""
+    if hubs:
+        heavy = least.filter(F.col("n") > HEAVY_ROWS).select("u", "m")
+        if heavy.count() <= BROADCAST_KEYS:  # more hubs than that spread over all tasks by themselves
+            light = links.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(least.filter(F.col("n") <= HEAVY_ROWS).select("u", "m"), "u")
+            return links.join(F.broadcast(heavy), "u").unionByName(light)
+    return links.join(least.select("u", "m"), "u")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -32,11 +32,15 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         before = mark
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        large = cut(to_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        done_with(links, least)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        moved = to_least(large, least).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        done_with(large, least)
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = not least.filter(F.col("n") > HEAVY_ROWS).isEmpty()
+        if hubs:
+            least = cut(least, "least")
+        large = to_least(both, least, hubs).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if hubs:
+            large = cut(large, "large")
+        nearest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = to_least(large, nearest, hubs).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links, old = cut(moved.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct(), "links"), links
+        done_with(old, least, large)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

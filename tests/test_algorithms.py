@@ -181,3 +181,12 @@ def test_vectorised_program(spark, diamond):
     step = vectorised(double, "id long, x long, changed boolean")
     out = run_pie(diamond, lambda g: g.vertices.selectExpr("id", "1L as x", "true as changed"), lambda g, s, c: step(s.drop("changed")))
     assert set(found(out, "x").values()) == {8}
+
+
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
+    from relgraph.functions import components
+
+    monkeypatch.setattr(components, "HEAVY_ROWS", 5)
+    pairs = [(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 80)] + [(39, 100), (100, 101), (79, 200), (300, 301)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(40), 100, 101], 0), **dict.fromkeys([*range(50, 80), 200], 50), 300: 300, 301: 300}
