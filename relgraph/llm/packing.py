@@ -23,13 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialise, table, text_or_empty
+from .common import materialise, table, text_or_empty, trim_memory
 
 CAPACITY = 2048
 #: Pieces in a packing partition, at the mean.
 PART_ROWS = 50_000
 #: Distinct chunks that a worker remembers, and bytes of text that it cuts at a time.
-CACHE, SLICE_BYTES = 600_000, 4 << 20
+CACHE, SLICE_BYTES = 600_000, 2 << 20
 #: Chunks encoded in one call; only chunks whose letters fold one to one and compose no further, and no special token.
 PART_CHUNKS = 64
 LETTER_MARK = re.compile(rb"([a-z])([.,])(?=[ \n])")
@@ -88,6 +88,7 @@ class ChunkTokenizer:
         """All ids, each text's followed by 0, and where each text's begin and the last end."""
         if len(self.known) > CACHE:
             self.forget()
+            trim_memory()
         words: list[bytes | None] = []
         ends = []
         for t in texts:
@@ -149,6 +150,9 @@ def tokenised_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPAC
                     ],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
+        # Only the tokenizer itself outlives a task: its worker goes on to other stages.
+        encoder.forget()
+        trim_memory()
 
     docs = documents.select("doc_id", text_or_empty("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
