@@ -258,3 +258,67 @@ def test_few_or_no_vectors(spark):
     assert ann.search(spark.createDataFrame([], schema)).count() == 0
     three = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(three).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
+
+
+def found(df, **how):
+    out = {}
+    for r in ann.search(df, **how).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def ids_of(got):
+    return {q: [i for i, _ in v] for q, v in got.items()}
+
+
+def test_groups_of_lists_hold_nothing_back(spark, monkeypatch):
+    """A query's best are all in one list, and so in one of its groups, which gives a share first: the result is that of a single group."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 16)) * 4
+    rows = [(i, (centres[i % 8] + rng.normal(size=16) * 0.5).astype(np.float32).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = ids_of(found(df, lists=8, probes=8, rerank=20))
+    monkeypatch.setattr(ann, "GROUP_ROWS", 210)
+    assert ids_of(found(df, lists=8, probes=8, rerank=20)) == whole
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 16)
+    assert ids_of(found(df, lists=8, probes=8, rerank=20)) == whole
+
+
+def test_many_copies(spark):
+    """Copies, more than are ranked exactly, take no candidate's place, and of equal scores the smaller vec_id comes first."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[0] + rng.normal(size=(10, 16)) * 0.01
+    vectors = [x[0]] * 500 + [-0.0 * x[0] + near[0]] * 300 + list(near) + list(x[1:])
+    ids = rng.permutation(len(vectors))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, expected = found(df), brute(rows, 20, 20)
+    assert got.keys() == expected.keys() and all(len(v) == 20 for v in got.values())
+    copies = {int(i) for i in ids[:811]}
+    assert sum(q in copies for q in got) > 20
+    for q in got.keys() & copies:
+        assert [i for i, _ in got[q]] == [i for i, _ in expected[q]]
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected) >= 0.9 * sum(map(len, expected.values()))
+
+
+def test_near_copies(spark):
+    """Hundreds of near copies, closer to each other than a code of the other vectors tells: their order by the tables is good enough too."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2000, 32))
+    x[:600] = x[0] + rng.normal(size=(600, 32)) * 0.003
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, expected = ids_of(found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))), brute(rows, 20, 20)
+    hits = {q: len(set(got[q]) & {i for i, _ in v}) / len(v) for q, v in expected.items()}
+    assert np.mean([h for q, h in hits.items() if q < 600]) >= 0.9 and np.mean(list(hits.values())) >= 0.9
+
+
+def test_small_lists_still_give_k(spark):
+    """Lists with fewer than k vectors: a query goes on to the next ones until it has k."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 16)) * 4
+    rows = [(i, (centres[i % 60] + rng.normal(size=16) * 0.1).tolist()) for i in range(300)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lists=60, probes=1)
+    assert all(len(got[q]) == 20 for q in range(0, 300, 20))
