@@ -118,9 +118,9 @@ def fit_domains(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = DocumentFeatures()
         for b in batches:
-            for first, last in text_slices(b.column(1).to_pylist()):
-                n = last - first
-                dense, doc, bucket, _ = maker.rows(b.column(1).slice(first, n).to_pylist())
+            for first, texts in text_slices(b.column(1)):
+                n = len(texts)
+                dense, doc, bucket, _ = maker.rows(texts)
                 cuts = np.searchsorted(doc, np.arange(n + 1))
                 words = [bucket[p:q].astype("<u2").tobytes() for p, q in zip(cuts, cuts[1:])]
                 own = [b.column(i).slice(first, n) for i in (0, 2, 3)]
@@ -147,9 +147,8 @@ def domain_posteriors(rows: DataFrame, model: DomainModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = DocumentFeatures()
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            for first, last in text_slices(texts):
-                dense, doc, bucket, counts = maker.rows(texts[first:last], model.place >= 0)
+            for first, texts in text_slices(b.column(at)):
+                dense, doc, bucket, counts = maker.rows(texts, model.place >= 0)
                 p = model.posteriors(dense, doc, bucket)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.astype(np.float64).ravel()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(first, len(p)) for c in names], pa.array(counts), lists], [*names, "tokens", "posterior"])

@@ -12,10 +12,11 @@ The layer is linear before its tanh, so a word's content is projected once for e
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table, text_or_empty, trim_memory
@@ -32,10 +33,10 @@ CONTENT = WORD_BUCKETS + GRAM_BUCKETS
 CONTENT_DECAY = 2e-3
 THRESHOLD = 0.7
 HIDDEN = 12
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WORD_FEATURES, FEATURES = 10, 15
-#: Distinct words that a worker remembers.
-KNOWN_WORDS = 450_000
+#: Distinct words that a worker remembers, and new ones that it examines at once: their characters take many times their result.
+KNOWN_WORDS, PART_WORDS = 200_000, 1 << 13
 
 
 #: Class of a code point: other, upper-case letter, other letter, digit, plain mark.
@@ -81,6 +82,10 @@ def content_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order], owners[order]
 
 
+def word_parts(words: list[str]) -> Iterator[list[str]]:
+    return (words[i : i + PART_WORDS] for i in range(0, len(words), PART_WORDS))
+
+
 class PassageFeatures:
     """Feature rows of passages; each distinct word is examined once."""
 
@@ -93,7 +98,7 @@ class PassageFeatures:
 
     def learn(self, new: list[str]) -> None:
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.shapes = np.concatenate([self.shapes, word_shapes(new)])
+        self.shapes = np.concatenate([self.shapes, *map(word_shapes, word_parts(new))])
 
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words and how many each text has."""
@@ -151,9 +156,12 @@ class ContentFeatures(PassageFeatures):
 
     def learn(self, new: list[str]) -> None:
         super().learn(new)
-        buckets, owners = content_buckets(new)
+        self.projected = np.concatenate([self.projected, *map(self.project, word_parts(new))])
+
+    def project(self, words: list[str]) -> np.ndarray:
+        buckets, owners = content_buckets(words)
         starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-        self.projected = np.concatenate([self.projected, np.add.reduceat(self.layer[buckets], starts)])
+        return np.add.reduceat(self.layer[buckets], starts)
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Feature rows of all passages, the mean projection of their words, and the bounds of the texts."""
@@ -184,9 +192,9 @@ class BucketCounts(PassageFeatures):
 
     def learn(self, new: list[str]) -> None:
         super().learn(new)
-        buckets, owners = content_buckets(new)
-        self.flat = np.concatenate([self.flat, buckets])
-        self.sizes = np.concatenate([self.sizes, np.bincount(owners, minlength=len(new))])
+        found = [(buckets, np.bincount(owners, minlength=len(part))) for part in word_parts(new) for buckets, owners in [content_buckets(part)]]
+        self.flat = np.concatenate([self.flat, *(buckets for buckets, _ in found)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
 
     def counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes, counts = self.coded(texts)
@@ -196,12 +204,12 @@ class BucketCounts(PassageFeatures):
             starts, rows, n = passage_starts(counts, bounds)
             first = np.cumsum(self.sizes) - self.sizes
             row = np.repeat(rows, n.astype(np.int64))
-            for a in range(0, len(codes), 1 << 18):
-                some = codes[a : a + (1 << 18)]
+            for a in range(0, len(codes), 1 << 15):
+                some = codes[a : a + (1 << 15)]
                 size = self.sizes[some]
                 upto = np.cumsum(size)
                 at = np.arange(upto[-1]) - np.repeat(upto - size, size) + np.repeat(first[some], size)
-                cell, times = np.unique(np.repeat(row[a : a + (1 << 18)], size) * CONTENT + self.flat[at], return_counts=True)
+                cell, times = np.unique(np.repeat(row[a : a + (1 << 15)], size) * CONTENT + self.flat[at], return_counts=True)
                 have = content.reshape(-1)
                 have[cell] = np.minimum(255, have[cell].astype(np.int64) + times)
         return x, content, bounds
@@ -308,13 +316,14 @@ class AttentionModel:
         return self
 
 
-def text_slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """(first, last + 1) of runs of texts of about SLICE_BYTES characters."""
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of texts of about SLICE_BYTES, made of Arrow's one run at a time; a null text is empty."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_BYTES or i == len(texts) - 1:
-            yield first, i + 1
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= SLICE_BYTES or i == len(sizes) - 1:
+            yield first, [t or "" for t in texts.slice(first, i + 1 - first).to_pylist()]
             first, size = i + 1, 0
 
 
@@ -346,11 +355,11 @@ def training_bags(sample: DataFrame, columns: list[str]) -> tuple[np.ndarray, np
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, seal = BucketCounts(), zstandard.ZstdCompressor(1)
         for batch in batches:
-            for first, last in text_slices(batch.column(1).to_pylist()):
-                rows, content, bounds = maker.counted(batch.column(1).slice(first, last - first).to_pylist())
+            for first, texts in text_slices(batch.column(1)):
+                rows, content, bounds = maker.counted(texts)
                 packed = [rows[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
                 counts = [seal.compress(content[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
-                own = [batch.column(i).slice(first, last - first) for i in (0, *range(2, 2 + len(columns)))]
+                own = [batch.column(i).slice(first, len(texts)) for i in (0, *range(2, 2 + len(columns)))]
                 yield pa.RecordBatch.from_arrays([own[0], pa.array(packed, pa.binary()), pa.array(counts, pa.binary()), *own[1:]], ["doc_id", "x", "c", *columns])
         del maker
         trim_memory()
@@ -373,24 +382,28 @@ def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
     return AttentionModel().fit(x, content, bounds, y[:, 0])
 
 
+def scored_batches(batches: Iterator[pa.RecordBatch], model: AttentionModel, text_of: Callable[[pa.RecordBatch], pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The batches, each with a last column ``score``."""
+    maker = ContentFeatures(model.content_layer())
+    for batch in batches:
+        out = [model.scores(*maker.encoded(texts)) for _, texts in text_slices(text_of(batch))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.concatenate(out) if out else np.zeros(0)).astype(np.float64))], [*batch.schema.names, "score"])
+    del maker
+    trim_memory()
+
+
+def with_score(rows: DataFrame, model: AttentionModel, text_of: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    from pyspark.sql import types as T
+
+    return rows.mapInArrow(lambda batches: scored_batches(batches, model, text_of), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 def score_quality(documents: DataFrame, model: AttentionModel) -> DataFrame:
     """documents with ``score`` (replaced if it is there). Only the text is read: null and wordless texts are scored as an
     empty passage; other columns pass through, nulls and repeated rows too; an empty table gives no rows."""
     documents = documents.drop("score")
     at = documents.columns.index("text")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = ContentFeatures(model.content_layer())
-        for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            out = [model.scores(*maker.encoded(texts[first:last])) for first, last in text_slices(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((np.concatenate(out) if out else np.zeros(0)).astype(np.float64))], [*batch.schema.names, "score"])
-        del maker
-        trim_memory()
-
-    from pyspark.sql import types as T
-
-    return documents.mapInArrow(score, T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())]))
+    return with_score(documents, model, lambda batch: batch.column(at))
 
 
 def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,6 +416,7 @@ def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject; columns as they are, whatever their names. Null texts are judged as empty
     ones; repeated rows are judged alike; an empty table gives no rows, and without labels nothing is rejected."""
-    rows = documents.select(F.struct(*documents.columns).alias("row"), "text")
-    scored = score_quality(rows, fit_quality(documents, labels))
+    # The text goes to the workers once, in its row.
+    rows, at = documents.select(F.struct(*documents.columns).alias("row")), documents.columns.index("text")
+    scored = with_score(rows, fit_quality(documents, labels), lambda batch: batch.column(0).field(at))
     return scored.filter(F.col("score") >= threshold).select("row.*")

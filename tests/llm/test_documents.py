@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -366,6 +367,28 @@ def test_quality_scores_every_row(clashing, labels):
     assert quality.keep_quality(clashing, labels).columns == clashing.columns
 
 
+def test_quality_worker_takes_little_beside_its_batch(spark, labels, monkeypatch):
+    """Of a batch of 8 MB and 400,000 distinct words: the text is sent once, decoded and examined some at a time, and words are forgotten."""
+    texts = [" ".join(f"w{i * 4000 + j:x}{'xyz'[j % 3] * 12}" for j in range(4000)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent = []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, func, *a: sent.append((self, func)) or plain(self, func, *a))
+    quality.keep_quality(docs, labels)
+    rows, func = sent[-1]
+    batches = rows.toArrow().combine_chunks().to_batches()
+    size = sum(len(t) for t in texts)
+    assert size > 7 << 20 and sum(b.nbytes for b in batches) < 1.5 * size
+    tracemalloc.start()
+    scored = list(func(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in scored) == 100 and peak < 75 << 20
+    monkeypatch.undo()
+    model = quality.fit_quality(docs, labels)
+    assert quality.keep_quality(docs, labels).count() == sum(r.score >= quality.THRESHOLD for r in quality.score_quality(docs, model).collect())
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     model = quality.AttentionModel()
