@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -111,16 +112,16 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """(first, last + 1) of runs of texts of about ``limit`` bytes."""
+def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of texts of such sizes, of about ``limit`` bytes."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= limit:
             yield first, i + 1
             first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def tokenised_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -129,9 +130,9 @@ def tokenised_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPAC
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_tokenizer(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids, bounds = encoder.encode(texts[a:b])
+            texts = batch.column(1)
+            for a, b in slices(pc.binary_length(texts).to_pylist()):
+                ids, bounds = encoder.encode(texts.slice(a, b - a).to_pylist())
                 sizes = np.diff(bounds)
                 pieces = -(-sizes // capacity)
                 row = np.repeat(np.arange(b - a), pieces)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -356,6 +357,27 @@ def test_bounds_hold():
     assert packing.lower_bound(np.array([11] * 5), 20) == 5
 
 
+def test_packing_worker_decodes_some_texts_at_a_time(spark, tokenizer, monkeypatch):
+    """Beside a batch a worker holds a slice, not all texts: three times the texts take no more."""
+    text = ROWS[9][1]
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    sent = []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, func, *a: sent.append((self, func)) or plain(self, func, *a))
+    packing.tokenised_pieces(docs, tokenizer)
+    rows, func = sent[-1]
+    one = rows.toArrow()
+    peaks = []
+    for n in (30, 30, 90):
+        batch = pa.concat_tables([one] * n).combine_chunks().to_batches()
+        tracemalloc.start()
+        pieces = sum(b.num_rows for b in func(iter(batch)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert pieces % n == 0 and pieces >= n * 30_000 // packing.CAPACITY
+    assert peaks[2] < peaks[1] + (2 << 20), peaks
+
+
 # Quality and mixing.
 
 
