@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from relgraph.operators.epochs import BUCKET
+
 ADD_VERTEX, UPDATE_VERTEX, DELETE_VERTEX, ADD_EDGE, DELETE_EDGE = "add_vertex", "update_vertex", "del_vertex", "add_edge", "del_edge"
 #: Columns of the log; props is a JSON text of the label's properties.
 LOG_SCHEMA = "op string, label string, epoch long, seq long, oid long, src long, dst long, props string"
@@ -27,9 +29,10 @@ def edge_asof(log: DataFrame, epoch: int, ends: dict[str, tuple[str, str]]) -> D
     ops = log.filter(F.col("op").isin(ADD_EDGE, DELETE_EDGE) & (F.col("epoch") <= epoch))
     key = Window.partitionBy("label", "src", "dst").orderBy("seq")
     upto = key.rowsBetween(Window.unboundedPreceding, 0)
-    ops = ops.withColumn("s", F.sum(F.when(F.col("op") == ADD_EDGE, 1).otherwise(-1)).over(upto))
+    ops = ops.withColumns({"s": F.sum(F.when(F.col("op") == ADD_EDGE, 1).otherwise(-1)).over(upto), "n": F.row_number().over(key)})
     ops = ops.withColumn("b", F.col("s") - F.least(F.lit(0), F.min("s").over(upto)))
-    ops = ops.withColumn("low", F.min("b").over(key.rowsBetween(0, Window.unboundedFollowing)))
+    # The rest of the key, from its end: a frame up to unbounded following is computed anew for each row.
+    ops = ops.withColumn("low", F.min("b").over(Window.partitionBy("label", "src", "dst").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
     alive = ops.filter((F.col("op") == ADD_EDGE) & (F.col("low") >= F.col("b"))).select("label", "src", "dst", "props", "seq")
     return without_deleted_ends(alive, deleted(log, epoch), ends)
 
@@ -89,12 +92,25 @@ def edge_lifetimes(log: DataFrame, ends: dict[str, tuple[str, str]]) -> DataFram
     for i, c in enumerate(("src", "dst")):
         own = F.create_map(*[F.lit(x) for k, v in ends.items() for x in (k, v[i])])
         both = out.select(F.element_at(own, F.col("label")).alias("__l"), F.col(c).alias("__o"), F.col("seq").alias("__s"), F.struct(*out.columns).alias("x")).unionByName(gone, allowMissingColumns=True)
-        after = Window.partitionBy("__l", "__o").orderBy("__s").rowsBetween(0, Window.unboundedFollowing)
-        died = F.first("__e", ignorenulls=True).over(after)
-        out = both.withColumn("g", died).filter("x is not null").select("x.label", "x.src", "x.dst", "x.epoch", "x.seq", F.least("x.d", "g").alias("d"))
+        out = with_next_delete(both).filter("x is not null").select("x.label", "x.src", "x.dst", "x.epoch", "x.seq", F.least("x.d", "g").alias("d"))
     return out.select("label", "src", "dst", F.col("epoch").alias("from_epoch"), F.col("d").alias("until_epoch")).filter("until_epoch is null or until_epoch > from_epoch")
 
 
+def with_next_delete(both: DataFrame) -> DataFrame:
+    """both (__l, __o, __s, __e, ...), where __e is the epoch of a delete and null elsewhere, with ``g``: that of the first delete of (__l, __o) from __s on.
+
+    Within a bucket of __s by a window, run from its end; what later buckets hold comes from a row for each bucket of a vertex. So no
+    task reads all of a hub's rows, and each row is read once."""
+    slot = ["__l", "__o", "__b"]
+    both = both.withColumn("__b", F.floor(F.col("__s") / BUCKET))
+    found = both.withColumn("__in", F.last("__e", ignorenulls=True).over(Window.partitionBy(*slot).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)))
+    deletes = both.filter("__e is not null").groupBy(*slot).agg(F.min_by("__e", "__s").alias("__f"))
+    slots = both.select(*slot).distinct().join(deletes, slot, "left")
+    later = Window.partitionBy("__l", "__o").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*slot, F.last("__f", ignorenulls=True).over(later).alias("__then")).filter("__then is not null")
+    return found.join(slots, slot, "left").withColumn("g", F.coalesce("__in", "__then")).drop("__b", "__in", "__then")
+
+
 def counted_versions(log: DataFrame, ends: dict[str, tuple[str, str]], ts: str = "ts") -> DataFrame:
     """``versions`` with n_vertices and n_edges: how many a read as of the epoch gives. Cascaded edges, deletes that hit nothing and
     repeated adds count as the read has them."""

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from relgraph.operators import epochs, log as L
 from relgraph.sources import cdc
@@ -144,3 +145,25 @@ def test_events_of_every_kind(spark):
     ]
     assert log[0].props == '{"name":"a|b"}' and log[1].props == '{"name":""}'
     assert cdc.unified_log(events, m, empty_as_null=True).filter("seq = 1 and oid = 2").first().props == "{}"
+
+
+def test_lifetimes_of_a_hub(spark, monkeypatch):
+    """Every row is read once, in buckets of the sequence: no frame runs to the end of a key for each of its rows."""
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(L, "BUCKET", 16)
+    rows = []
+    for i in range(400):
+        kind = rng.choice([L.ADD_EDGE] * 5 + [L.DELETE_EDGE] * 2 + [L.DELETE_VERTEX])
+        edge = kind != L.DELETE_VERTEX
+        vertex = rng.choice([("user", rng.randrange(4)), ("item", 0)]) if not edge and rng.random() < 0.5 else ("user", 9)
+        rows.append((kind, "touch" if edge else vertex[0], i // 40, i, None if edge else vertex[1], rng.randrange(4) if edge else None, 0 if edge else None))
+    log = spark.createDataFrame(rows, "op string, label string, epoch long, seq long, oid long, src long, dst long").withColumn("props", F.lit(None).cast("string"))
+    ends = {"touch": ("user", "item")}
+    lives = L.edge_lifetimes(log, ends).collect()
+    for e in range(10):
+        alive = L.edge_asof(log, e, ends)
+        assert sum(r.from_epoch <= e and (r.until_epoch is None or e < r.until_epoch) for r in lives) == alive.count()
+    for plan in (alive, L.edge_lifetimes(log, ends)):
+        assert "unboundedfollowing" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
