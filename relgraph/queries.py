@@ -888,7 +888,7 @@ def nx_out_edges(spark, sf_dir):
     from relgraph.nxview import DiGraphView
 
     g = tpch_graph(spark, sf_dir)
-    g = PropertyGraph(g.vertices, {"placed": g.edges["placed"].withColumn("total", F.round("total").cast("long"))}, {"placed": g.types["placed"]})
+    g = PropertyGraph(g.vertices, {"placed": g.edges["placed"].withColumn("total", F.rint("total").cast("long"))}, {"placed": g.types["placed"]})
     some = spark.range(1, 21).select(F.lit("customer").alias("label"), F.col("id").cast("string").alias("oid"))
     return DiGraphView(g).out_edges(some, "total")
 

@@ -39,3 +39,25 @@ def test_a_missing_package_leaves_the_library(tmp_path):
     code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q) > 50, any(k.startswith('op') and k[2].isdigit() for k in q), 'pipeline' in q)"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__spark_entry__.ROOT)
     assert out.stdout.split() in (["True", "False", "False"], ["True", "False", "True"])
+
+
+def sql_agrees(spark, folder, name):
+    con = duckdb.connect()
+    for p in folder.glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    found = __spark_entry__.queries()[name](spark, str(folder))
+    expected = con.sql(f"select {', '.join(found.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    return sorted([tuple(map(cell, r)) for r in found.collect()], key=repr) == sorted([tuple(map(cell, r)) for r in expected], key=repr)
+
+
+def changed_tables(sf, folder, **columns):
+    """The tables of sf in a new folder, with columns replaced: table=SQL of a star expression's replacements."""
+    con = duckdb.connect()
+    for t in TABLES:
+        more = f" replace ({columns[t]})" if t in columns else ""
+        con.execute(f"copy (select *{more} from '{sf}/{t}.parquet') to '{folder}/{t}.parquet' (format parquet)")
+    return folder
+
+
+def test_halves_are_rounded_as_the_sql_rounds(spark, sf, tmp_path):
+    assert sql_agrees(spark, changed_tables(sf, tmp_path, orders="o_orderkey + 0.5::double as o_totalprice, o_orderkey % 30 as o_custkey"), "nx_out_edges")
