@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relgraph.plans.mapping import GraphMapping, edge_plan, vertex_plan
+from relgraph.plans.mapping import EdgeMapping, GraphMapping, edge_plan, vertex_plan
+from relgraph.runtime import SET_ROWS, cut
 
 
 @dataclass(frozen=True)
@@ -29,15 +30,23 @@ class PropertyGraph:
     @staticmethod
     def from_mapping(mapping: GraphMapping, tables: dict[str, DataFrame], live_endpoints: bool = True) -> PropertyGraph:
         """Compile a mapping over tables. With live_endpoints, edges to vertices that do not exist are dropped."""
-        vertices = {v.label: vertex_plan(v, tables[v.table]) for v in mapping.vertices if v.table in tables}
-        edges, types = {}, {}
-        for e in mapping.edges:
-            if e.table not in tables or not {e.src_label, e.dst_label} <= vertices.keys():
-                continue
+        mapped = {v.label: v for v in mapping.vertices if v.table in tables}
+        vertices = {k: vertex_plan(v, tables[v.table]) for k, v in mapped.items()}
+        edges, types, known = EdgePlans(), {}, {}
+
+        def compiled(e: EdgeMapping) -> DataFrame:
             plan = edge_plan(e, tables[e.table])
-            if live_endpoints:
-                plan = with_live_endpoints(plan, vertices[e.src_label], vertices[e.dst_label])
-            edges[e.label], types[e.label] = plan, EdgeType(e.label, e.src_label, e.dst_label, e.undirected)
+            for end, column, label in (("src", e.src, e.src_label), ("dst", e.dst, e.dst_label)) if live_endpoints else ():
+                if (e.table, column) == (mapped[label].table, mapped[label].key):
+                    continue  # the row of the edge is that of the vertex
+                if label not in known:
+                    known[label] = key_set(vertices[label])
+                plan = known[label](plan, end)
+            return plan
+
+        for e in mapping.edges:
+            if e.table in tables and {e.src_label, e.dst_label} <= vertices.keys():
+                edges[e.label], types[e.label] = partial(compiled, e), EdgeType(e.label, e.src_label, e.dst_label, e.undirected)
         return PropertyGraph(vertices, edges, types)
 
     # Access.
@@ -66,14 +75,28 @@ class PropertyGraph:
 
     def degrees(self, direction: str = "out") -> DataFrame:
         """(label, oid, degree) of every vertex, 0 where it has no edge."""
-        counted = self.adjacency(direction).groupBy("label", "oid").agg(F.count(F.lit(1)).alias("degree"))
-        return self.all_vertices().join(counted, ["label", "oid"], "left").select("label", "oid", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+        return self.degrees_of(degree=direction)
+
+    def degrees_of(self, **directions: str) -> DataFrame:
+        """(label, oid, a number for each named direction) of every vertex, 0 where it has no edge: vertices and edge ends are
+        counted together, in one shuffle, under the number of their label."""
+        labels, names = self.label_index(), list(directions)
+        parts = [v.select(F.lit(labels[k]).alias("l"), "oid", F.lit(1).alias("own"), *[F.lit(0).alias(n) for n in names]) for k, v in self.vertices.items()]
+        for k, e in self.edges.items():
+            t = self.types[k]
+            for column, label, way in (("src", t.src_label, "out"), ("dst", t.dst_label, "in")):
+                ones = [F.lit(int(t.undirected or d in ("both", way))).alias(n) for n, d in directions.items()]
+                parts.append(e.select(F.lit(labels[label]).alias("l"), F.col(column).alias("oid"), F.lit(0).alias("own"), *ones))
+        counted = union(parts).groupBy("l", "oid").agg(F.sum("own").alias("own"), *[F.sum(n).alias(n) for n in names]).filter("own > 0")
+        # A vertex that its table repeats is repeated.
+        every = counted.withColumn("own", F.explode(F.array_repeat(F.lit(1), F.col("own").cast("int"))))
+        return every.select(F.element_at(F.array(*[F.lit(k) for k in labels]), F.col("l") + 1).alias("label"), "oid", *names)
 
     def counts(self) -> DataFrame:
         """(kind, label, n) with a row of n by label, by kind (label null) and in all (both null)."""
-        parts = [v.select(F.lit("vertex").alias("kind"), F.lit(k).alias("label")) for k, v in self.vertices.items()]
-        parts += [e.select(F.lit("edge").alias("kind"), F.lit(k).alias("label")) for k, e in self.edges.items()]
-        return union(parts).rollup("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+        rows = [("vertex", k, v) for k, v in self.vertices.items()] + [("edge", k, e) for k, e in self.edges.items()]
+        parts = [x.groupBy(F.lit(kind).alias("kind"), F.lit(k).alias("label")).agg(F.count(F.lit(1)).alias("n")) for kind, k, x in rows]
+        return union(parts).rollup("kind", "label").agg(F.sum("n").alias("n"))
 
     def edge_types_between(self, src_label: str, dst_label: str) -> list[str]:
         return [k for k, t in self.types.items() if (t.src_label, t.dst_label) == (src_label, dst_label)]
@@ -156,6 +179,31 @@ class PropertyGraph:
         return union(loops).groupBy("elabel").agg(F.count(F.lit(1)).alias("n"))
 
 
+class EdgePlans(dict):
+    """label -> edges, each compiled when it is first asked for: to know the keys of its ends takes a job."""
+
+    def __getitem__(self, label):
+        found = super().__getitem__(label)
+        if isinstance(found, partial):
+            self[label] = found = found()
+        return found
+
+    def get(self, label, default=None):
+        return self[label] if label in self else default
+
+    def values(self):
+        return [self[k] for k in self]
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def __or__(self, other):
+        return dict(self.items()) | dict(other.items())
+
+    def __ror__(self, other):
+        return dict(other.items()) | dict(self.items())
+
+
 @dataclass(frozen=True)
 class SimpleGraph:
     """One kind of vertex (id, ...) and of edge (src, dst[, weight]): what algorithms run on."""
@@ -187,6 +235,36 @@ def swapped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
+def key_set(vertices: DataFrame):
+    """A function of (rows, column) that keeps the rows whose column is an oid of vertices, none twice.
+
+    Whole numbers become bits, 4096 keys a row, and are broadcast if these rows are at most SET_ROWS (40 MB): then the rows of edges need
+    no shuffle. Text, streams, and keys too many or too sparse for that are met by a semi-join."""
+    oid = F.col("oid")
+
+    def met(rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(vertices.select(oid.alias(column)), column, "left_semi").select(rows.columns)
+
+    if vertices.isStreaming or vertices.schema["oid"].dataType.simpleString() != "bigint":
+        return met
+    words = vertices.groupBy(F.shiftright(oid, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(oid & 63 as int))")).alias("bits"))
+    spread = F.map_from_entries(F.collect_list(F.struct(F.col("w").bitwiseAND(F.lit(63)).cast("int").alias("i"), "bits")))
+    every = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long")))
+    chunks = cut(words.groupBy(F.shiftright("w", 6).alias("__chunk")).agg(spread.alias("m")).select("__chunk", every.alias("__words")), "keys")
+    if chunks.count() > SET_ROWS:
+        return met
+
+    def tested(rows: DataFrame, column: str) -> DataFrame:
+        if rows.schema[column].dataType.simpleString() != "bigint":
+            return met(rows, column)
+        key = F.col(column)
+        near = rows.withColumn("__c", F.shiftright(key, 12)).join(F.broadcast(chunks), F.col("__c") == F.col("__chunk"))
+        word = F.element_at("__words", (F.shiftright(key, 6).bitwiseAND(F.lit(63)) + 1).cast("int"))
+        return near.filter(F.call_function("getbit", word, key.bitwiseAND(F.lit(63)).cast("int")) == 1).select(rows.columns)
+
+    return tested
+
+
 def with_live_endpoints(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """edges whose two ends exist; semi-joins, so no edge is repeated."""
     out = edges.join(src.select(F.col("oid").alias("src")), "src", "left_semi").join(dst.select(F.col("oid").alias("dst")), "dst", "left_semi")

@@ -190,3 +190,27 @@ def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
     pairs = [(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 80)] + [(39, 100), (100, 101), (79, 200), (300, 301)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**dict.fromkeys([*range(40), 100, 101], 0), **dict.fromkeys([*range(50, 80), 200], 50), 300: 300, 301: 300}
+
+
+def test_live_ends_without_a_shuffle(spark, monkeypatch):
+    from relgraph.operators import graph as G
+    from relgraph.plans.mapping import EdgeMapping, GraphMapping, VertexMapping
+
+    ids = [0, 1, 63, 64, 65, 4095, 4096, -1, -64, -65, 1 << 40, (1 << 62) + 5, 7, 7]
+    asked = [*ids, 2, 62, 66, 4097, -2, -66, (1 << 40) + 1, 1 << 62, None]
+    t = {"a": spark.createDataFrame([(x,) for x in [*ids, None]], "k long"), "b": spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "k long, a long")}
+    m = GraphMapping("g", (VertexMapping("a", "a", "k", {}), VertexMapping("b", "b", "k", {})), (EdgeMapping("of", "b", "b", "a", "k", "a"),))
+    expected = [(i, x) for i, x in enumerate(asked) if x in ids and x is not None]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = PropertyGraph.from_mapping(m, t)
+        assert sorted(tuple(r) for r in g.edges["of"].collect()) == expected
+        assert "hashpartitioning" not in g.edges["of"]._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(G, "SET_ROWS", 1)
+        assert sorted(tuple(r) for r in PropertyGraph.from_mapping(m, t).edges["of"].collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    both = {(r.label, r.oid, r.o, r.i) for r in g.degrees_of(o="out", i="in").collect()}
+    assert ("a", 64, 0, 1) in both and ("b", 14, 0, 0) in both and g.degrees_of(o="out").filter("label = 'a' and oid = 7").count() == 2
+    assert {(r.kind, r.label): r.n for r in g.counts().collect()} == {("vertex", "a"): 14, ("vertex", "b"): 23, ("edge", "of"): 14, ("vertex", None): 37, ("edge", None): len(expected), (None, None): 37 + len(expected)}
