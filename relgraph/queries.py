@@ -12,6 +12,7 @@ from relgraph.operators import dynamic, epochs, log as L
 from relgraph.operators.graph import PropertyGraph, SimpleGraph, tpch_graph, tpch_mapping, union
 from relgraph.operators.traversal import Traversal
 from relgraph.plans.mapping import GraphMapping, VertexMapping, EdgeMapping
+from relgraph.runtime import cut, dealt
 from relgraph.sources import cdc, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,8 +60,8 @@ union all select 'supplied_by', l_orderkey, l_suppkey from lineitem"""
 @query(f"select elabel, count(*) as n, count(distinct (src, dst)) as pairs from ({EDGES_SQL}) group by elabel")
 def edges_by_label(spark, sf_dir):
     g = tpch_graph(spark, sf_dir)
-    e = union([x.select(F.lit(k).alias("elabel"), "src", "dst") for k, x in g.edges.items()])
-    return e.groupBy("elabel").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src", "dst").alias("pairs"))
+    pairs = {k: dealt(e.select("src", "dst"), "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")) for k, e in g.edges.items()}
+    return union([p.agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("pairs")).filter("pairs > 0").select(F.lit(k).alias("elabel"), "n", "pairs") for k, p in pairs.items()])
 
 
 @query("select o_custkey as src, o_orderkey as dst, o_totalprice as total from orders")
@@ -316,8 +317,7 @@ select v.label, v.oid, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_de
 
 @query(DEGREES_SQL)
 def degree_in_out(spark, sf_dir):
-    g = tpch_graph(spark, sf_dir)
-    return g.degrees("out").withColumnRenamed("degree", "out_degree").join(g.degrees("in").withColumnRenamed("degree", "in_degree"), ["label", "oid"])
+    return tpch_graph(spark, sf_dir).degrees_of(out_degree="out", in_degree="in")
 
 
 @query("select l_orderkey as oid, round(sum(l_quantity), 4) as weight from lineitem group by 1")
