@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from relgraph.functions.components import connected
-from relgraph.operators.graph import SimpleGraph, swapped, union
+from relgraph.operators.graph import SimpleGraph, key_set, swapped, union
 from relgraph.runtime import cut, done_with, held
 
 
@@ -170,48 +170,68 @@ def cdlp(g: SimpleGraph, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def oriented(g: SimpleGraph) -> DataFrame:
-    """(a, b): each undirected edge once, from the end of smaller (degree, id) to the other, so that no vertex has
-    more than the square root of twice the edges: what bounds the wedges of a hub."""
-    both = g.both()
-    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    e = both.join(degree, "src").withColumnRenamed("d", "ds").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
-    return cut(e.filter("ds < dd or (ds = dd and src < dst)").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+def upward(g: SimpleGraph) -> DataFrame:
+    """(id, d, up, twice): each vertex that has an edge with its degree, its neighbours of larger (degree, id), of which none has more than
+    the square root of twice the edges, and those of them that edges join both ways."""
+    if g.undirected or g.simple:
+        p = g.pairs().withColumn("w", F.lit(False))
+    else:
+        ends = g.edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") < F.col("dst")).alias("ab"))
+        p = ends.groupBy("a", "b").agg((F.min("ab") != F.max("ab")).alias("w"))
+    degree = p.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    e = p.join(degree.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    rises = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    e = e.select(F.when(rises, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(rises, F.col("b")).otherwise(F.col("a")).alias("hi"), F.lit(None).cast("long").alias("d"), "w")
+    e = e.unionByName(degree.select("id", F.lit(None).cast(e.schema["hi"].dataType).alias("hi"), "d", F.lit(False).alias("w")))
+    return cut(e.groupBy("id").agg(F.max("d").alias("d"), F.collect_list("hi").alias("up"), F.collect_list(F.when(F.col("w"), F.col("hi"))).alias("twice")))
+
+
+def closed(lists: DataFrame) -> DataFrame:
+    """(a, b, cs, na, nb, nc) by ``upward``: each edge (a, b) that closes triangles (a, b, c), once each, with the c of these. na, nb: the
+    edges between the other two corners, either way by itself, in sum over these triangles; nc: those between a and b.
+
+    What meets at b is a's list, one row an edge, not its wedges; only where b has larger neighbours of its own."""
+    has = key_set(lists.filter(F.size("up") > 0).select(F.col("id").alias("oid")))
+    asks = lists.filter(F.size("up") > 1).select(F.col("id").alias("a"), "up", "twice", F.explode("up").alias("b"))
+    own = lists.filter(F.size("up") > 0).select(F.col("id").alias("b"), F.col("up").alias("up_b"), F.col("twice").alias("twice_b"))
+    met = has(asks, "b").join(own, "b").withColumn("cs", F.array_intersect("up", "up_b")).filter(F.size("cs") > 0)
+    more = lambda list_: F.when(F.size(list_) > 0, F.size(F.array_intersect("cs", list_))).otherwise(0)
+    return met.select("a", "b", "cs", (F.size("cs") + more("twice_b")).alias("na"), (F.size("cs") + more("twice")).alias("nb"), F.when(F.array_contains("twice", F.col("b")), 2).otherwise(1).alias("nc"))
 
 
 def triangle_list(g: SimpleGraph) -> DataFrame:
     """(a, b, c): every triangle once."""
-    e = oriented(g)
-    wedges = e.join(e.select("a", F.col("b").alias("c")), "a").filter("b < c")
-    either = e.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c"))
-    return wedges.join(either, ["b", "c"], "left_semi").select("a", "b", "c")
+    return closed(upward(g)).select("a", "b", F.explode("cs").alias("c"))
+
+
+def at_corners(met: DataFrame, weighed: bool = False) -> DataFrame:
+    """(id, n): triangles of ``closed`` at each vertex that has some, or the edges between the other two corners of these."""
+    own = [F.struct(F.col(v).alias("id"), (F.col(f"n{v}") if weighed else F.size("cs")).cast("long").alias("n")) for v in "ab"]
+    third = F.transform("cs", lambda c: F.struct(c.alias("id"), (F.col("nc") if weighed else F.lit(1)).cast("long").alias("n")))
+    return met.select(F.explode(F.concat(F.array(*own), third)).alias("x")).groupBy("x.id").agg(F.sum("x.n").alias("n"))
 
 
 def triangles(g: SimpleGraph) -> DataFrame:
     """(id, triangles) of every vertex."""
-    t = triangle_list(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    t = at_corners(closed(upward(g)))
     return g.vertices.select("id").join(t, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("triangles"))
 
 
+def share_closed(g: SimpleGraph, weighed: bool) -> DataFrame:
+    lists = upward(g)
+    found = at_corners(closed(lists), weighed).join(lists.select("id", "d"), "id")
+    joined = g.vertices.select("id").join(found, "id", "left")
+    return joined.select("id", F.coalesce((1 if weighed else 2) * F.col("n") / (F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("coefficient"))
+
+
 def clustering(g: SimpleGraph) -> DataFrame:
     """(id, coefficient): closed wedges at a vertex over all wedges at it, undirected; 0 for fewer than two neighbours."""
-    degree = g.both().groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-    joined = triangles(g).join(degree, "id", "left")
-    return joined.select("id", F.when(F.col("d") > 1, 2 * F.col("triangles") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("coefficient"))
+    return share_closed(g, False)
 
 
 def lcc(g: SimpleGraph) -> DataFrame:
     """(id, coefficient): edges among the neighbours (either direction counts by itself) over all ordered pairs of them."""
-    directed = g.edges.filter("src != dst").select("src", "dst").distinct()
-    if g.undirected:
-        directed = g.both()
-    weight = directed.groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.count(F.lit(1)).alias("w"))
-    t = triangle_list(g)
-    corners = [t.select(F.col(v).alias("id"), F.least(p, q).alias("x"), F.greatest(p, q).alias("y")) for v, p, q in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))]
-    found = corners[0].unionByName(corners[1]).unionByName(corners[2]).join(weight, ["x", "y"]).groupBy("id").agg(F.sum("w").alias("n"))
-    degree = g.both().groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-    joined = g.vertices.select("id").join(degree, "id", "left").join(found, "id", "left")
-    return joined.select("id", F.when(F.col("d") > 1, F.coalesce("n", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("coefficient"))
+    return share_closed(g, not g.undirected)
 
 
 def average_clustering(g: SimpleGraph) -> DataFrame:
@@ -220,9 +240,9 @@ def average_clustering(g: SimpleGraph) -> DataFrame:
 
 def transitivity(g: SimpleGraph) -> DataFrame:
     """Three times the triangles over the wedges."""
-    wedges = g.both().groupBy("src").agg(F.count(F.lit(1)).alias("d")).select((F.col("d") * (F.col("d") - 1) / 2).alias("w"), F.lit(0).alias("t"))
-    closed = triangle_list(g).select(F.lit(0.0).alias("w"), F.lit(3).alias("t"))
-    sums = wedges.unionByName(closed).agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
+    lists = upward(g)
+    wedges = lists.select((F.col("d") * (F.col("d") - 1) / 2).alias("w"), F.lit(0).alias("t"))
+    sums = wedges.unionByName(closed(lists).select(F.lit(0.0).alias("w"), (3 * F.size("cs")).alias("t"))).agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
     return sums.select(F.when(F.col("w") > 0, F.col("t") / F.col("w")).otherwise(0.0).alias("value"))
 
 

@@ -206,17 +206,26 @@ class EdgePlans(dict):
 
 @dataclass(frozen=True)
 class SimpleGraph:
-    """One kind of vertex (id, ...) and of edge (src, dst[, weight]): what algorithms run on."""
+    """One kind of vertex (id, ...) and of edge (src, dst[, weight]): what algorithms run on.
+
+    ``simple`` promises that no two edges join the same two vertices, whichever way: then nothing need be made distinct."""
 
     vertices: DataFrame
     edges: DataFrame
     undirected: bool = False
     extra: dict = field(default_factory=dict)
+    simple: bool = False
+
+    def pairs(self) -> DataFrame:
+        """(a, b): every two vertices that edges join, once, without loops."""
+        if self.simple:
+            return self.edges.filter("src != dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        return self.edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
     def both(self) -> DataFrame:
-        """Distinct (src, dst) either way, without loops."""
-        e = self.edges.filter("src != dst").select("src", "dst")
-        return e.unionByName(swapped(e)).distinct()
+        """Distinct (src, dst) either way, without loops. A pair is shuffled once, not once a way."""
+        ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+        return self.pairs().select(ends.alias("e")).select("e.*")
 
     def directed(self) -> DataFrame:
         """Each undirected edge as one either way; a loop stays one."""

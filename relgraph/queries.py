@@ -353,8 +353,11 @@ def links(spark: SparkSession, sf_dir: str) -> SimpleGraph:
     keys = (("orders", "o_orderkey", ORDER), ("part", "p_partkey", PART), ("supplier", "s_suppkey", SUPPLIER))
     v = union([table(spark, sf_dir, t).select((F.col(k).cast("long") * 4 + n).alias("id")) for t, k, n in keys])
     li = table(spark, sf_dir, "lineitem")
-    e = union([li.groupBy((F.col(a).cast("long") * 4 + x).alias("src"), (F.col(b).cast("long") * 4 + y).alias("dst")).agg(F.min("l_linenumber").alias("weight")) for a, x, b, y in LINK_ENDS])
-    return SimpleGraph(v, e, extra={"source": table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0] * 4 + ORDER})
+    three = F.array(*[F.struct((F.col(a).cast("long") * 4 + x).alias("src"), (F.col(b).cast("long") * 4 + y).alias("dst")) for a, x, b, y in LINK_ENDS])
+    # Dealt by source, which what follows joins on; the ends of a pair are of two tables, and no two tables are linked both ways.
+    e = li.select(F.explode(three).alias("e"), "l_linenumber").select("e.*", "l_linenumber")
+    e = dealt(e, "src").groupBy("src", "dst").agg(F.min("l_linenumber").alias("weight"))
+    return SimpleGraph(v, e, extra={"source": table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0] * 4 + ORDER}, simple=True)
 
 
 # The mapped tables as one graph without cycles, by ids over all labels.

@@ -214,3 +214,26 @@ def test_live_ends_without_a_shuffle(spark, monkeypatch):
     both = {(r.label, r.oid, r.o, r.i) for r in g.degrees_of(o="out", i="in").collect()}
     assert ("a", 64, 0, 1) in both and ("b", 14, 0, 0) in both and g.degrees_of(o="out").filter("label = 'a' and oid = 7").count() == 2
     assert {(r.kind, r.label): r.n for r in g.counts().collect()} == {("vertex", "a"): 14, ("vertex", "b"): 23, ("edge", "of"): 14, ("vertex", None): 37, ("edge", None): len(expected), (None, None): 37 + len(expected)}
+
+
+def test_triangles_of_any_graph(spark):
+    """Against brute force, with loops, repeated edges and edges both ways; what is met is one row an edge, not its wedges."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(150)] + [(30, i) for i in range(25)] + [(None, 3), (4, None)]
+    pairs = {(s, d) for s, d in edges if s != d and None not in (s, d)}
+    near = {v: {d for s, d in pairs if s == v} | {s for s, d in pairs if d == v} for v in range(31)}
+    for undirected, simple in ((False, False), (True, False), (False, True)):
+        used = edges if not simple else sorted({(min(p), max(p)) for p in pairs}) + [(None, 3)]
+        g = SimpleGraph(spark.range(31), spark.createDataFrame(used, "src long, dst long"), undirected, simple=simple)
+        both = {(a, b) for a in near for b in near[a]}
+        ways = both if undirected else pairs if not simple else {p for p in used if None not in p}
+        t = {v: sum(b in near[a] for a, b in itertools.combinations(near[v], 2)) for v in near}
+        assert found(A.triangles(g), "triangles") == t and A.triangle_list(g).count() == sum(t.values()) // 3
+        d = {v: max(len(n) * (len(n) - 1), 1) for v, n in near.items()}
+        assert found(A.clustering(g), "coefficient") == pytest.approx({v: 2 * t[v] / d[v] for v in near})
+        assert found(A.lcc(g), "coefficient") == pytest.approx({v: sum((a, b) in ways for a in near[v] for b in near[v]) / d[v] for v in near})
+        assert A.transitivity(g).first().value == pytest.approx(sum(t.values()) / (sum(len(n) * (len(n) - 1) for n in near.values()) / 2))
+        assert A.closed(A.upward(g)).groupBy("a", "b").count().filter("count > 1").isEmpty() and g.both().count() == len(both)
