@@ -237,3 +237,35 @@ def test_triangles_of_any_graph(spark):
         assert found(A.lcc(g), "coefficient") == pytest.approx({v: sum((a, b) in ways for a in near[v] for b in near[v]) / d[v] for v in near})
         assert A.transitivity(g).first().value == pytest.approx(sum(t.values()) / (sum(len(n) * (len(n) - 1) for n in near.values()) / 2))
         assert A.closed(A.upward(g)).groupBy("a", "b").count().filter("count > 1").isEmpty() and g.both().count() == len(both)
+
+
+def test_cores_and_components_move_less_than_the_edges(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(160)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 1), (200, 200)]
+    g = graph(spark, 201, edges)
+    near = {v: set() for v in range(201)}
+    for a, b in edges:
+        if a is not None and a != b:
+            near[a].add(b), near[b].add(a)
+
+    def core(k):
+        kept = {v for v in near if near[v]}
+        while gone := {v for v in kept if len(near[v] & kept) < k}:
+            kept -= gone
+        return kept
+
+    for k in (2, 5):
+        assert {r.id for r in A.kcore(g, k).collect()} == core(k) and {r.id for r in A.kshell(g, k).collect()} == core(k) - core(k + 1)
+    pairs = g.pairs().localCheckpoint()
+    written = []
+    monkeypatch.setattr(A, "cut", lambda df, *more: written.append(df.columns) or df.localCheckpoint())
+    assert {r.id for r in A.peeled(pairs, A.degrees(pairs), 5).collect()} == core(5) and ["a", "b"] not in written and ["src", "dst"] not in written
+    met = []
+    connected = A.connected
+    monkeypatch.setattr(A, "connected", lambda links: met.append(links.count()) or connected(links))
+    label = found(A.wcc(g), "component")
+    assert met[0] < len(edges) // 2 + 10 and label == {v: 0 if v < 40 and label[v] == 0 else 100 if 100 <= v <= 130 else v for v in range(201)} and all(label[a] == label[b] for a in near for b in near[a])
+    monkeypatch.setattr(A, "HEAVY_ROWS", 3)
+    assert found(A.wcc(g), "component") == label
