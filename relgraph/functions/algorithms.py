@@ -106,6 +106,48 @@ def has_path(g: SimpleGraph, source, target) -> bool:
     return not sssp(g, source, target=target).filter(F.col("id") == F.lit(target)).isEmpty()
 
 
+def outward(e: DataFrame, start: DataFrame):
+    """Breadth-first from start (oid) along the edges e (src, dst): yields (oid of a level, the edges that leave it) until no new vertex comes.
+
+    The level is broadcast as bits, where it fits: edges are read and tested each time, and never shuffled."""
+    front, seen = cut(start.distinct()), []
+    while not front.isEmpty():
+        step = cut(key_set(front)(e, "src"))
+        yield front, step
+        seen.append(front)
+        if len(seen) > TABLES:
+            old, seen = seen, [cut(union(seen))]
+            done_with(*old[:-1])
+        front = cut(step.select(F.col("dst").alias("oid")).distinct().join(union(seen), "oid", "left_anti"))
+
+
+def edges_near(g: SimpleGraph, source, hops: int, both: bool = False) -> DataFrame:
+    """(src, dst): the edges, parallel ones too, that walks of up to ``hops`` edges from the source may take; with both, those at either end."""
+    e = cut(g.directed().select("src", "dst")).withColumn("turned", F.lit(False))
+    way = e.unionByName(swapped(e.filter("src != dst")).withColumn("turned", F.lit(True))) if both else e
+    steps = []
+    for _, step in outward(way, g.vertices.filter(F.col("id") == F.lit(source)).select(F.col("id").alias("oid"))):
+        steps.append(step)
+        if len(steps) == hops:
+            break
+    found = union(steps) if steps else e.limit(0)
+    if not both:
+        return found.select("src", "dst")
+    # Each end that was left gave the edge; of two the source's is kept.
+    turned = found.filter("turned").join(found.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
+    return found.filter("not turned").select("src", "dst").unionByName(swapped(turned).select("src", "dst"))
+
+
+def has_paths(g: SimpleGraph, source, targets: list) -> dict:
+    """target -> whether it is reached: ``has_path`` for some, by one search that ends where the last of them is found."""
+    e, left = cut(g.directed().select("src", "dst")), set(targets)
+    for front, _ in outward(e, g.vertices.filter(F.col("id") == F.lit(source)).select(F.col("id").alias("oid"))):
+        left -= {r.oid for r in front.filter(F.col("oid").isin(list(left))).collect()}
+        if not left:
+            break
+    return {t: t not in left for t in targets}
+
+
 def reached(g: SimpleGraph, source, targets: DataFrame) -> DataFrame:
     """(target, reached) for each id in targets: ``has_path`` for many at once, by one search."""
     near = sssp(g, source).select("id", F.lit(True).alias("reached"))

@@ -12,7 +12,7 @@ from relgraph.operators import dynamic, epochs, log as L
 from relgraph.operators.graph import PropertyGraph, SimpleGraph, tpch_graph, tpch_mapping, union
 from relgraph.operators.traversal import Traversal
 from relgraph.plans.mapping import GraphMapping, VertexMapping, EdgeMapping
-from relgraph.runtime import cut, dealt
+from relgraph.runtime import dealt
 from relgraph.sources import cdc, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,10 +526,10 @@ def sssp_has_path(spark, sf_dir):
 
 @query(f"with recursive {WHOLE_SQL}, r(id) as (select id from origin union select e.dst from r join edges e on e.src = r.id), asked as (select min(id) as target from nodes group by label) select target, target in (select id from r) as reached from asked")
 def has_path(spark, sf_dir):
-    """The same of the smallest vertex of each label, each by a search that ends where it is found."""
+    """The same of the smallest vertex of each label, by a search that ends where the last is found."""
     g = whole_graph(spark, sf_dir)
     asked = [r[0] for r in g.vertices.groupBy("label").agg(F.min("id")).select("min(id)").collect()]
-    return spark.createDataFrame([(t, A.has_path(g, g.extra["source"], t)) for t in asked], "target long, reached boolean")
+    return spark.createDataFrame(list(A.has_paths(g, g.extra["source"], asked).items()), "target long, reached boolean")
 
 
 @query(
@@ -721,7 +721,7 @@ def recursive_path(spark, sf_dir):
     g = whole_graph(spark, sf_dir)
     source = g.extra["source"]
     sql = RECURSIVE_SQL.format(r="with recursive edges as (select * from {links}),", first=source, start=f"array(cast({source} as bigint))", append="array_append(path, e.dst)", has="array_contains(path, e.dst)")
-    return spark.sql(sql, links=g.edges)
+    return spark.sql(sql, links=A.edges_near(g, source, 4))
 
 
 @query("select o_custkey as oid, count(distinct l_partkey) as n from orders join lineitem on o_orderkey = l_orderkey group by 1")
@@ -911,7 +911,8 @@ walk(id, path, depth) as (select id, [id], 0 from origin union all select u.dst,
 def undirected_paths(spark, sf_dir):
     """Simple paths of one to four undirected hops from one customer, by end and length."""
     g = whole_graph(spark, sf_dir)
-    t = Traversal.of(link_property_graph(g)).where(F.col("oid") == g.extra["source"]).simple_paths().both("link", times=(1, 5))
+    near = SimpleGraph(g.vertices, A.edges_near(g, g.extra["source"], 4, both=True))
+    t = Traversal.of(link_property_graph(near)).where(F.col("oid") == g.extra["source"]).simple_paths().both("link", times=(1, 5))
     return t.df.groupBy(F.col("oid").cast("long").alias("oid"), (F.size("path") - 1).alias("hops")).agg(F.count(F.lit(1)).alias("n"))
 
 

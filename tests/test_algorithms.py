@@ -269,3 +269,12 @@ def test_cores_and_components_move_less_than_the_edges(spark, monkeypatch):
     assert met[0] < len(edges) // 2 + 10 and label == {v: 0 if v < 40 and label[v] == 0 else 100 if 100 <= v <= 130 else v for v in range(201)} and all(label[a] == label[b] for a in near for b in near[a])
     monkeypatch.setattr(A, "HEAVY_ROWS", 3)
     assert found(A.wcc(g), "component") == label
+
+
+def test_walks_from_one_vertex_meet_its_edges_only(spark):
+    g = graph(spark, 12, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (2, 0), (7, 8), (6, 1), (9, 9)])
+    assert {(r.src, r.dst) for r in A.edges_near(g, 0, 2).collect()} == {(0, 1), (1, 2)} and {(r.src, r.dst) for r in A.edges_near(g, 0, 4).collect()} == {(0, 1), (1, 2), (2, 3), (2, 0), (3, 4)}
+    assert {(r.src, r.dst) for r in A.edges_near(g, 0, 2, both=True).collect()} == {(0, 1), (1, 2), (2, 0), (6, 1), (2, 3)} and A.edges_near(g, 99, 3).count() == 0
+    assert A.has_paths(g, 0, [0, 5, 6, 8, 77]) == {0: True, 5: True, 6: False, 8: False, 77: False} and A.has_paths(g, 99, [99, 0]) == {99: False, 0: False}
+    chain = graph(spark, 12, [(i, i + 1) for i in range(11)])
+    assert A.has_paths(chain, 0, [11]) == {11: True} and A.has_paths(chain, 1, [0]) == {0: False}
