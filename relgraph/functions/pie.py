@@ -12,8 +12,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from relgraph.operators.graph import SimpleGraph
-from relgraph.runtime import cut
+from relgraph.operators.graph import SimpleGraph, key_set
+from relgraph.runtime import cut, done_with
 
 
 def run_pie(graph: SimpleGraph, first: Callable[[SimpleGraph], DataFrame], next_: Callable[[SimpleGraph, DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -21,7 +21,8 @@ def run_pie(graph: SimpleGraph, first: Callable[[SimpleGraph], DataFrame], next_
     g = SimpleGraph(graph.vertices, cut(graph.edges), graph.undirected)
     state = cut(first(g))
     while not (changed := state.filter("changed")).isEmpty():
-        state = cut(next_(g, state, changed.drop("changed")))
+        state, old = cut(next_(g, state, changed.drop("changed"))), state
+        done_with(old)
     return state.drop("changed")
 
 
@@ -36,6 +37,7 @@ def vectorised(compute: Callable[[pd.DataFrame], pd.DataFrame], schema: str) ->
 
 def messages(g: SimpleGraph, changed: DataFrame, value: str, message, combine) -> DataFrame:
     """(id, msg): what changed vertices send along their out-edges, combined by receiver; message is a Column over the
-    sender's ``value`` and the edge's columns."""
-    sent = changed.select(F.col("id").alias("src"), value).join(g.directed(), "src")
+    sender's ``value`` and the edge's columns. Edges that leave no changed vertex are dropped before the join, unshuffled."""
+    leaving = key_set(changed.select(F.col("id").alias("oid")))(g.directed(), "src")
+    sent = changed.select(F.col("id").alias("src"), value).join(leaving, "src")
     return sent.select(F.col("dst").alias("id"), message.alias("msg")).groupBy("id").agg(combine(F.col("msg")).alias("msg"))

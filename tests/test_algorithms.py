@@ -278,3 +278,11 @@ def test_walks_from_one_vertex_meet_its_edges_only(spark):
     assert A.has_paths(g, 0, [0, 5, 6, 8, 77]) == {0: True, 5: True, 6: False, 8: False, 77: False} and A.has_paths(g, 99, [99, 0]) == {99: False, 0: False}
     chain = graph(spark, 12, [(i, i + 1) for i in range(11)])
     assert A.has_paths(chain, 0, [11]) == {11: True} and A.has_paths(chain, 1, [0]) == {0: False}
+
+
+def test_messages_leave_changed_vertices_only(spark):
+    from relgraph.functions import pie
+
+    g = graph(spark, 5, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (1, 0)])
+    sent = pie.messages(g, spark.createDataFrame([(1, 7)], "id long, d long"), "d", F.col("d") + 1, F.min)
+    assert {tuple(r) for r in sent.collect()} == {(0, 8), (3, 8)} and "__words" in sent._jdf.queryExecution().optimizedPlan().toString()
